@@ -38,9 +38,8 @@ def _entity(e: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Named and numeric entities decoded in one pass."""
-    parts = F.split(text, ENTITY, -1)
-    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    glued = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(_entity(F.get(found, i)), F.lit(""))))
+    cut = F.arrays_zip(F.split(text, ENTITY, -1).alias("p"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("e"))
+    glued = F.transform(cut, lambda z: F.concat(z["p"], F.coalesce(_entity(z["e"]), F.lit(""))))
     return F.when(F.contains(text, F.lit("&")), F.array_join(glued, "")).otherwise(text)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def _fold_map() -> tuple[str, str]:
     for code in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
         c = chr(code)
         base = unicodedata.normalize("NFD", c)[0].lower()
-        if len(base) == 1 and base != c:
+        if len(base) == 1 and base != c.lower():
             src.append(c)
             dst.append(base)
     for c in HYPHENS:
@@ -90,6 +91,11 @@ def closed_sentence(statement: Column) -> Column:
     return F.when((t == "") | t.rlike("[.!?…]$"), t).otherwise(F.concat(t, F.lit(".")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate an expression once and use it several times, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_totals(sizes: Column, block: int = 256) -> Column:
     """Exclusive prefix sums of an int array.
 
@@ -109,41 +115,50 @@ def running_totals(sizes: Column, block: int = 256) -> Column:
     def total(arr: Column) -> Column:
         return F.aggregate(arr, F.lit(0), lambda a, x: a + x)
 
-    n_blocks = F.greatest(F.ceil(F.size(sizes) / F.lit(block)).cast("int"), F.lit(1))
-    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.slice(sizes, i * block + 1, F.lit(block)))
-    heads = scan(F.transform(blocks, total))
-    nested = F.transform(
-        F.arrays_zip(blocks.alias("b"), heads.alias("h")),
-        lambda z: F.transform(scan(z["b"]), lambda p: p + z["h"]),
-    )
-    return F.when(F.size(sizes) <= block, scan(sizes)).otherwise(F.flatten(nested))
+    def by_block(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / F.lit(block)).cast("int"))
+        blocks = F.transform(starts, lambda i: F.slice(s, i * block + 1, F.lit(block)))
+        shifted = lambda b: F.transform(
+            F.arrays_zip(b.alias("b"), scan(F.transform(b, total)).alias("h")),
+            lambda z: F.transform(scan(z["b"]), lambda p: p + z["h"]),
+        )
+        return F.flatten(let(blocks, shifted))
+
+    return let(sizes, lambda s: F.when(F.size(s) <= block, scan(s)).otherwise(by_block(s)))
 
 
 def pieces(text: Column, pattern: str) -> Column:
     """Parts between the matches of ``pattern`` as array<struct<start,end,text>>, untrimmed, in order."""
-    parts = F.split(text, pattern, -1)
-    seps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(seps, i)), F.lit(0)))
-    return F.transform(
-        F.arrays_zip(parts.alias("p"), running_totals(sizes).alias("s")),
-        lambda z: F.struct(z["s"].alias("start"), (z["s"] + F.length(z["p"])).alias("end"), z["p"].alias("text")),
-    )
+    cut = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+    def placed(z: Column) -> Column:
+        sizes = F.transform(z, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+        return F.transform(
+            F.arrays_zip(z.alias("z"), running_totals(sizes).alias("s")),
+            lambda y: F.struct(y["s"].alias("start"), (y["s"] + F.length(y["z"]["p"])).alias("end"), y["z"]["p"].alias("text")),
+        )
+
+    return let(cut, placed)
 
 
 def matches(text: Column, pattern: Column | str) -> Column:
     """All matches of ``pattern`` with their offsets as array<struct<start,end,text>>."""
     rx = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, rx, F.lit(0))
-    gaps = F.split(text, rx, -1) if isinstance(pattern, str) else F.call_function("split", text, rx, F.lit(-1))
-    sizes = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
-    return F.transform(
-        F.arrays_zip(found.alias("m"), running_totals(sizes).alias("s")),
-        lambda z, i: F.struct(
-            (z["s"] + F.length(F.get(gaps, i))).alias("start"),
-            (z["s"] + F.length(F.get(gaps, i)) + F.length(z["m"])).alias("end"),
-            z["m"].alias("text"),
-        ),
-    )
+    cut = F.arrays_zip(F.split(text, rx, -1).alias("p"), F.regexp_extract_all(text, rx, F.lit(0)).alias("m"))
+
+    def placed(z: Column) -> Column:
+        sizes = F.transform(z, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+        ends = F.transform(
+            F.arrays_zip(z.alias("z"), running_totals(sizes).alias("s")),
+            lambda y: F.struct(
+                (y["s"] + F.length(y["z"]["p"])).alias("start"),
+                (y["s"] + F.length(y["z"]["p"]) + F.length(y["z"]["m"])).alias("end"),
+                y["z"]["m"].alias("text"),
+            ),
+        )
+        return F.filter(ends, lambda m: m["text"].isNotNull())
+
+    return let(cut, placed)
 
 
 def trimmed_spans(spans: Column, edge: str = EDGE_CHARS) -> Column:

@@ -26,6 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the row key when the input has fewer splits than the session has cores.
+
+    A few small files would otherwise leave most cores idle during text work; with
+    many splits the scan is already balanced and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
 def fold_sql(expr: str) -> str:
     """The fold on DuckDB, by its own accent stripping."""
     return f"lower(strip_accents(translate({expr}, chr(9) || chr(13) || chr(160) || chr(8239) || '‐‑‒−', '    ----')))"

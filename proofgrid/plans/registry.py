@@ -10,6 +10,7 @@ from proofgrid.plans import base
 
 MODULES = (
     "text_queries",
+    "mention_queries",
 )
 
 for _m in MODULES:
