@@ -76,10 +76,11 @@ def previous_by_bucket(
     )
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, unique: Column, parts: int = 32) -> DataFrame:
-    """The first ``k`` rows per key, taken in two steps so that a hot key is cut down in ``parts`` pieces first."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(parts)))
-    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    kept = salted.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r", "_salt")
-    return kept.withColumn("rn", F.row_number().over(final).cast("bigint")).filter(F.col("rn") <= k)
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rn") -> DataFrame:
+    """The first ``k`` rows per key.
+
+    Spark cuts every map partition down to ``k`` rows per key before the shuffle
+    (window group limit), so a hot key costs ``k`` rows per task.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= k)

@@ -11,6 +11,7 @@ from proofgrid.plans import base
 MODULES = (
     "text_queries",
     "mention_queries",
+    "scoring_queries",
 )
 
 for _m in MODULES:
