@@ -175,6 +175,11 @@ def best_role(titles: DataFrame, roles: DataFrame, key: str, title: str) -> Data
 
 def pruned_aliases(terms: Column) -> Column:
     """Aliases without those that contain a shorter one as a phrase (they add no recall)."""
-    padded = lambda t: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(tx.fold(t), F.lit(TOKEN), F.lit(0)), " "), F.lit(" "))
-    longer = lambda t: F.exists(terms, lambda o: (padded(o) != padded(t)) & (F.trim(padded(o)) != "") & F.contains(padded(t), padded(o)))
-    return F.filter(terms, lambda t: ~longer(t))
+    word_list = lambda t: F.array_join(F.regexp_extract_all(tx.fold(t), F.lit(TOKEN), F.lit(0)), " ")
+    padded = F.transform(terms, lambda t: F.struct(t.alias("t"), F.concat(F.lit(" "), word_list(t), F.lit(" ")).alias("w")))
+
+    def kept(all_terms: Column) -> Column:
+        shorter = lambda a: F.exists(all_terms, lambda b: (b["w"] != a["w"]) & (b["w"] != "  ") & F.contains(a["w"], b["w"]))
+        return F.transform(F.filter(all_terms, lambda a: ~shorter(a)), lambda a: a["t"])
+
+    return tx.let(padded, kept)

@@ -12,6 +12,7 @@ MODULES = (
     "text_queries",
     "mention_queries",
     "scoring_queries",
+    "filter_queries",
 )
 
 for _m in MODULES:
