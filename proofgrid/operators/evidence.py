@@ -91,3 +91,11 @@ def described_activities(items: DataFrame, named: DataFrame, lexicon: DataFrame,
     found = words.join(broadcast_if_small(terms), "tok")
     enough = found.groupBy(*keys, "skill_key").agg(F.count_distinct("clue").alias("clues")).filter(F.col("clues") >= 2)
     return enough.join(named.select(*keys, "skill_key"), [*keys, "skill_key"], "left_anti")
+
+
+def sentence_windows(rows: DataFrame, keys: Sequence[str], flat: str) -> DataFrame:
+    """Every sentence of an item with the span from the sentence before it to the one after it."""
+    s = rows.select(*keys, F.posexplode(tx.item_sentences(F.col(flat))).alias("sent_no", "s"))
+    s = s.select(*keys, "sent_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("sentence"))
+    w = Window.partitionBy(*keys).orderBy("sent_no").rowsBetween(-1, 1)
+    return s.withColumn("window_start", F.min("start").over(w)).withColumn("window_end", F.max("end").over(w))

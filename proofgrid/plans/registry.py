@@ -13,6 +13,7 @@ MODULES = (
     "mention_queries",
     "scoring_queries",
     "filter_queries",
+    "structure_queries",
 )
 
 for _m in MODULES:
