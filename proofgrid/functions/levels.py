@@ -29,11 +29,11 @@ SCORED = [ELIMINATORY, IMPERATIVE, DIFFERENTIATING, DESIRED]
 
 
 def lookup(values: dict, key: Column, default=None) -> Column:
-    """Value of a small fixed map, by a chain of comparisons the optimiser can fold."""
-    out = None
-    for k, v in values.items():
-        out = F.when(key == k, F.lit(v)) if out is None else out.when(key == k, F.lit(v))
-    return out.otherwise(F.lit(default))
+    """Value of a small fixed map; the key is evaluated once."""
+    pairs = [F.lit(x) for k, v in values.items() for x in (k, v)]
+    typed = key.cast("int") if all(type(k) is int for k in values) else key
+    found = F.try_element_at(F.create_map(*pairs), typed)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def level_ord(level: Column) -> Column:

@@ -7,11 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofgrid.functions import scope as sp
+from proofgrid.functions import signals as sg
 from proofgrid.functions import text as tx
+from proofgrid.functions.levels import lookup
 from proofgrid.operators.mentions import TOKEN, alias_table, candidates, term_pattern
 from proofgrid.operators.scale import broadcast_if_small
 
+# Mentions analysed per criterion and document; versions cited after a name.
 MENTION_CAP = 300
+VERSION_LIST = (
+    "^\\s*(?:v|version\\s*)?(\\d{1,2}(?:\\.\\d+)*(?:\\s*(?:,|/|et|and|ou|or|\\+|->|→|vers|to)\\s*\\d{1,2}(?:\\.\\d+)*)*)"
+    "(?![\\d.]*\\s*(?:ans|an|years?|mois|brokers?|topics?|partitions?|serveurs?|baies?|%))"
+)
 
 
 def sentence_rows(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -36,7 +44,6 @@ CANONICAL = {"producteur": "producer", "consommateur": "consumer", "brokers": "b
 
 def stem(term: Column) -> Column:
     """Canonical form of a clue: plural dropped, synonyms merged, word by word."""
-    from proofgrid.functions.levels import lookup
 
     def canon(w: Column) -> Column:
         return F.coalesce(lookup(CANONICAL, w), w)
@@ -99,3 +106,126 @@ def sentence_windows(rows: DataFrame, keys: Sequence[str], flat: str) -> DataFra
     s = s.select(*keys, "sent_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("sentence"))
     w = Window.partitionBy(*keys).orderBy("sent_no").rowsBetween(-1, 1)
     return s.withColumn("window_start", F.min("start").over(w)).withColumn("window_end", F.max("end").over(w))
+
+
+def analyse_mentions(rows: DataFrame, today: str, item: str = "item", at: str = "at", clues: str = "clues", kind: str = "kind") -> DataFrame:
+    """Signals and level of mentions inside their items.
+
+    rows carries the item text, the position of the mention in it, the depth clues of
+    the skill (term and pattern) and the kind of criterion. The action is read in the
+    clause of the mention; depth, figures, results and deliverables in its sentence and
+    the ones around it, without what is negated, planned, done by others or learned.
+    """
+    d = rows.withColumn("_flat", F.translate(item, "\n", " "))
+    s = tx.item_sentences(F.col("_flat"))
+    d = d.withColumn("_sent", F.when(F.size(s) > 0, s).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length("_flat").alias("end"), F.col("_flat").alias("text")))))
+    own = F.filter(F.transform("_sent", lambda x, i: F.when((x["start"] <= F.col(at)) & (F.col(at) < x["end"] + 1), i)), lambda i: i.isNotNull())
+    d = d.withColumn("_si", F.coalesce(F.get(own, F.lit(0)), F.lit(0)))
+    d = d.withColumn("_w0", F.get("_sent", F.greatest(F.col("_si") - 1, F.lit(0)))["start"])
+    d = d.withColumn("_w1", F.get("_sent", F.least(F.col("_si") + 1, F.size("_sent") - 1))["end"])
+    d = d.withColumn("_f", tx.fold(F.substring("_flat", F.col("_w0") + 1, F.col("_w1") - F.col("_w0"))))
+    d = d.withColumn("_pos", F.greatest(F.lit(0), F.least(F.col(at) - F.col("_w0"), F.length("_f") - 1)))
+    d = d.withColumn("_clauses", sp.clauses(F.col("_f")))
+    d = d.withColumn("_own", sp.clause_at(F.col("_clauses"), F.col("_pos")))
+    d = d.withColumn("_neg", sp.negated_regions(F.col("_f"), F.col("_clauses")))
+    d = d.withColumn("negated", F.exists("_neg", lambda r: (r["start"] <= F.col("_pos")) & (F.col("_pos") < r["end"])))
+    d = d.withColumn("caps", F.array_distinct(F.concat(sp.cap_codes(F.col("_own.text"), today), sp.item_cap_codes(tx.fold(F.col("_flat")), today))))
+    capped = F.filter("_clauses", lambda c: (c["start"] != F.col("_own.start")) & (F.size(sp.cap_codes(c["text"], today)) > 0))
+    regions = F.concat("_neg", F.transform(capped, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    d = d.withColumn("_fm", tx.mask(F.col("_f"), regions))
+    d = d.withColumn("_own_m", F.substring("_fm", F.col("_own.start") + 1, F.col("_own.end") - F.col("_own.start")))
+    d = d.withColumn("verbs", sg.distinct_matches(F.col("_fm"), sg.STRONG_ACTION)).withColumn("depth", distinct_clues(F.col("_fm"), F.col(clues)))
+    for name, rx in (("quantities", sg.QUANTITY), ("results", sg.RESULT), ("deliverables", sg.DELIVERABLE)):
+        d = d.withColumn(name, sg.distinct_matches(F.col("_fm"), rx))
+    d = d.withColumn("listed", sp.stack_list(F.col("_own.text")))
+    verb = F.regexp_substr("_own_m", F.lit(sg.STRONG_ACTION))
+    generic = (F.col(kind) == "skill") & (F.size("verbs") == 1) & F.trim(verb).rlike(sg.GENERIC_ACTION)
+    strong = verb.isNotNull() & ~F.coalesce(generic, F.lit(False))
+    carried = F.col("_own_m").rlike(sg.CARRIED) & F.substring("_fm", F.lit(1), F.col("_own.start")).rlike(sg.STRONG_ACTION)
+    nominal = (
+        (F.col(kind) == "skill") & ~F.col("listed") & (F.size("caps") == 0) & F.col("_own_m").rlike(sg.QUANTITY) & (F.size(distinct_clues(F.col("_own_m"), F.col(clues))) >= 2)
+    )
+    d = d.withColumn("action", F.when(strong, "strong").when(carried | F.col("_own_m").rlike(sg.WEAK_ACTION) | nominal, "weak").otherwise("none"))
+    d = d.withColumn("role", F.when(F.col("_own_m").rlike(sg.PARTICIPANT), "participant").when(F.col("_fm").rlike(sg.OWNER), "owner").otherwise("neutral"))
+    d = d.withColumn("points", sg.points(F.size("depth"), F.size("quantities"), F.size("results"), F.size("deliverables"), F.col("role") == "owner", F.size("verbs")))
+    level = sg.classify(F.col(kind), F.col("action"), F.col("role"), F.size("depth"), F.col("points"), F.col("negated"), sp.strongest_cap(F.col("caps")), F.col("listed"))
+    d = d.withColumn("level_ord", level)
+    d = d.withColumn("window", F.substring("_flat", F.col("_w0") + 1, F.col("_w1") - F.col("_w0"))).withColumn("clause_start", F.col("_w0") + F.col("_own.start"))
+    return d.drop("_flat", "_sent", "_si", "_w0", "_w1", "_f", "_pos", "_clauses", "_own", "_neg", "_fm", "_own_m")
+
+
+def scope_limited(level_ord: Column, window: Column, scope_terms: Column) -> Column:
+    """At most partial when none of the scope terms stands in the window."""
+    seen = F.exists(scope_terms, lambda t: F.rlike(tx.fold(window), term_pattern(t)))
+    return F.when((F.size(scope_terms) > 0) & ~seen, F.least(level_ord, F.lit(3))).otherwise(level_ord)
+
+
+def document_levels(items: DataFrame, keys: Sequence[str], today: int, window_years: int = 7, commodity: int = 3) -> DataFrame:
+    """Level of a criterion in a document from its items: best item, then upgrades, caps and recency, in this order.
+
+    items: exp_idx, location, level_ord, negated, role, action, scoped, months, workish,
+    end_ord, clues (advanced), versions, and per criterion rarity, advanced, need_version, volatile.
+    """
+    per_criterion = ["rarity", "advanced", "need_version", "volatile"]
+    seen = ~F.col("negated")
+    practice = seen & (F.col("location") == "experience")
+    order = F.struct(F.col("level_ord"), F.coalesce("end_ord", F.lit(-1)), F.col("item_id"))
+    exp = items.groupBy(*keys, "exp_idx").agg(
+        *[F.max(c).alias(c) for c in per_criterion],
+        F.count("*").alias("n"), F.count_if(seen).alias("n_seen"),
+        F.max(F.when(practice, F.col("level_ord"))).alias("practice_level"), F.max(F.when(seen, F.col("level_ord"))).alias("any_level"),
+        F.bool_or(seen & (F.col("location") == "env_list")).alias("env"), F.bool_or(seen & (F.col("role") == "participant")).alias("participant"),
+        F.max("months").alias("months"), F.bool_or("workish").alias("workish"), F.max("end_ord").alias("end_ord"),
+        F.max_by(F.struct("level_ord", "location", "action", "role", "scoped", "months", "exp_idx"), F.when(seen, order)).alias("best"),
+        F.max(F.when(seen, order)).alias("best_order"),
+        F.flatten(F.collect_list(F.when(practice, F.col("clues")))).alias("clues"), F.array_max(F.flatten(F.collect_list("versions"))).alias("version"),
+    )
+    is_practice = F.col("practice_level") >= 3
+    support = (F.col("n_seen") > 0) & (F.col("months") > 0) & F.col("workish")
+    doc = exp.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in per_criterion],
+        F.sum("n").alias("items"), F.sum("n_seen").alias("seen"), F.max_by("best", "best_order").alias("best"),
+        F.count_if(is_practice).alias("practised"), F.count_if(support).alias("supported"), F.bool_or("participant").alias("participant"),
+        F.max(F.when(F.col("env"), F.struct("exp_idx"))).alias("_e"), F.collect_set(F.when(F.col("env"), F.col("exp_idx"))).alias("env_exps"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("clues")))).alias("n_clues"), F.max("version").alias("version"),
+        F.max(F.when((F.col("any_level") >= 3) | is_practice, F.col("end_ord"))).alias("last_partial"),
+        F.max(F.when((F.col("any_level") >= 2) | is_practice, F.col("end_ord"))).alias("last_any"),
+        F.max(F.when(support, F.col("end_ord"))).alias("last_support"),
+    )
+    lone = ~F.col("participant")
+    d = doc.withColumn("best_level", F.coalesce("best.level_ord", F.lit(1)))
+    d = d.withColumn("repeated", (F.col("rarity") <= commodity) & (F.col("practised") >= 2) & (F.col("best_level") == 3) & lone)
+    d = d.withColumn("_l1", F.when(F.col("repeated"), 4).otherwise(F.col("best_level")))
+    common = (F.col("rarity") <= 2) & lone & (F.col("seen") > 0)
+    d = d.withColumn("commodity", F.when(common & (F.col("supported") >= 2) & (F.col("_l1") < 4), 4).when(common & (F.col("supported") == 1) & (F.col("_l1") == 2), 3))
+    d = d.withColumn("_l2", F.coalesce("commodity", "_l1"))
+    b = F.col("best")
+    d = d.withColumn(
+        "corroborated",
+        (F.col("rarity") <= commodity) & (b["location"] == "experience") & (F.col("_l2") == 3) & (b["action"] == "strong") & (b["role"] != "participant") & ~b["scoped"]
+        & (b["months"] >= 24) & F.array_contains("env_exps", b["exp_idx"]) & ~F.col("advanced"),
+    )
+    d = d.withColumn("_l3", F.when(F.col("corroborated"), 4).otherwise(F.col("_l2")))
+    d = d.withColumn("depth_capped", F.col("advanced") & (F.col("n_clues") < 2) & (F.col("_l3") > 3)).withColumn("_l4", F.when(F.col("depth_capped"), 3).otherwise(F.col("_l3")))
+    d = d.withColumn("version_capped", F.coalesce((F.col("version") < F.col("need_version")) & (F.col("_l4") > 3), F.lit(False))).withColumn("_l5", F.when(F.col("version_capped"), 3).otherwise(F.col("_l4")))
+    last = F.greatest(F.when(F.col("_l5") >= 3, F.col("last_partial")).otherwise(F.col("last_any")), F.when(F.col("commodity").isNotNull(), F.col("last_support")))
+    d = d.withColumn("last_used", last)
+    old = F.col("volatile") & (F.lit(today) - F.col("last_used") > window_years * 12) & (F.col("_l5") >= 3)
+    d = d.withColumn("downgraded", F.coalesce(old, F.lit(False))).withColumn("level_ord", F.col("_l5") - F.col("downgraded").cast("int"))
+    d = d.withColumn("declared_absence", (F.col("seen") == 0) & (F.col("items") > 0))
+    return d.drop("_l1", "_l2", "_l3", "_l4", "_l5", "_e", "best", "env_exps")
+
+
+def versions_after(folded: Column, end: Column) -> Column:
+    """Major versions cited right after a product name."""
+    listed = F.regexp_extract(F.substring(folded, end + 1, F.lit(40)), VERSION_LIST, 1)
+    return F.transform(F.regexp_extract_all(listed, F.lit("(?<![\\d.])(\\d{1,2})(?:\\.\\d+)*"), F.lit(1)), lambda v: v.cast("int"))
+
+
+def volume_levels(segments: DataFrame, keys: Sequence[str], text: str, scope_terms: list[str]) -> DataFrame:
+    """Largest throughput of an item; a figure counts only in a segment that also names the scope."""
+    s = segments.select(*keys, F.explode(F.split(F.regexp_replace(text, "\\s+", " "), sp.VOLUME_SPLIT)).alias("segment"))
+    s = s.withColumn("volume", sp.volume_per_day(F.col("segment"))).filter("volume is not null")
+    s = s.withColumn("in_scope", tx.has_any_term(tx.fold(F.col("segment")), scope_terms) if scope_terms else F.lit(True))
+    v = s.groupBy(*keys).agg(F.max(F.when(F.col("in_scope"), F.col("volume"))).alias("volume"), F.max(F.when(~F.col("in_scope"), F.col("volume"))).alias("elsewhere"))
+    return v.withColumn("level_ord", F.coalesce(sp.volume_level(F.col("volume")), F.lit(1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import dates as dt
 from proofgrid.functions import text as tx
+from proofgrid.functions.levels import half_even, lookup
 from proofgrid.operators.intervals import assign_to_spans
 
 # Headings of the sections (on folded lines), environment lines, language names and levels.
@@ -169,7 +170,7 @@ def locations(hits: DataFrame, l: DataFrame, exps: DataFrame) -> DataFrame:
     """Where a mention stands: environment list, header or body of an experience, else the kind of its section."""
     at_line = assign_to_spans(hits, l.select("doc_id", "start", (F.col("end") + 1).alias("end"), "section", F.col("raw").rlike(ENV_LINE).alias("env")), ["doc_id"], "start", into="line")
     at_exp = assign_to_spans(at_line, exps.select("doc_id", "idx", F.col("s").alias("start"), F.col("e").alias("end"), "body_s", "months"), ["doc_id"], "start", into="exp")
-    section = F.coalesce(*[F.when(F.col("line.section") == k, v) for k, v in LOCATIONS.items()], F.lit("other"))
+    section = lookup(LOCATIONS, F.col("line.section"), "other")
     where = (
         F.when(F.col("exp").isNull(), section)
         .when(F.col("line.env"), "env_list")
@@ -181,14 +182,17 @@ def locations(hits: DataFrame, l: DataFrame, exps: DataFrame) -> DataFrame:
 
 def languages(text: Column) -> Column:
     """Map language -> level; a language named without a level is kept as unstated."""
-    f = tx.fold_compact(text)
+    return tx.let(tx.fold_compact(text), _languages)
+
+
+def _languages(f: Column) -> Column:
     levels = "|".join(LANGUAGE_LEVELS)
     pairs = []
     for name, rx in LANGUAGE_NAMES.items():
         after = F.regexp_extract(f, f"{rx}\\s*[:\\-–(]*\\s*(?:niveau\\s*)?({levels})\\b", 1)
         before = F.regexp_extract(f, f"\\b({levels})\\b\\s*(?:en\\s+)?{rx}", 1)
         word = F.when(after != "", after).when(before != "", before)
-        value = F.coalesce(*[F.when(word == k, v) for k, v in LANGUAGE_LEVELS.items()])
+        value = lookup(LANGUAGE_LEVELS, word)
         if name != "francais":
             value = F.coalesce(value, F.when(f.rlike(f"\\b{rx}\\b"), LEVEL_UNSTATED))
         pairs.append(F.struct(F.lit(name).alias("k"), value.alias("v")))
@@ -202,7 +206,6 @@ def declared_years(text: Column) -> Column:
 
 def years_of_practice(exps: DataFrame, keys: list[str], start: str = "start_ord", end: str = "end_ord") -> DataFrame:
     """Tenths of years covered by the union of the periods, rounded to nearest, ties to even."""
-    from proofgrid.functions.levels import half_even
     from proofgrid.operators.intervals import merge_intervals
 
     merged = merge_intervals(exps.filter(F.col(start).isNotNull() & F.col(end).isNotNull()), keys, start, end)

@@ -14,6 +14,8 @@ MODULES = (
     "scoring_queries",
     "filter_queries",
     "structure_queries",
+    "evidence_queries",
+    "need_queries",
 )
 
 for _m in MODULES:
