@@ -16,6 +16,7 @@ MODULES = (
     "structure_queries",
     "evidence_queries",
     "need_queries",
+    "note_queries",
 )
 
 for _m in MODULES:

@@ -272,20 +272,18 @@ def win_12(spark, sf):
 
 
 @query("win_12_surplus", """
-WITH r AS (SELECT c_nationkey AS g, c_custkey AS k, 1 + (c_custkey % 97) * (c_custkey % 97) AS raw FROM customer WHERE c_acctbal >= 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 40),
+WITH r AS (SELECT c_custkey // 40 AS g, c_custkey AS k, 1 + (c_custkey % 97) * (c_custkey % 97) AS raw FROM customer),
 a AS (SELECT *, sum(raw) OVER (PARTITION BY g) AS s FROM r), b AS (SELECT *, greatest(raw * 100 // s, 1) AS base, (raw * 100) % s AS frac FROM a),
 c AS (SELECT *, 100 - sum(base) OVER (PARTITION BY g) AS diff, row_number() OVER (PARTITION BY g ORDER BY frac DESC, k) AS up FROM b),
 ev AS (SELECT g, k, diff, row_number() OVER (PARTITION BY g ORDER BY rd, up DESC) AS e FROM c, unnest(range(1, base::BIGINT)) AS u(rd) WHERE diff < 0),
 tk AS (SELECT g, k, count(*) AS t FROM ev WHERE e <= -diff GROUP BY ALL)
 SELECT c.g, c.k, (base + CASE WHEN diff > 0 AND up <= diff THEN 1 ELSE 0 END - coalesce(t, 0))::BIGINT AS weight FROM c LEFT JOIN tk ON tk.g = c.g AND tk.k = c.k""")
 def win_12b(spark, sf):
-    from proofgrid.operators.scale import top_rows
-
-    c = table(spark, sf, "customer").filter("c_acctbal >= 0")
-    c = c.select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("k"), (1 + F.pmod("c_custkey", F.lit(97)) * F.pmod("c_custkey", F.lit(97))).alias("raw"))
-    # a grid holds forty criteria here: one hundred points cannot be split over more than a hundred
-    grid = top_rows(c, ["g"], [F.col("k")], 40).drop("rn")
-    return gr.largest_remainder(grid, ["g"], "raw", "k").select("g", "k", "weight")
+    # forty consecutive customers form a grid: one hundred points cannot be split over more than a hundred criteria
+    c = table(spark, sf, "customer").select(
+        F.floor(F.col("c_custkey") / 40).alias("g"), F.col("c_custkey").alias("k"), (1 + F.pmod("c_custkey", F.lit(97)) * F.pmod("c_custkey", F.lit(97))).alias("raw")
+    )
+    return gr.largest_remainder(c, ["g"], "raw", "k").select("g", "k", "weight")
 
 
 @query("flt_14_grid_errors", f"""
