@@ -79,7 +79,7 @@ def request_counts(events: DataFrame, identity: str, ts: str, seconds: int, limi
     """
     span = seconds * 1_000_000
     cell = 2 * span
-    e = events.select(key, identity, F.unix_micros(ts).alias("_t"))
+    e = events.select(key, identity, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
     own = e.withColumn("_c", F.floor(F.col("_t") / cell)).withColumn("_own", F.lit(True))
     carry = own.filter(F.pmod("_t", F.lit(cell)) >= cell - span).withColumn("_c", F.col("_c") + 1).withColumn("_own", F.lit(False))
     w = Window.partitionBy(identity, "_c").orderBy("_t").rangeBetween(-span, 0)

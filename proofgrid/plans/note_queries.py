@@ -167,8 +167,8 @@ ev AS (SELECT l_orderkey % 97 AS subject, l_shipdate AS created_at, l_orderkey |
 e2 AS (SELECT *, coalesce(decision = 'validated', FALSE) OR source = 'saisie_recruteur' AS validated, coalesce(decision = 'rejected', FALSE) AS superseded FROM ev)"""
 
 
-def line_evidence(spark, sf):
-    l = table(spark, sf, "lineitem")
+def line_evidence(spark, sf, lines=None):
+    l = table(spark, sf, "lineitem") if lines is None else lines
     m = lambda c, n: F.pmod(c, F.lit(n)).cast("int")
     e = l.select(
         m("l_orderkey", 97).alias("subject"), F.col("l_shipdate").alias("created_at"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.col("l_partkey").alias("evidence_id"),

@@ -17,6 +17,9 @@ MODULES = (
     "evidence_queries",
     "need_queries",
     "note_queries",
+    "governance_queries",
+    "export_queries",
+    "stream_queries",
 )
 
 for _m in MODULES:
