@@ -11,8 +11,9 @@ from proofgrid.functions import levels as lv
 from proofgrid.functions import scope as sp
 from proofgrid.functions import text as tx
 from proofgrid.operators.evidence import analyse_mentions, depth_patterns
-from proofgrid.operators.mentions import mentions, uncovered_skills
-from proofgrid.operators.scale import broadcast_if_small
+from proofgrid.operators.intervals import contained_in_longer
+from proofgrid.operators.mentions import mentions
+from proofgrid.operators.scale import broadcast_if_small, computed_once
 
 # Speaker labels and roles, labels of form fields, cues of facts.
 SPEAKER = "^\\s*(?:\\[?\\d{1,2}:\\d{2}(?::\\d{2})?\\]?\\s*)?(?:\\*\\*)?([A-ZÀ-Ý][\\wÀ-ÿ'’.()\\- ]{0,38}?)(?:\\*\\*)?\\s*[:：]\\s+(\\S.*)$"
@@ -129,45 +130,53 @@ def note_sentences(u: DataFrame, key: str = "note_id") -> DataFrame:
     """Statements of the turns with their cues; questions are left out."""
     s = u.select(key, "turn", "speaker", "role", F.posexplode(tx.sentences(F.col("text"))).alias("sent_no", "s"))
     s = s.select(key, "turn", "speaker", "role", "sent_no", F.col("s.text").alias("sent")).filter(~F.rtrim("sent").endswith("?"))
-    s = s.withColumn("f", tx.fold_compact(F.col("sent")))
-    s = s.withColumn("explicit_client", F.col("f").rlike(CLIENT_SUBJECT)).withColumn("cue", F.col("f").rlike(REQUIREMENT_CUE)).withColumn("hedged", F.col("f").rlike(HEDGE))
+    s = computed_once(s, f=tx.fold_compact(F.col("sent")))
+    s = computed_once(s, explicit_client=F.col("f").rlike(CLIENT_SUBJECT), cue=F.col("f").rlike(REQUIREMENT_CUE), hedged=F.col("f").rlike(HEDGE), wish=F.col("f").rlike(WISH))
     candidate = F.col("role").isin("candidate", "candidate_reported")
     requirer = F.col("role").isin("client", "recruiter", "sales", "client_relayed") | F.col("explicit_client") | ((F.col("role") == "unknown") & F.col("cue"))
-    wish = F.col("f").rlike(WISH) & candidate
+    wish = F.col("wish") & candidate
     speaks = candidate | (F.col("role") == "unknown")
-    s = s.withColumn("constraints", F.when(speaks, constraint_values(F.col("f"))).otherwise(F.array().cast("array<struct<field:string,value:string>>")))
+    s = computed_once(s, constraints=F.when(speaks, constraint_values(F.col("f"))).otherwise(F.array().cast("array<struct<field:string,value:string>>")))
     kind = (
         F.when(requirer & (F.col("cue") | F.col("explicit_client")), "client_requirement").when(wish, "wish")
         .when(F.size("constraints") > 0, "candidate_constraint").when(speaks, "candidate_experience").otherwise("other")
     )
-    return s.withColumn("kind", kind)
+    return computed_once(s, kind=kind).drop("wish")
 
 
 def facts(notes: DataFrame, lexicon: DataFrame, today: str, key: str = "note_id", text: str = "text") -> DataFrame:
     """Typed facts: client requirements (never a skill of the candidate), candidate constraints, candidate experience with its level."""
     s = note_sentences(utterances(notes, key, text), key)
     ids = [key, "turn", "sent_no"]
-    said = s.filter(F.col("kind").isin("client_requirement", "candidate_experience"))
-    hits = mentions(said, lexicon, ids, "sent")
-    kept = hits.join(uncovered_skills(hits, ids).select(*ids, "skill_key"), [*ids, "skill_key"])
-    per = kept.groupBy(*ids, "skill_key").agg(F.array_sort(F.collect_list("start")).alias("starts"), F.array_sort(F.collect_list("end")).alias("ends"))
+    hits = mentions(s.filter(F.col("kind").isin("client_requirement", "candidate_experience")), lexicon, ids, "sent")
+    per = hits.withColumn("_inside", contained_in_longer(hits, ids)).groupBy(*ids, "skill_key").agg(
+        F.array_sort(F.collect_list("start")).alias("starts"), F.array_sort(F.collect_list("end")).alias("ends"), F.bool_and("_inside").alias("_covered")
+    ).filter(~F.col("_covered")).drop("_covered")
     strong = F.col("f").rlike(STRONG_CUE) & ~F.col("f").rlike(SOFT_CUE)
     hint = F.when(strong, lv.IMPERATIVE).when(F.col("f").rlike(DIFFERENTIATING_CUE), lv.DIFFERENTIATING).when(F.col("f").rlike(SOFT_CUE), lv.DESIRED).otherwise(lv.TO_CLARIFY)
     certainty = F.when(F.col("hedged"), "hedged").otherwise("certain").alias("certainty")
-    need = s.filter(F.col("kind") == "client_requirement").join(per, ids, "left")
-    need = need.select(*ids, "role", "kind", F.col("skill_key").alias("topic"), certainty, hint.alias("category_hint"), (F.col("role") != "client").alias("relayed"), "sent")
-    cons = s.filter(F.col("kind") == "candidate_constraint").select(*ids, "role", "kind", certainty, F.posexplode("constraints").alias("pos", "c"), "sent")
-    cons = cons.select(*ids, "role", "kind", "certainty", "pos", F.col("c.field").alias("field"), F.col("c.value").alias("value"), "sent")
-    exp = s.filter(F.col("kind") == "candidate_experience").join(per, ids)
+    joined = s.filter(F.col("kind").isin("client_requirement", "candidate_experience", "candidate_constraint")).join(per, ids, "left")
+    need = F.col("kind") == "client_requirement"
+    listed = F.when(~need, F.col("constraints"))
+    rest = joined.filter(F.col("kind") != "candidate_experience").select("*", F.posexplode_outer(listed).alias("pos", "c"))
+    rest = rest.select(
+        *ids, "role", "kind", F.when(need, F.col("skill_key")).alias("topic"), certainty, F.when(need, hint).alias("category_hint"), F.when(need, F.col("role") != "client").alias("relayed"),
+        "pos", F.col("c.field").alias("field"), F.col("c.value").alias("value"), "sent",
+    )
+    exp = joined.filter((F.col("kind") == "candidate_experience") & F.col("skill_key").isNotNull()).withColumnRenamed("role", "speaker_role")
     info = lexicon.select("skill_key", F.col("kind").alias("skill_kind"), F.transform(F.concat("depth_terms", "advanced_terms", "narrowers", "related"), lambda t: tx.fold(t)).alias("parts"))
     exp = exp.join(broadcast_if_small(info), "skill_key").join(broadcast_if_small(depth_patterns(lexicon)), "skill_key")
-    exp = exp.withColumn("_ff", tx.fold(F.translate("sent", "\n", " "))).withColumn("_cl", sp.clauses(F.col("_ff"))).withColumn("_neg", sp.negated_regions(F.col("_ff"), F.col("_cl")))
+    exp = computed_once(exp, _ff=tx.fold(F.translate("sent", "\n", " ")))
+    exp = computed_once(exp, _cl=sp.clauses(F.col("_ff")))
+    exp = computed_once(exp, _neg=sp.negated_regions(F.col("_ff"), F.col("_cl")))
     under = lambda p: F.exists("_neg", lambda r: (r["start"] <= p) & (p < r["end"]))
-    exp = exp.withColumn("at", F.coalesce(F.get(F.filter("starts", lambda p: ~under(p)), F.lit(0)), F.lit(-1))).withColumn("denied", F.col("at") < 0)
-    region = F.substring("_ff", F.array_min(F.transform("_neg", lambda r: r["start"])) + 1, F.array_max(F.transform("_neg", lambda r: r["end"])) - F.array_min(F.transform("_neg", lambda r: r["start"])))
+    lo, hi = F.array_min(F.transform("_neg", lambda r: r["start"])), F.array_max(F.transform("_neg", lambda r: r["end"]))
+    exp = computed_once(exp, at=F.coalesce(F.get(F.filter("starts", lambda p: ~under(p)), F.lit(0)), F.lit(-1)), region=F.substring("_ff", lo + 1, hi - lo))
+    exp = exp.withColumn("denied", F.col("at") < 0)
+    region = F.col("region")
     component = F.exists("ends", lambda e: F.exists("parts", lambda t: F.ltrim(F.substring(F.col("_ff"), e + 1, F.length(F.col("_ff")))).startswith(t)))
     absent = region.rlike(DIRECT_ABSENCE) & ~component & ~(region.rlike(SPECIFIC_ACTIVITY) & ~region.rlike("\\bjamais\\s+(?:utilise|travaille)"))
-    exp = exp.withColumn("absent", absent).withColumn("limited", sp.clause_at(F.col("_cl"), F.col("at"))["text"].rlike(LIMIT_CUE))
+    exp = computed_once(exp, absent=absent, limited=sp.clause_at(F.col("_cl"), F.col("at"))["text"].rlike(LIMIT_CUE))
     exp = exp.withColumn("crit", F.when(F.col("skill_kind").isin("activity", "domain"), F.col("skill_kind")).otherwise("skill")).drop("_ff", "_cl", "_neg")
     a = analyse_mentions(exp, today, item="sent", at="at", clues="clues", kind="crit")
     level = (
@@ -175,8 +184,8 @@ def facts(notes: DataFrame, lexicon: DataFrame, today: str, key: str = "note_id"
         .when(F.col("hedged") & (F.col("level_ord") == 4), 3).otherwise(F.col("level_ord"))
     )
     ek = F.when(F.col("denied"), F.when(F.col("absent"), CONTRADICTS).otherwise(LIMITS)).when(F.col("limited"), LIMITS).otherwise(SUPPORTS)
-    done = a.select(*ids, "role", F.lit("candidate_experience").alias("kind"), F.col("skill_key").alias("topic"), certainty, ek.alias("evidence_kind"), lv.level_name(level).alias("level"), "sent")
-    return done.unionByName(need, allowMissingColumns=True).unionByName(cons, allowMissingColumns=True)
+    done = a.select(*ids, F.col("speaker_role").alias("role"), F.lit("candidate_experience").alias("kind"), F.col("skill_key").alias("topic"), certainty, ek.alias("evidence_kind"), lv.level_name(level).alias("level"), "sent")
+    return done.unionByName(rest, allowMissingColumns=True)
 
 
 def to_evidence(f: DataFrame, note_kind: str) -> DataFrame:

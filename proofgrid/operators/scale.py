@@ -84,3 +84,13 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= k)
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns whose values later filters and projections only read.
+
+    A filter on a plain projected column is rewritten in terms of its expression and
+    pushed below; for an expression of many patterns that would evaluate it again for
+    every use. A one-row generator keeps the value.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
