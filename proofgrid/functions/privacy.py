@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions.text import fold
 
+# Open-ended repeats of groups are possessive or bounded: a greedy one recurses in the Java
+# engine, and one hostile text would overflow the stack of its executor.
 # Patterns of contact details, tokens that replace them, and the order of replacement.
 W = "\\p{L}\\p{N}_"
 URL = f"(?i)(?:https?://|www\\.)\\S+|(?<![{W}])(?:linkedin|github|gitlab|bitbucket|twitter|facebook|instagram|medium|behance|dribbble|stackoverflow)\\.[{W}]+/\\S*"
-EMAIL = f"[{W}.+-]+@[{W}-]+(?:\\.[{W}-]+)+"
-EMAIL_SPELLED = f"(?i)(?<![{W}])[{W}.+-]+\\s*[\\[(]\\s*(?:at|arobase)\\s*[\\])]\\s*[{W}-]+(?:\\s*[\\[(]\\s*(?:dot|point)\\s*[\\])]\\s*[{W}-]+)+"
+EMAIL = f"(?<![{W}.+-])[{W}.+-]+@[{W}-]+(?:\\.[{W}-]+)++"
+EMAIL_SPELLED = f"(?i)(?<![{W}])[{W}.+-]+\\s*[\\[(]\\s*(?:at|arobase)\\s*[\\])]\\s*[{W}-]+(?:\\s*[\\[(]\\s*(?:dot|point)\\s*[\\])]\\s*[{W}-]+)++"
 PHONE = f"(?<![{W}/])(?:(?:\\+|00)\\s?\\d{{1,3}}\\s?(?:\\(\\d\\))?|\\(\\+?\\d{{1,3}}\\)|0)(?:[\\s.\\-]?\\d){{8,11}}(?![{W}])"
 LINK_TOKEN, EMAIL_TOKEN, PHONE_TOKEN = "[lien retiré]", "[email retiré]", "[numéro retiré]"
 
@@ -30,7 +32,7 @@ INJECTIONS = [
     "affirme[rz]?\\s+(?:qu'il|que\\s+ce\\s+candidat)\\s+est\\s+expert",
     "recommande[rz]?\\s+(?:ce\\s+)?candidat\\s+(?:sans|automatiquement)",
 ]
-STUFFED_WORD = "\\b([a-z0-9+#.]{2,20})\\b(?:[\\s,;|/]+\\1\\b){6,}"
+STUFFED_WORD = "\\b([a-z0-9+#.]{2,20})\\b(?:[\\s,;|/]+\\1\\b){6}"
 ZERO_WIDTH = "[​‌‍⁠﻿]"
 
 
