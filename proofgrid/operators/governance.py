@@ -11,6 +11,7 @@ from proofgrid.functions import levels as lv
 from proofgrid.functions import text as tx
 from proofgrid.functions.hashing import hmac_sha256
 from proofgrid.functions.privacy import scrub
+from proofgrid.operators.claims import quotes_in_corpus
 from proofgrid.operators.scale import broadcast_if_small, previous_by_bucket, row_number_by_bucket, top_rows
 
 # Keys never logged as text, longest logged string, text left in place of erased content, wording of negative feedback, bounds of the history search.
@@ -146,12 +147,11 @@ def negative_feedback(text: Column) -> Column:
     return F.exists(words, lambda w: F.contains(f, w))
 
 
-def traced_quotes(requirements: DataFrame, sources: DataFrame, mission: str = "mission_id", min_chars: int = 12) -> DataFrame:
+def traced_quotes(requirements: DataFrame, sources: DataFrame, mission: str = "mission_id", source: str = "source_id") -> DataFrame:
     """Requirements whose quote stands in a recorded source of their mission."""
-    norm = lambda c: F.trim(F.regexp_replace(tx.fold(F.col(c)), tx.WS_CLASS + "+", " "))
-    r = requirements.withColumn("_q", norm("quote")).filter(F.length("_q") >= min_chars)
-    s = sources.select(F.col(mission).alias("_m"), norm("text").alias("_t"))
-    return r.join(s, (F.col("_m") == F.col(mission)) & F.contains(F.col("_t"), F.col("_q")), "left_semi").drop("_q")
+    r = requirements.withColumn("_rid", F.struct(*requirements.columns))
+    held = quotes_in_corpus(r, sources, "_rid", "quote", (source,), "text", (mission,))
+    return held.select("_rid").distinct().select("_rid.*")
 
 
 def library(entries: DataFrame, user: Column, status: str | None = None, family: str | None = None, query: str | None = None) -> DataFrame:

@@ -246,8 +246,8 @@ def flt_15(spark, sf):
     d = texts(spark, sf)
     reqs = table(spark, sf, "benchmark").select(F.col("item_id").alias("mission_id"), F.col("text").alias("quote"))
     own = d.select((F.col("doc_id") + 1_000_000).alias("mission_id"), F.substring("text", 1, 40).alias("quote"))
-    sources = d.select(F.pmod("doc_id", F.lit(40)).alias("mission_id"), "text").unionByName(d.select((F.col("doc_id") + 1_000_000).alias("mission_id"), "text"))
-    return gv.traced_quotes(reqs.unionByName(own), sources).select("mission_id")
+    sources = d.select("doc_id", F.pmod("doc_id", F.lit(40)).alias("mission_id"), "text").unionByName(d.select("doc_id", (F.col("doc_id") + 1_000_000).alias("mission_id"), "text"))
+    return gv.traced_quotes(reqs.unionByName(own), sources, source="doc_id").select("mission_id")
 
 
 @query("flt_17_library_listing", """

@@ -170,3 +170,15 @@ def test_evidence_stream_equals_batch(spark, tmp_path):
     batch = sorted(map(tuple, nt.evidence_effects(e, ["subject"], ["at", "n"], bucket).collect()))
     stream = jobs.reevaluation(file_stream(spark, str(tmp_path / "e"), e, files_per_batch=1), ["subject"], ["at", "n"], bucket)
     assert sorted(map(tuple, stream.select("subject", "effect").collect())) == batch
+
+
+def test_quotes_are_found_whatever_their_length_and_cut(spark):
+    from proofgrid.operators.claims import quotes_in_corpus
+
+    texts = ["Alpha beta gamma delta epsilon zeta eta theta iota kappa", "xalpha  beta gamma deltax", "interminablement\nlong mot", "rien ici du tout"]
+    quotes = ["pha beta gamma del", "ALPHA beta gamma delta epsilon zeta eta theta", "interminable", "erminablement long", "epsilon zeta et", "gamma delta absent"]
+    fold = lambda t: " ".join(t.lower().split())
+    want = {(i, j) for i, t in enumerate(texts) for j, q in enumerate(quotes) if fold(q) in fold(t)}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    q = spark.createDataFrame(list(enumerate(quotes)), "qid int, quote string")
+    assert {(r.doc_id, r.qid) for r in quotes_in_corpus(q, d, "qid", "quote").collect()} == want
