@@ -261,7 +261,7 @@ def agg_21(spark, sf):
 
 
 @query("join_22_volume_scope", f"""
-WITH v AS (SELECT l_orderkey || '_' || l_partkey || '_' || l_linenumber || '_' || l_suppkey AS row_id, l_suppkey % 2 = 0 AS ins, {VOL_SQL} AS v FROM (SELECT *, CAST(l_quantity AS INT) AS a FROM lineitem))
+WITH v AS (SELECT l_orderkey || '_' || l_partkey || '_' || l_linenumber || '_' || l_suppkey AS row_id, l_suppkey % 2 = 0 AS ins, max({VOL_SQL}) AS v FROM (SELECT *, CAST(l_quantity AS INT) AS a FROM lineitem) GROUP BY ALL)
 SELECT row_id, CASE WHEN NOT ins THEN 1 WHEN v >= 100000 THEN 4 WHEN v >= 10000 THEN 3 ELSE 2 END::BIGINT AS level_ord, NOT ins AS elsewhere FROM v WHERE v IS NOT NULL""")
 def join_22(spark, sf):
     l = volume_lines(spark, sf)
