@@ -54,7 +54,7 @@ def test_packing_rounds_and_density(spark, sf):
     whole = packing.best_fit([r["length"] for r in rows], 512)[2]
     assert n <= 1.05 * len(whole) + 1        # partitions of a dozen documents, groups of 8 bins
     rows = packing.pack(docs, queries.WORD_TOKENIZER).collect()
-    assert len({r["sequence_id"] for r in rows}) <= 1.02 * -(-sum(r["length"] for r in rows) // 2048) + 1
+    assert len({r["sequence_id"] for r in rows}) <= 1.06 * -(-sum(r["length"] for r in rows) // 2048) + 1
 
 
 def test_best_fit_takes_the_tightest_bin():
