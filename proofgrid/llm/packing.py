@@ -13,7 +13,10 @@ text are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +31,15 @@ CACHE_LIMIT = 400_000
 PIECES_AT_ONCE = 200_000
 _worker: dict = {}
 
+# Characters whose case, composition and class are the same in every Unicode version, and the cuts that
+# the word tokenizer makes among them. Everything else is left to the library as a whole.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+CUT_RULE = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+#: Bytes that are no printable Latin-1 letters are written as letters from U+0100 on, in order.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+STEPS = ["NFC", "Replace", "Lowercase"]
+
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
     """Best-fit decreasing: for each item its bin and its place in the bin, and the fill of each bin.
@@ -56,35 +68,67 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return bins, offsets, fills
 
 
-def encoder(path: str):
-    """The worker's tokenizer and its cache from a run of characters that are not white space to its ids (as bytes)."""
-    if path not in _worker:
+class WordEncoder:
+    """Little-endian 32-bit ids of texts, for tokenizers that drop white space and never join across it.
+
+    A text is cut at ASCII white space. The ids of a run are kept in a cache; a run of plain characters that is not in it
+    is lower-cased and cut as the tokenizer does it, and the library's model encodes the parts, which are kept as well.
+    Other runs, and tokenizers with other rules, are encoded by the library as a whole.
+    """
+
+    def __init__(self, path: str):
         one_thread()
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _worker[path] = (t, {})
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
+        rules = json.loads(self.library.to_str())
+        steps = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [x.get("pattern") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_parts = steps == STEPS and cuts[:1] == [CUT_RULE] and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        self.runs: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_runs, self.old_parts = self.runs, self.parts       # a full cache is kept until the next one is full
+
+    def part(self, part: str) -> bytes:
+        ids = self.old_parts.get(part) or array("I", [t.id for t in self.model.tokenize(byte_letters(part))]).tobytes()
+        self.parts[part] = ids
+        return ids
+
+    def run(self, run: bytes) -> bytes | None:
+        text = run.decode("utf-8", "replace")
+        if not self.by_parts or "<|" in text or not PLAIN.fullmatch(text):
+            return None
+        return b"".join([self.parts.get(p) or self.part(p) for p in CUTS.findall(text.lower())])
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        here = set().union(*words)
+        if len(self.runs) > CACHE_LIMIT:
+            self.runs, self.old_runs = {}, self.runs
+        if len(self.parts) > CACHE_LIMIT:
+            self.parts, self.old_parts = {}, self.parts
+        ids = {w: self.runs.get(w) or self.old_runs.get(w) or self.run(w) for w in here}
+        rest = [w for w, x in ids.items() if x is None]
+        for e, w in zip(self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), rest, strict=True):
+            ids[w] = array("I", e.ids).tobytes()
+        self.runs |= ids
+        return [b"".join(map(ids.__getitem__, ws)) for ws in words]
+
+
+def byte_letters(text: str) -> str:
+    """The printable letters that byte-level vocabularies write for the bytes of a text."""
+    return text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _worker:
+        _worker[path] = WordEncoder(path)
     return _worker[path]
 
 
-def encode_words(texts: list[bytes], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, for tokenizers that drop white space and never join across it.
-
-    Only ASCII white space cuts; the library itself deals with the rest.
-    """
-    tokenizer, cache = encoder(path)
-    words = [t.split() for t in texts]
-    new = list(set().union(*words) - cache.keys())
-    if len(cache) + len(new) > CACHE_LIMIT:
-        cache.clear()
-        new = list(set().union(*words))
-    for e, w in zip(tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), new, strict=True):
-        cache[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-    return [b"".join(map(cache.__getitem__, ws)) for ws in words]
-
-
 def packed_pieces(
     docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, slack: int = 4, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -110,10 +154,10 @@ def packed_pieces(
             made, held = made + len(fills), []
             return out
 
-        id_type = None
+        id_type, encode = None, encoder(path)
         for batch, texts in chunks(batches, 1):
             id_type = batch.schema.field(0).type
-            for i, ids in zip(batch.column(0).to_pylist(), encode_words([t or b"" for t in texts], path), strict=True):
+            for i, ids in zip(batch.column(0).to_pylist(), encode([t or b"" for t in texts]), strict=True):
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
