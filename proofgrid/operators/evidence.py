@@ -11,7 +11,7 @@ from proofgrid.functions import scope as sp
 from proofgrid.functions import signals as sg
 from proofgrid.functions import text as tx
 from proofgrid.functions.levels import lookup
-from proofgrid.operators.mentions import TOKEN, alias_table, candidates, term_pattern
+from proofgrid.operators.mentions import alias_table, candidates, term_pattern
 from proofgrid.operators.scale import broadcast_if_small, computed_once
 
 # Mentions analysed per criterion and document; versions cited after a name.
@@ -89,13 +89,13 @@ def first_mentions(hits: DataFrame, keys: Sequence[str], cap: int = MENTION_CAP)
 
 
 def described_activities(items: DataFrame, named: DataFrame, lexicon: DataFrame, keys: Sequence[str], folded: str) -> DataFrame:
-    """Items that show at least two distinct depth clues of an activity although its name is absent from them."""
-    acts = depth_patterns(lexicon.filter(F.col("kind") == "activity"))
-    terms = acts.select("skill_key", F.explode("clues").alias("c")).select(
-        "skill_key", F.array_join(F.regexp_extract_all(tx.fold(F.col("c.term")), F.lit(TOKEN), F.lit(0)), "").alias("tok"), F.col("c.rx").alias("rx"), stem(F.col("c.term")).alias("clue")
-    )
-    words = items.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0)))).alias("tok"))
-    found = words.join(broadcast_if_small(terms), "tok")
+    """Items that show at least two distinct depth clues of an activity although its name is absent from them.
+
+    The clue terms are looked up like aliases: token groups find the candidates, the pattern decides.
+    """
+    acts = lexicon.filter(F.col("kind") == "activity").withColumn("aliases", F.col("depth_terms")).withColumn("case_sensitive", F.array().cast("array<string>"))
+    terms = alias_table(acts).withColumn("clue", stem(F.col("alias")))
+    found = candidates(items.select(*keys, folded), terms, keys, folded).filter(F.rlike(F.col(folded), F.col("rx")))
     enough = found.groupBy(*keys, "skill_key").agg(F.count_distinct("clue").alias("clues")).filter(F.col("clues") >= 2)
     return enough.join(named.select(*keys, "skill_key"), [*keys, "skill_key"], "left_anti")
 

@@ -137,9 +137,14 @@ def usable(kind: Column, dimension: Column, generic: Column, category: Column, t
 def ranked_requirements(reqs: DataFrame, key: str = "mission_id") -> DataFrame:
     """Requirements of a mission by strength of category, rarity and label; only those a filter can use."""
     order = [lv.strength(F.col("category"), lv.FILTER_STRENGTH).desc(), F.col("rarity").desc(), F.col("label"), F.col("req_id")]
-    return reqs.filter(F.col("reason").isNull()).withColumn("_strong", F.col("category").isin(lv.ELIMINATORY, lv.IMPERATIVE, lv.DIFFERENTIATING)).transform(
-        lambda d: top_rows(d, [key], order, 50, "pos")
-    )
+    free = reqs.filter(F.col("reason").isNull()).withColumn("_strong", F.col("category").isin(lv.ELIMINATORY, lv.IMPERATIVE, lv.DIFFERENTIATING))
+    return free.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint"))
+
+
+def strict_groups(ranked: DataFrame, key: str = "mission_id", limit: int = MAX_STRICT_GROUPS) -> DataFrame:
+    """The imposed requirements, each searched or left to scoring: the strict filter takes the first ``limit``."""
+    hard = ranked.filter(F.col("category").isin(lv.ELIMINATORY, lv.IMPERATIVE))
+    return hard.withColumn("searched", F.row_number().over(Window.partitionBy(key).orderBy("pos")) <= limit)
 
 
 def three_strategies(ranked: DataFrame, key: str = "mission_id", k: int = 3, strict: int = MAX_STRICT_GROUPS) -> DataFrame:
@@ -150,7 +155,7 @@ def three_strategies(ranked: DataFrame, key: str = "mission_id", k: int = 3, str
     loose = head.groupBy(key).agg(body(F.get("terms", F.lit(0)), " OR ").alias("query")).select(key, F.lit("exploratory").alias("strategy"), "query")
     width = F.when(F.col("n") == 1, pick(3)).otherwise(pick(2))
     middle = head.groupBy(key).agg(body(width, " AND ").alias("query")).select(key, F.lit("balanced").alias("strategy"), "query")
-    hard = top_rows(ranked.filter(F.col("category").isin(lv.ELIMINATORY, lv.IMPERATIVE)), [key], [F.col("pos")], strict, "n")
+    hard = strict_groups(ranked, key, strict).filter("searched")
     hard = hard.groupBy(key).agg(body(pick(2), " AND ").alias("query")).select(key, F.lit("strict").alias("strategy"), "query")
     return loose.unionByName(middle).unionByName(hard)
 
@@ -261,7 +266,7 @@ def split_long_phrase(groups: DataFrame) -> DataFrame:
     lone = groups.filter((F.size("terms") == 1) & (F.size(words) >= 3))
     halves = F.array(
         F.struct(F.lit("head").alias("part"), F.array_join(F.slice(words, 1, 2), " ").alias("term")),
-        F.struct(F.lit("tail").alias("part"), F.array_join(F.slice(words, 3, 1000), " ").alias("term")),
+        F.struct(F.lit("tail").alias("part"), F.array_join(F.slice(words, F.lit(3), F.size(words)), " ").alias("term")),
     )
     return lone.select("search_id", "group_id", F.explode(halves).alias("h")).select("search_id", "group_id", "h.part", "h.term")
 

@@ -78,7 +78,7 @@ def blocks(needs: DataFrame, key: str = "mission_id", text: str = "text") -> Dat
     l = l.withColumn("body", F.when(F.col("head").isNull(), F.col("line")).when(F.contains("line", F.lit(":")) & (F.length(rest) > 2), rest)).filter("body is not null")
     s = l.select(key, "line_no", "section", F.posexplode(F.split("body", "(?<=[.!?;])\\s+")).alias("part", "sent"))
     s = s.withColumn("sent", F.trim("sent", F.lit(" -–—•*·▪►→\t"))).filter(F.col("sent") != "")
-    return s.withColumn("sent_no", F.col("line_no") * 1000 + F.col("part")).select(key, "sent_no", "section", "sent", tx.fold_compact(F.col("sent")).alias("f"))
+    return s.withColumn("sent_no", F.col("line_no").cast("bigint") * 4294967296 + F.col("part")).select(key, "sent_no", "section", "sent", tx.fold_compact(F.col("sent")).alias("f"))
 
 
 def category(section: Column, f: Column) -> Column:

@@ -27,13 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by the row key when the input has fewer splits than the session has cores.
+    """Hash-partition by the row key when the scan has fewer splits than the session has cores.
 
-    A few small files would otherwise leave most cores idle during text work; with
-    many splits the scan is already balanced and nothing is shuffled.
+    One small file would otherwise leave most cores idle during text work; a table with
+    as many splits as cores is read as it is, and nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

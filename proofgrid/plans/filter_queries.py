@@ -260,13 +260,9 @@ def top_5(spark, sf):
 
 
 @query("top_9_strict_groups", f"""
-WITH {REQS_SQL} SELECT mission_id, req_id, row_number() OVER (PARTITION BY mission_id ORDER BY pos) <= 2 AS searched FROM rr WHERE category IN ('eliminatoire_confirme', 'imperatif')""")
+WITH {REQS_SQL} SELECT mission_id, req_id, row_number() OVER (PARTITION BY mission_id ORDER BY pos) <= 5 AS searched FROM rr WHERE category IN ('eliminatoire_confirme', 'imperatif')""")
 def top_9(spark, sf):
-    from pyspark.sql import Window
-
-    hard = fl.ranked_requirements(order_requirements(spark, sf)).filter(F.col("category").isin(lv.ELIMINATORY, lv.IMPERATIVE))
-    w = Window.partitionBy("mission_id").orderBy("pos")
-    return hard.select("mission_id", "req_id", (F.row_number().over(w) <= 2).alias("searched"))
+    return fl.strict_groups(fl.ranked_requirements(order_requirements(spark, sf))).select("mission_id", "req_id", "searched")
 
 
 @query("join_35_left_out", f"""

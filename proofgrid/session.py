@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,11 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the cluster's shared folder.
-
-    Without a configured folder (plain local runs) the plan is returned as it is:
-    the result is the same, it is only computed again when it is read twice.
-    """
+    """Cut the lineage by a reliable checkpoint in the cluster's shared folder; in a temporary one only where none is named."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    if folder is None:
-        return df
-    spark.sparkContext.setCheckpointDir(folder)
+    if folder is None and spark.sparkContext.getCheckpointDir() is None:
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if folder is not None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -17,18 +17,24 @@ NEED_SCHEMA = ", ".join(f"`{f}` string" for f in FIELDS)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Needs of a JSON-lines snapshot; malformed lines fail the read."""
-    raw = spark.read.text(path)
-    checked = validate_json(raw.select(F.col("value").alias("json")))
-    return checked.filter("problem is null").select("need.*")
+    """Needs of a JSON-lines snapshot. One bad row refuses the whole snapshot: the read fails and names its problem."""
+    checked = snapshot_rows(spark, path)
+    refused = F.raise_error(F.concat(F.lit("snapshot refused: "), "problem", F.lit(" in "), F.substring("json", 1, 200)))
+    return checked.select(F.when(F.col("problem").isNull(), F.col("need")).otherwise(refused).alias("need")).select("need.*")
+
+
+def snapshot_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Every row of a snapshot with its need and its problem, to show what is wrong with a refused one."""
+    return validate_json(spark.read.text(path).select(F.col("value").alias("json")))
 
 
 def validate_json(rows: DataFrame, json: str = "json") -> DataFrame:
     """Parsed need and the first problem of each JSON row: unreadable, unknown field, missing or repeated identifier."""
     r = rows.withColumn("_keys", F.map_keys(F.from_json(json, "map<string,string>"))).withColumn("need", F.from_json(json, NEED_SCHEMA))
     r = r.withColumn("_id", F.trim(F.coalesce("need.external_id", F.lit(""))))
-    counts = r.groupBy("_id").agg(F.count("*").alias("_n")).filter("_n > 1")
-    r = r.join(counts, "_id", "left")
+    # rows without identifier are not counted: they would all meet on one key
+    again = r.filter("_id <> ''").groupBy("_id").agg(F.count("*").alias("_n")).filter("_n > 1")
+    r = r.join(again, "_id", "left")
     unknown = F.size(F.array_except("_keys", F.array(*[F.lit(f) for f in FIELDS]))) > 0
     problem = F.when(F.col("_keys").isNull(), "unreadable").when(unknown, "unknown_field").when(F.col("_id") == "", "missing_id").when(F.col("_n") > 1, "repeated_id")
     return r.withColumn("problem", problem).drop("_keys", "_id", "_n")

@@ -116,7 +116,11 @@ def test_files_json_and_sinks(spark, tmp_path):
     got = {r["name"]: (r["kind"], r["status"]) for r in src.admit(src.read_files(spark, str(tmp_path / "in"))).collect()}
     assert got == {"a.txt": ("txt", "queued"), "b.pdf": ("pdf", "queued"), "c.bin": ("unsupported", "failed")}
     (tmp_path / "needs.json").write_text('{"external_id":"1","title":"A"}\n{"external_id":"2","phone":"x"}\n')
-    assert [r["external_id"] for r in ns.read_snapshot(spark, str(tmp_path / "needs.json")).collect()] == ["1"]
+    with pytest.raises(Exception, match="snapshot refused: unknown_field"):
+        ns.read_snapshot(spark, str(tmp_path / "needs.json")).collect()
+    assert [r["problem"] for r in ns.snapshot_rows(spark, str(tmp_path / "needs.json")).collect()] == [None, "unknown_field"]
+    (tmp_path / "good.json").write_text('{"external_id":"1","title":"A"}\n{"external_id":"2"}\n')
+    assert sorted(r["external_id"] for r in ns.read_snapshot(spark, str(tmp_path / "good.json")).collect()) == ["1", "2"]
     v = spark.createDataFrame([(1, 1, "x")], "mission_id int, version int, document string")
     sinks.append_versions(v, str(tmp_path / "v"), "mission_id")
     sinks.append_versions(v.withColumn("version", F.lit(2)), str(tmp_path / "v"), "mission_id")
@@ -182,3 +186,17 @@ def test_quotes_are_found_whatever_their_length_and_cut(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     q = spark.createDataFrame(list(enumerate(quotes)), "qid int, quote string")
     assert {(r.doc_id, r.qid) for r in quotes_in_corpus(q, d, "qid", "quote").collect()} == want
+
+
+def test_no_cut_beyond_the_old_limits(spark, monkeypatch):
+    from proofgrid.functions import levels as lv
+    from proofgrid.operators import claims, filters
+
+    reqs = spark.createDataFrame([(1, f"r{i:03}", f"label {i}", lv.IMPERATIVE, 1, None) for i in range(60)], "mission_id int, req_id string, label string, category string, rarity int, reason string")
+    ranked = filters.ranked_requirements(reqs)
+    assert ranked.count() == 60 and ranked.agg(F.max("pos")).first()[0] == 60
+    assert filters.strict_groups(ranked).filter("searched").count() == filters.MAX_STRICT_GROUPS
+    monkeypatch.setattr(claims, "LITERAL_KEYS", 7)
+    short = spark.createDataFrame([(f"alphabet{i:03}",) for i in range(40)], "_q string")
+    parts = claims._chunks(short)
+    assert len(parts) > 1 and sorted(x for p in parts for x in p) == sorted(r["_q"] for r in short.collect())
