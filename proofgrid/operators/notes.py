@@ -236,22 +236,42 @@ def _effect(x: Column) -> Column:
     )
 
 
-def evidence_effects(evidence: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
-    """Ordered effect of all evidence rows per key, as the level each of the five start levels ends at.
+PIECE = 1024
+
+
+def bucket_effects(evidence: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, piece: int = PIECE) -> DataFrame:
+    """(keys, _b, effect): the ordered effect of the evidence of every (key, bucket) on each of the five levels.
 
-    A row is a function on five levels and functions compose: the rows of a (key,
-    bucket) are composed first, then the buckets of a key, so no task holds all the
-    rows of a hot key. ``bucket`` must not decrease along ``order``.
+    A row is a function on five levels and functions compose: rows are numbered in order and composed in pieces of a
+    fixed size, pieces of pieces again, so no list ever holds more than ``piece`` rows however hot a key is.
     """
     effect = F.array(*[_effect(F.lit(i)).cast("int") for i in range(5)])
+    cell = [*keys, "_b"]
+    e = evidence.select(*keys, *order, bucket.alias("_b"), effect.alias("effect"))
+    part = e.select(*cell, (F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1).cast("bigint").alias("_p"), "effect")
+    for _ in range(3):
+        part = part.groupBy(*cell, F.floor(F.col("_p") / piece).alias("_q")).agg(_composed("_p").alias("effect")).withColumnRenamed("_q", "_p")
+    return part.groupBy(*cell).agg(_composed("_p").alias("effect"))
+
+
+def _composed(order: str) -> Column:
+    """Composition of the effects of a group in order."""
     identity = F.array(*[F.lit(i) for i in range(5)])
+    rows = F.array_sort(F.collect_list(F.struct(order, "effect")))
+    return F.aggregate(rows, identity, lambda acc, r: F.transform(acc, lambda x: F.get(r["effect"], x)))
 
-    def compose(rows: Column) -> Column:
-        return F.aggregate(rows, identity, lambda acc, r: F.transform(acc, lambda x: F.get(r["effect"], x)))
 
-    e = evidence.select(*keys, *order, bucket.alias("_b"), effect.alias("effect"))
-    part = e.groupBy(*keys, "_b").agg(compose(F.array_sort(F.collect_list(F.struct(*order, "effect")))).alias("effect"))
-    return part.groupBy(*keys).agg(compose(F.array_sort(F.collect_list(F.struct("_b", "effect")))).alias("effect"))
+def composed_buckets(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, effect) from the effects of the buckets of each key, in bucket order."""
+    return parts.groupBy(*keys).agg(_composed("_b").alias("effect"))
+
+
+def evidence_effects(evidence: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+    """Ordered effect of all evidence rows per key, as the level each of the five start levels ends at.
+
+    ``bucket`` must not decrease along ``order``; buckets are composed apart and then in order.
+    """
+    return composed_buckets(bucket_effects(evidence, keys, order, bucket), keys)
 
 
 def merged_levels(levels: DataFrame, effects: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,11 +11,13 @@ from proofgrid.plans.note_queries import FOLD_SQL, line_evidence
 from proofgrid.plans.text_queries import ADMIT_SQL
 from proofgrid.sources import documents as src
 from proofgrid.streaming import jobs
-from proofgrid.streaming.runtime import file_stream, work_folder
+from proofgrid.streaming.runtime import deliveries, file_stream
 
 
-def stream_of(spark, sf, name):
-    return file_stream(spark, sf, table(spark, sf, name), f"{name}.parquet")
+def stream_of(spark, sf, name, key, n=3):
+    """The table as ``n`` deliveries that mix all of its keys, one per batch."""
+    rows = table(spark, sf, name)
+    return file_stream(spark, deliveries(rows, F.pmod(F.xxhash64(key), F.lit(n)), n), rows, files_per_batch=1)
 
 
 def as_files(batch):
@@ -31,20 +33,22 @@ def as_files(batch):
 
 @query("str_1_document_intake", ADMIT_SQL + "SELECT doc_id, error_code, CASE WHEN error_code IS NULL THEN 'queued' ELSE 'failed' END AS status FROM c")
 def str_1(spark, sf):
-    return jobs.intake(stream_of(spark, sf, "documents"), as_files).select("doc_id", "error_code", "status")
+    return jobs.intake(stream_of(spark, sf, "documents", "doc_id"), as_files).select("doc_id", "error_code", "status")
 
 
 @query("str_2_streaming_copies", f"SELECT DISTINCT sha256(trim(regexp_replace({fold_sql('text')}, '\\s+', ' ', 'g'))) AS text_key FROM documents")
 def str_2(spark, sf):
-    s = stream_of(spark, sf, "documents").select(text_key(F.col("text")).alias("text_key"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("arrived"))
-    return jobs.first_copies(s, "arrived", ["text_key"], "30 days").select("text_key")
+    # one document a minute, in the order of the ids
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("doc_id"))
+    s = stream_of(spark, sf, "documents", "doc_id").select(text_key(F.col("text")).alias("text_key"), arrived.alias("arrived"))
+    return jobs.first_copies(s, "arrived", ["text_key"], "3650 days").select("text_key")
 
 
 @query("str_3_sliding_request_counts", """
 WITH w AS (SELECT user_id, epoch_us(ts) // 10000000 * 10 - k * 10 AS s FROM events, (VALUES (0), (1), (2), (3), (4), (5)) AS v(k))
 SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, user_id, count(*) AS requests, count(*) > 1 AS limited FROM w GROUP BY s, user_id""")
 def str_3(spark, sf):
-    s = stream_of(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s = stream_of(spark, sf, "events", "event_id").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     c = jobs.sliding_counts(s, "ts", "user_id", "60 seconds", "10 seconds", "40 days", 1)
     return c.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "user_id", "requests", "limited")
 
@@ -55,19 +59,22 @@ def str_4(spark, sf):
         return line_evidence(spark, sf, batch)
 
     month = F.year("created_at") * 12 + F.month("created_at")
-    e = jobs.reevaluation(stream_of(spark, sf, "lineitem"), ["subject"], ["created_at", "id"], month, prepare)
+    e = jobs.reevaluation(stream_of(spark, sf, "lineitem", "l_orderkey"), ["subject"], ["created_at", "id"], month, prepare)
     return e.select("subject", F.array_join("effect", ",").alias("effect"))
 
 
 @query("str_5_continuous_audit", f"WITH {gq.CHAIN_SQL} SELECT seg, head_seq, broken_at FROM c")
 def str_5(spark, sf):
-    heads = jobs.audit_heads(stream_of(spark, sf, "events"), ["seg"], gq.KEY, gq.log_of)
-    return heads.select("seg", "head_seq", "broken_at")
+    # every chain arrives in three parts, so the second and third start from the head carried before them
+    log = gq.log_of(table(spark, sf, "events"))
+    part = F.floor(3 * F.pmod("seq", F.lit(gq.SEGMENT)) / gq.SEGMENT)
+    stream = file_stream(spark, deliveries(log, part, 3), log, files_per_batch=1)
+    return jobs.audit_heads(stream, ["seg"], gq.KEY, lambda batch: batch).select("seg", "head_seq", "broken_at")
 
 
 @query("str_6_retention_pass", f"WITH {gq.RETENTION_SQL} SELECT doc_id FROM x WHERE candidate_id NOT IN (SELECT candidate_id FROM dm)")
 def str_6(spark, sf):
-    return jobs.retention_pass(stream_of(spark, sf, "documents"), TODAY, gq.retention_rows).select("doc_id")
+    return jobs.retention_pass(stream_of(spark, sf, "documents", "doc_id"), TODAY, gq.retention_rows).select("doc_id")
 
 
 @query("str_7_late_evidence", """
@@ -76,8 +83,6 @@ k AS (SELECT a.arrival, (SELECT max(newest) FROM m WHERE m.arrival < a.arrival)
 SELECT event_id, coalesce(ts < mark - INTERVAL 864000 SECONDS, FALSE) AS late FROM a JOIN k USING (arrival)""")
 def str_7(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", F.when(F.pmod("event_id", F.lit(13)) == 0, 3).otherwise(F.pmod("event_id", F.lit(3))).alias("arrival"))
-    folder = work_folder(spark, "arrivals")
-    for i in range(4):      # four deliveries, one after the other
-        e.filter(F.col("arrival") == i).coalesce(1).write.mode("append").parquet(folder)
+    folder = deliveries(e, F.col("arrival"), 4)
     on_time, late = jobs.split_late(file_stream(spark, folder, e, files_per_batch=1), "ts", 864_000, ["event_id", "ts"])
     return on_time.unionByName(late).select("event_id", "late")

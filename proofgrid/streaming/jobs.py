@@ -13,9 +13,9 @@ from proofgrid.sources import documents as src
 from proofgrid.streaming.runtime import read_batches, run_batches, work_folder, write_batch
 
 
-def intake(stream: DataFrame, to_files) -> DataFrame:
+def intake(stream: DataFrame, to_files, folder: str | None = None) -> DataFrame:
     """Admission of arriving documents; the checkpoint takes the place of a queue."""
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "intake")
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "intake", folder)
 
     def step(batch: DataFrame, n: int) -> None:
         write_batch(src.admit(to_files(batch)).select("doc_id", "kind", "error_code", "status"), f"{folder}/out", n)
@@ -24,17 +24,17 @@ def intake(stream: DataFrame, to_files) -> DataFrame:
     return read_batches(spark, f"{folder}/out").drop("batch")
 
 
-def first_copies(stream: DataFrame, ts: str, keys: Sequence[str], delay: str) -> DataFrame:
+def first_copies(stream: DataFrame, ts: str, keys: Sequence[str], delay: str, folder: str | None = None) -> DataFrame:
     """Each content key once within the watermark."""
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "copies")
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "copies", folder)
     once = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
     run_batches(once, folder, lambda batch, n: write_batch(batch, f"{folder}/out", n))
     return read_batches(spark, f"{folder}/out").drop("batch")
 
 
-def sliding_counts(stream: DataFrame, ts: str, identity: str, window: str, slide: str, delay: str, limit: int) -> DataFrame:
+def sliding_counts(stream: DataFrame, ts: str, identity: str, window: str, slide: str, delay: str, limit: int, folder: str | None = None) -> DataFrame:
     """Requests per identity and sliding window; a later update of a window replaces the earlier one."""
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "rates")
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "rates", folder)
     counts = stream.withWatermark(ts, delay).groupBy(F.window(ts, window, slide), identity).agg(F.count("*").alias("requests"))
     flat = counts.select(F.col("window.start").alias("window_start"), identity, "requests")
     run_batches(flat, folder, lambda batch, n: write_batch(batch, f"{folder}/out", n), "update")
@@ -42,35 +42,40 @@ def sliding_counts(stream: DataFrame, ts: str, identity: str, window: str, slide
     return last.withColumn("limited", F.col("requests") > limit)
 
 
-def reevaluation(stream: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, prepare=lambda df: df) -> DataFrame:
-    """Effects of the evidence received so far, computed again for the keys a batch touches.
+def reevaluation(stream: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, prepare=lambda df: df, folder: str | None = None) -> DataFrame:
+    """Effects of the evidence received so far, computed again for the (key, bucket) cells a batch touches.
 
-    The evidence is kept in an append-only table; a batch reads back only its own keys.
+    The evidence is kept in a table partitioned by bucket. A batch, late rows included, reads back its own buckets only
+    and replaces the effects of its own cells; the effect of a key is composed from its cells.
     """
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "evidence")
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "evidence", folder)
+    cell = [*keys, "_b"]
 
     def step(batch: DataFrame, n: int) -> None:
-        write_batch(prepare(batch), f"{folder}/evidence", n)
+        rows = prepare(batch).withColumn("_b", bucket)
+        write_batch(rows, f"{folder}/evidence", n, "_b")
         known = read_batches(spark, f"{folder}/evidence").filter(F.col("batch") <= n)
-        touched = known.filter(F.col("batch") == n).select(*keys).distinct()
-        write_batch(nt.evidence_effects(known.join(touched, list(keys), "left_semi"), keys, order, bucket), f"{folder}/out", n)
+        touched = known.filter(F.col("batch") == n).select(*cell).distinct()
+        write_batch(nt.bucket_effects(known.join(touched, cell, "left_semi"), keys, order, F.col("_b")), f"{folder}/out", n)
 
     run_batches(stream, folder, step)
-    return gv.latest_per_key(read_batches(spark, f"{folder}/out"), keys, ["batch"]).drop("batch")
+    return nt.composed_buckets(gv.latest_per_key(read_batches(spark, f"{folder}/out"), cell, ["batch"]).drop("batch"), keys)
 
 
-def audit_heads(stream: DataFrame, keys: Sequence[str], key_hex: str, to_log) -> DataFrame:
-    """Each batch is verified against the head carried from the batches before; the newest head per chain is published.
+def audit_heads(stream: DataFrame, keys: Sequence[str], key_hex: str, to_log, folder: str | None = None) -> DataFrame:
+    """Each batch is verified against the heads carried from the batch before; the newest head per chain is published.
 
-    A chain that continues in a later batch is checked through its last verified row.
+    A chain that continues in a later batch is checked through its last verified row. Every batch writes the heads of all
+    chains, so it reads one table of heads, never the history.
     """
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "audit")
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "audit", folder)
 
     def step(batch: DataFrame, n: int) -> None:
         log = to_log(batch).select(*keys, "seq", "payload", "prev_hash", "hash")
         bad = gv.broken_links(log, keys, key_hex)
+        heads = None
         if n > 0:
-            heads = gv.latest_per_key(read_batches(spark, f"{folder}/out").filter(F.col("batch") < n), keys, ["batch"])
+            heads = spark.read.parquet(f"{folder}/heads/batch={n - 1}")
             first = log.groupBy(*keys).agg(F.min("seq").alias("_first"))
             carried = log.join(first, list(keys)).join(heads.select(*keys, F.col("head_hash").alias("_head")), list(keys), "left")
             start = F.coalesce("_head", F.lit(""))
@@ -79,40 +84,46 @@ def audit_heads(stream: DataFrame, keys: Sequence[str], key_hex: str, to_log) ->
             inner = bad.join(first, list(keys)).filter(F.col("seq") != F.col("_first")).select(*keys, "seq")
             bad = inner.unionByName(joint)
         broken = bad.groupBy(*keys).agg(F.min("seq").alias("broken_at"))
-        head = log.groupBy(*keys).agg(F.max("seq").alias("head_seq"), F.max_by("hash", "seq").alias("head_hash"))
-        write_batch(head.join(broken, list(keys), "left"), f"{folder}/out", n)
+        head = log.groupBy(*keys).agg(F.max("seq").alias("head_seq"), F.max_by("hash", "seq").alias("head_hash")).join(broken, list(keys), "left")
+        if heads is not None:
+            both = head.unionByName(heads)
+            head = both.groupBy(*keys).agg(F.max("head_seq").alias("head_seq"), F.max_by("head_hash", "head_seq").alias("head_hash"), F.min("broken_at").alias("broken_at"))
+        write_batch(head, f"{folder}/heads", n)
 
     run_batches(stream, folder, step)
-    rows = read_batches(spark, f"{folder}/out")
-    return rows.groupBy(*keys).agg(F.max("head_seq").alias("head_seq"), F.max_by("head_hash", "head_seq").alias("head_hash"), F.min("broken_at").alias("broken_at"))
+    return gv.latest_per_key(read_batches(spark, f"{folder}/heads"), keys, ["batch"]).drop("batch")
 
 
-def retention_pass(stream: DataFrame, today: str, to_rows) -> DataFrame:
-    """Scheduled purge: running it again on the same input changes nothing."""
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "retention")
+def retention_pass(stream: DataFrame, today: str, to_rows, key: str = "candidate_id", folder: str | None = None) -> DataFrame:
+    """Scheduled purge over all rows received so far: an expired row erases its candidate in every delivery, before and after.
+
+    Rows and the keys of expired candidates are kept apart; running the pass again on the same input changes nothing.
+    """
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "retention", folder)
 
     def step(batch: DataFrame, n: int) -> None:
         rows = to_rows(batch)
-        write_batch(gv.purge(rows, gv.expired(rows, today)), f"{folder}/out", n)
+        write_batch(gv.expired(rows, today).select(key).distinct(), f"{folder}/doomed", n)
+        write_batch(rows, f"{folder}/rows", n)
 
     run_batches(stream, folder, step)
-    return read_batches(spark, f"{folder}/out").drop("batch")
+    return gv.purge(read_batches(spark, f"{folder}/rows").drop("batch"), read_batches(spark, f"{folder}/doomed"), key)
 
 
-def split_late(stream: DataFrame, ts: str, delay_seconds: int, keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def split_late(stream: DataFrame, ts: str, delay_seconds: int, keep: Sequence[str], folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """On-time rows, and the rows later than the delay behind the newest time of the earlier batches (kept in a side table)."""
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "late")
+    spark, folder = stream.sparkSession, work_folder(stream.sparkSession, "late", folder)
 
     def step(batch: DataFrame, n: int) -> None:
         rows = batch.select(*keep)
         mark = None
         if n > 0:
-            mark = read_batches(spark, f"{folder}/marks").filter(F.col("batch") < n).agg(F.max("newest")).first()[0]
+            mark = spark.read.parquet(f"{folder}/marks/batch={n - 1}").first()["newest"]
         late = F.lit(False) if mark is None else F.col(ts) < F.lit(mark) - F.expr(f"INTERVAL {delay_seconds} SECONDS")
         flagged = rows.withColumn("late", late)
         write_batch(flagged.filter(~F.col("late")), f"{folder}/out", n)
         write_batch(flagged.filter("late"), f"{folder}/side", n)
-        write_batch(rows.agg(F.max(ts).alias("newest")), f"{folder}/marks", n)
+        write_batch(rows.agg(F.greatest(F.max(ts), F.lit(mark).cast("timestamp") if mark is not None else F.max(ts)).alias("newest")), f"{folder}/marks", n)
 
     run_batches(stream, folder, step)
     return read_batches(spark, f"{folder}/out").drop("batch"), read_batches(spark, f"{folder}/side").drop("batch")

@@ -6,19 +6,36 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from proofgrid.session import shared_folder
 
 
-def work_folder(spark: SparkSession, job: str) -> str:
-    """A new folder for one run: in the cluster's shared folder, or a temporary one in local mode."""
+def base_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one in local mode."""
     base = shared_folder(spark)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{job}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def work_folder(spark: SparkSession, job: str, folder: str | None = None) -> str:
+    """Where a job keeps its checkpoint, state tables and output.
+
+    With a ``folder`` the place is the same at every start, and the job goes on where it stopped. Without one the run is
+    a single drain of its input and gets a new folder.
+    """
+    return f"{folder.rstrip('/')}/{job}" if folder else f"{base_folder(spark)}/{job}-{uuid.uuid4().hex}"
+
+
+def deliveries(df: DataFrame, delivery: Column, n: int) -> str:
+    """Write a table as ``n`` deliveries, one after the other, into a new folder: what arrives over time in production."""
+    folder = f"{base_folder(df.sparkSession)}/arrivals-{uuid.uuid4().hex}"
+    for i in range(n):
+        df.filter(delivery == i).coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
 def file_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -34,9 +51,9 @@ def run_batches(stream: DataFrame, folder: str, step: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
-def write_batch(df: DataFrame, folder: str, batch: int) -> None:
+def write_batch(df: DataFrame, folder: str, batch: int, *by: str) -> None:
     """Output of one batch; a replayed batch replaces its own output only."""
-    df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/batch={batch}")
 
 
 def read_batches(spark: SparkSession, folder: str) -> DataFrame:
