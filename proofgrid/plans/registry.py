@@ -15,6 +15,7 @@ MODULES = (
     "filter_queries",
     "structure_queries",
     "evidence_queries",
+    "matching_queries",
     "need_queries",
     "note_queries",
     "governance_queries",

