@@ -2,10 +2,10 @@
 
 For every language a bounded sample of labelled documents, in hash order of their ids, is joined to one raw-content
 dictionary. A text is folded (lower case, letters only, single spaces) and compressed with each dictionary; the
-smallest result names the language. Sizes are whole bytes, so equal ones are told apart by the sum over the text's
-words, each weighed by the dictionary in which it is a known word. ``score`` is the weight of the winner when every
-byte saved counts as 8 bits of evidence per ``damping`` bytes; a text is marked ``rejected`` when the margin to the
-second is narrow.
+smallest result names the language. Where two results lie close together the text is compressed again at a level that
+searches longer for matches, and those sizes decide; sizes are whole bytes, so among nearly equal ones the share of
+the text's words that a dictionary holds is taken off. ``score`` is the winner's share when every two bytes more halve
+the weight of a language; a text is marked ``rejected`` when the margin to the second stays narrow.
 
 Null text and text without a letter is ``und`` with score 0. Null ids, repeated rows and empty tables are no special
 cases; without any labelled document everything is ``und``. Labels are taken as they are (null ones are left out); the
@@ -27,8 +27,8 @@ from proofgrid.llm.common import chunks
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 110_000
 MAX_LANGUAGES = 512
-LEVEL = 3
-NARROW = 0.02
+LEVEL, CLOSE_LEVEL = 3, 12
+CLOSE, CLOSE_BYTES, NARROW = 0.05, 8, 0.02
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _worker: dict = {}
 
@@ -57,34 +57,34 @@ class Classifier:
     """Compressors of all languages; one per worker and model."""
 
     def __init__(self, contents: dict[str, bytes]):
-        import zstandard
-
         self.names = list(contents)
-        self.compress, self.known = [], []
-        for c in contents.values():
-            d = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            z = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self.compress.append(z.compress)
-            self.known.append(frozenset(c.split()))
+        self.quick = [compressor(c, LEVEL) for c in contents.values()]
+        self.close = [compressor(c, CLOSE_LEVEL) for c in contents.values()]
+        self.known = [frozenset(c.split()) for c in contents.values()]
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         plain = folded(text) if text else ""
         if not plain or not self.names or not regex.search(r"\p{L}", plain):
             return "und", 0.0, True
         data = plain.encode()
-        sizes = np.array([len(c(data)) for c in self.compress], dtype=float)
-        order = np.argsort(sizes, kind="stable")
-        if len(order) > 1 and sizes[order[1]] - sizes[order[0]] <= 2:
-            near = np.flatnonzero(sizes <= sizes[order[0]] + 2)
+        sizes = np.array([len(c(data)) for c in self.quick], dtype=float)
+        best, second = np.sort(sizes)[:2] if len(sizes) > 1 else (sizes[0], np.inf)
+        if second - best <= max(CLOSE_BYTES, CLOSE * best):
+            sizes = np.array([len(c(data)) for c in self.close], dtype=float)
             words = data.split()
-            for i in near:
-                sizes[i] -= 3 * sum(w in self.known[i] for w in words) / len(words)
-            order = np.argsort(sizes, kind="stable")
+            sizes -= [2 * sum(w in known for w in words) / len(words) for known in self.known]
+        order = np.argsort(sizes, kind="stable")
         best = sizes[order[0]]
         margin = (sizes[order[1]] - best) / max(best, 1) if len(order) > 1 else 1.0
-        weights = np.exp2(-(sizes - best) / 2)
-        return self.names[order[0]], float(1 / weights.sum()), bool(margin < NARROW)
+        return self.names[order[0]], float(1 / np.exp2(-(sizes - best) / 2).sum()), bool(margin < NARROW)
+
+
+def compressor(content: bytes, level: int):
+    import zstandard
+
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
 
 def classify(docs: DataFrame, contents: dict[str, bytes], id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -147,19 +147,20 @@ def windows_of(texts: DataFrame, window: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, at, n): runs of words that repeated windows cover; they may overlap."""
     every = saved(factors(docs, window, anchor, id_col, text))
-    anchors = every.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("a")
+    # the anchors are written first: then both sides of the join are plain shuffles, and Spark splits a hot anchor's factors
+    anchors = saved(every.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("a"))
     shared = saved(every.join(anchors, "a", "left_semi"))
     different = saved(shared.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first", "last")).alias("ref")))
     copies = shared.join(different.filter("n > 1").select("a", "s"), ["a", "s"], "left_semi")
     whole = copies.select("doc", F.col("first").alias("at"), (F.col("last") - F.col("first") + window).alias("n"))
 
-    mixed_anchors = different.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("rarest")).filter("m > 1 and rarest = 1").select("a")
+    mixed_anchors = saved(different.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("rarest")).filter("m > 1 and rarest = 1").select("a"))
     asked = different.join(mixed_anchors, "a", "left_semi").groupBy(F.col("ref.doc").alias("_doc")).agg(
         F.collect_list(F.struct("a", F.col("ref.first").alias("first"), F.col("ref.last").alias("last"))).alias("asked")
     )
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text).cast("string").cast("binary").alias("_text"))
     found = saved(windows_of(texts.join(asked, F.col("doc") == F.col("_doc")).select("doc", "_text", "asked"), window))
-    twice = found.groupBy("a", "h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("a", "h")
+    twice = saved(found.groupBy("a", "h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("a", "h"))
     edges = found.join(twice, ["a", "h"], "left_semi").select("doc", F.col("start").alias("at"), F.lit(window).alias("n"))
     return whole.unionByName(edges)
 
