@@ -169,15 +169,15 @@ def library(entries: DataFrame, user: Column, status: str | None = None, family:
 def suggestions(missions: DataFrame, skills: DataFrame, entries: DataFrame, k: int = 8) -> DataFrame:
     """Top entries per mission: 2 for the same family, 1 per shared tag, never its own ones.
 
-    Two equi joins: on tags, and on the first entries of each family. The ones beyond
-    the first k plus the mission's own can never be among its k best, so the family side
-    stays bounded without losing a row. missions(mission_id, family), skills(mission_id,
+    Two equi joins: on tags, and on the first entries of each family. Of one origin only
+    its first k can count, and of these the first 2k hold k that are not the mission's
+    own, so the family side stays bounded without losing a row. missions(mission_id, family), skills(mission_id,
     skill), entries(entry_id, family, tags, origin).
     """
-    own = entries.groupBy("origin").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     tagged = entries.select("entry_id", "origin", F.col("family").alias("entry_family"), F.explode(F.array_distinct("tags")).alias("skill"))
     shared = skills.distinct().join(broadcast_if_small(tagged), "skill").groupBy("mission_id", "entry_id", "entry_family", "origin").agg(F.count("*").alias("shared"))
-    head = top_rows(entries.select("entry_id", "origin", "family"), ["family"], [F.col("entry_id")], k + own).drop("rn")
+    per_origin = top_rows(entries.select("entry_id", "origin", "family"), ["family", "origin"], [F.col("entry_id")], k).drop("rn")
+    head = top_rows(per_origin, ["family"], [F.col("entry_id")], 2 * k).drop("rn")
     same = missions.join(broadcast_if_small(head), "family").select("mission_id", "entry_id", F.col("family").alias("entry_family"), "origin", F.lit(0).cast("bigint").alias("shared"))
     both = shared.unionByName(same).groupBy("mission_id", "entry_id", "entry_family", "origin").agg(F.max("shared").alias("shared"))
     scored = both.join(missions.select("mission_id", F.col("family").alias("_f")), "mission_id").filter(F.col("origin") != F.col("mission_id"))
@@ -196,5 +196,5 @@ def history_search(missions: DataFrame, fields: DataFrame, query: str, mission:
     shown = top_rows(found, [], [F.col("updated_at").desc(), F.col(mission)], MAX_MISSIONS + 1, "position")
     truncated = F.max("position").over(Window.partitionBy()) > MAX_MISSIONS
     page = shown.withColumn("truncated", truncated).filter(F.col("position") <= MAX_MISSIONS)
-    first = top_rows(hits.join(broadcast_if_small(page.select(mission)), mission, "left_semi"), [mission], [F.col("ord")], MAX_HITS)
+    first = top_rows(hits.join(F.broadcast(page.select(mission)), mission, "left_semi"), [mission], [F.col("ord")], MAX_HITS)
     return page, first.withColumn("snippet", tx.snippet(F.col("text")))

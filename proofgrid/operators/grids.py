@@ -46,7 +46,7 @@ def messages(*checks: tuple[Column, str]) -> Column:
 
 
 def grid_errors(criteria: DataFrame, keys: Sequence[str] = ("grid_id",)) -> DataFrame:
-    """Blocking errors and warnings of a grid from its criteria: weights, empty weights, groups, source of eliminatory rows."""
+    """Blocking errors and warnings of a grid from its criteria: weights, empty weights, mandatory rows without a score."""
     scored = F.col("scored")
     per = criteria.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(scored, F.col("weight"))), F.lit(0)).alias("total"),

@@ -197,14 +197,19 @@ def missing_fields(m: Column) -> Column:
     return F.when(m["full_remote"], F.array_remove(gone, "onsite_days_per_week")).otherwise(gone)
 
 
+def not_superseded(reqs: DataFrame, mission: str = "mission_id") -> DataFrame:
+    """Active requirements that no source of rank one or two replaces explicitly."""
+    live = reqs.filter(F.col("status") == "active")
+    over = live.filter((F.col("rank") <= 2) & F.col("supersedes").isNotNull()).select(mission, F.col("supersedes").alias("req_id")).distinct()
+    return live.join(over, [mission, "req_id"], "left_anti")
+
+
 def resolve(reqs: DataFrame, mission: str = "mission_id") -> tuple[DataFrame, DataFrame]:
     """Effective requirement per key (authority, then date) and the conflicts between sources.
 
     A row replaced explicitly by a source of rank one or two is left out first.
     """
-    live = reqs.filter(F.col("status") == "active")
-    over = live.filter((F.col("rank") <= 2) & F.col("supersedes").isNotNull()).select(mission, F.col("supersedes").alias("req_id")).distinct()
-    rest = live.join(over, [mission, "req_id"], "left_anti")
+    rest = not_superseded(reqs, mission)
     order = F.struct(F.col("rank"), F.date_diff(F.lit("9999-12-31").cast("date"), F.col("source_date")), F.col("req_id"))
     per_cat = rest.groupBy(mission, "key", "category").agg(F.min(order).alias("o"), F.max("source_date").alias("newest"), F.min_by("source_date", order).alias("date"), F.count("*").alias("n"))
     per_key = per_cat.groupBy(mission, "key").agg(

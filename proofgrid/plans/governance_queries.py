@@ -238,7 +238,7 @@ def fn_38(spark, sf):
 
 
 @query("flt_15_traced_quotes", f"""
-WITH r AS (SELECT item_id AS mission_id, text AS quote FROM benchmark), s AS (SELECT doc_id % 40 AS mission_id, text FROM documents),
+WITH r AS (SELECT item_id AS mission_id, text AS quote FROM benchmark), s AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS mission_id, text FROM documents),
 n AS (SELECT mission_id, trim(regexp_replace({fold_sql('quote')}, '[\\s\\x{{a0}}]+', ' ', 'g')) AS q FROM r)
 SELECT mission_id FROM n WHERE length(q) >= 12 AND EXISTS (SELECT 1 FROM s WHERE s.mission_id = n.mission_id AND contains(trim(regexp_replace({fold_sql('text')}, '[\\s\\x{{a0}}]+', ' ', 'g')), q))
 UNION ALL SELECT doc_id + 1000000 FROM documents WHERE length(trim(regexp_replace(substring(text, 1, 40), '[\\s\\x{{a0}}]+', ' ', 'g'))) >= 12""")
@@ -246,7 +246,7 @@ def flt_15(spark, sf):
     d = texts(spark, sf)
     reqs = table(spark, sf, "benchmark").select(F.col("item_id").alias("mission_id"), F.col("text").alias("quote"))
     own = d.select((F.col("doc_id") + 1_000_000).alias("mission_id"), F.substring("text", 1, 40).alias("quote"))
-    sources = d.select("doc_id", F.pmod("doc_id", F.lit(40)).alias("mission_id"), "text").unionByName(d.select("doc_id", (F.col("doc_id") + 1_000_000).alias("mission_id"), "text"))
+    sources = d.select("doc_id", F.pmod("doc_id", F.lit(table(spark, sf, "benchmark").count())).alias("mission_id"), "text").unionByName(d.select("doc_id", (F.col("doc_id") + 1_000_000).alias("mission_id"), "text"))
     return gv.traced_quotes(reqs.unionByName(own), sources, source="doc_id").select("mission_id")
 
 

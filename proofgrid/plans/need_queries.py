@@ -166,9 +166,7 @@ def line_sources(spark, sf):
 
 @query("join_13_explicit_supersession", f"WITH {RESOLVE_SQL} SELECT mission_id, key, count(*) AS live FROM rs GROUP BY ALL")
 def join_13(spark, sf):
-    live = line_sources(spark, sf)
-    over = live.filter("rank <= 2 and supersedes is not null").select("mission_id", F.col("supersedes").alias("req_id")).distinct()
-    return live.join(over, ["mission_id", "req_id"], "left_anti").groupBy("mission_id", "key").agg(F.count("*").alias("live"))
+    return nd.not_superseded(line_sources(spark, sf)).groupBy("mission_id", "key").agg(F.count("*").alias("live"))
 
 
 @query("agg_25_conflict_report", f"""

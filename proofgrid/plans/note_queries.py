@@ -214,7 +214,7 @@ def set_1(spark, sf):
 
 
 @query("join_20_verified_claims", f"""
-WITH c AS (SELECT d.doc_id, d.text, CASE WHEN doc_id % 2 = 0 THEN replace(substring(d.text, 1 + length(d.text) // 3, 60), ' ', '  ') ELSE b.text END AS quote FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+WITH c AS (SELECT d.doc_id, d.text, CASE WHEN doc_id % 2 = 0 THEN replace(substring(d.text, 1 + length(d.text) // 3, 60), ' ', '  ') ELSE b.text END AS quote FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 f AS (SELECT doc_id, quote, regexp_replace({fold_sql('text')}, '[\\s\\x{{a0}}]+', ' ', 'g') AS t, trim(regexp_replace({fold_sql('quote')}, '[\\s\\x{{a0}}]+', ' ', 'g')) AS q, {fold_sql('quote')} AS qf FROM c)
 SELECT doc_id, CASE WHEN length(q) >= 12 AND contains(t, q) AND regexp_matches(qf, '(^|[^a-z0-9+#])(the|der|los)($|[^a-z0-9+#])') THEN 'verified' ELSE 'downgraded' END AS status,
  CASE WHEN length(q) >= 12 AND contains(t, q) THEN instr(t, q) END AS at FROM f""")
@@ -222,7 +222,7 @@ def join_20(spark, sf):
     d = texts(spark, sf).select("doc_id", "text")
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     own = F.replace(F.substring("text", F.floor(F.length("text") / 3).cast("int") + 1, F.lit(60)), F.lit(" "), F.lit("  "))
-    c = d.withColumn("item_id", F.pmod("doc_id", F.lit(40))).join(b, "item_id").select("doc_id", F.when(F.pmod("doc_id", F.lit(2)) == 0, own).otherwise(F.col("passage")).alias("quote"))
+    c = d.withColumn("item_id", F.pmod("doc_id", F.lit(b.count()))).join(b, "item_id").select("doc_id", F.when(F.pmod("doc_id", F.lit(2)) == 0, own).otherwise(F.col("passage")).alias("quote"))
     c = c.withColumn("asserted_ord", F.lit(4)).withColumn("recomputed_ord", F.lit(3))
     from proofgrid.functions.text import any_term_regex
 

@@ -31,10 +31,12 @@ def sniff(content: Column) -> Column:
     """pdf, docx, doc, txt or unsupported, from the first bytes only."""
     head = F.substring(content, 1, SNIFF_BYTES)
     latin = F.decode(head, "ISO-8859-1")
-    valid = F.is_valid_utf8(head.cast("string"))
+    # the first bytes may end inside a character: up to three trailing bytes are left out then
+    cut = F.when(F.length(content) > SNIFF_BYTES, 3).otherwise(0)
+    valid = F.exists(F.sequence(F.lit(0), cut), lambda k: F.is_valid_utf8(F.substring(content, F.lit(1), F.least(F.length(content), F.lit(SNIFF_BYTES)) - k).cast("string")))
     printable = F.regexp_count(latin, F.lit(PRINTABLE)) / F.greatest(F.length(latin), F.lit(1))
     starts = F.hex(F.substring(content, 1, 8))
-    listed = F.contains(F.decode(content, "ISO-8859-1"), F.lit("word/document.xml"))
+    listed = (F.length(content) <= MAX_BYTES) & F.contains(F.decode(content, "ISO-8859-1"), F.lit("word/document.xml"))
     return (
         F.when(starts.startswith(PDF_MAGIC), "pdf")
         .when(starts.startswith(ZIP_MAGIC), F.when(listed, "docx").otherwise("unsupported"))
