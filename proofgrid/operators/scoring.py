@@ -163,6 +163,20 @@ def comparison(results: DataFrame, group: Sequence[str] = ("grid_id",)) -> DataF
     return results.groupBy(*group, "key").agg(*counts, (F.max("points") - F.min("points")).alias("spread"))
 
 
+def compared(results: DataFrame, wanted: DataFrame, comparison: str = "comparison_id", key: str = "doc_id", grid: str = "grid_id") -> tuple[DataFrame, DataFrame]:
+    """Candidates side by side, and the comparisons that are refused because their candidates were assessed on different grids.
+
+    results in long form, wanted(comparison, key). One row per comparison, criterion and candidate: level, points, and
+    the spread of the points over the comparison. Spreads are aggregated apart, so a comparison of any size is a join.
+    """
+    rows = wanted.join(results, key)
+    grids = rows.groupBy(comparison).agg(F.count_distinct(grid).alias("grids"))
+    same = rows.join(grids.filter("grids = 1").select(comparison), comparison, "left_semi")
+    spread = same.groupBy(comparison, "key").agg((F.max("points") - F.min("points")).alias("spread"))
+    cells = same.join(spread, [comparison, "key"]).select(comparison, "key", key, lv.level_name(F.col("level_ord")).alias("level"), "points", "spread")
+    return cells, grids.filter("grids > 1")
+
+
 def leader_differences(assessed: DataFrame, group: Sequence[str] = ("grid_id",), key: str = "doc_id", top: int = 3) -> DataFrame:
     """First against second of every group: the criteria with the largest difference of points."""
     order = [F.size("contradicted_mandatory"), F.size("open_mandatory"), F.col("score").desc(), F.col("potential").desc(), F.col(key)]

@@ -203,6 +203,31 @@ def agg_29(spark, sf):
     return sc.comparison(sc.result_rows(assessed(spark, sf))).withColumn("spread", F.col("spread").cast("bigint"))
 
 
+WANTED_SQL = """
+want AS (SELECT doc_id, doc_id % 60 AS comparison_id FROM documents UNION ALL SELECT doc_id, 1000 + doc_id // 2 FROM documents),
+cr AS (SELECT w.comparison_id, r.* FROM want w JOIN res r ON r.doc_id = w.doc_id),
+gr AS (SELECT comparison_id, count(DISTINCT grid_id) AS grids FROM cr GROUP BY 1)"""
+
+
+def wanted(spark, sf):
+    """Candidates sixty apart, and neighbours, who mostly stand on different grids."""
+    d = table(spark, sf, "documents").select("doc_id")
+    return d.select("doc_id", F.pmod("doc_id", F.lit(60)).alias("comparison_id")).unionByName(d.select("doc_id", (1000 + F.floor(F.col("doc_id") / 2)).alias("comparison_id")))
+
+
+@query("agg_29_compared_candidates", f"""
+WITH {RESULTS_SQL}, {WANTED_SQL} SELECT comparison_id, key, doc_id, (['contredit', 'non_documente', 'declare_sans_preuve', 'partiellement_demontre', 'confirme_demontre'])[lo + 1] AS level, points::BIGINT AS points,
+ (max(points) OVER (PARTITION BY comparison_id, key) - min(points) OVER (PARTITION BY comparison_id, key))::BIGINT AS spread FROM cr JOIN gr USING (comparison_id) WHERE grids = 1""")
+def agg_29_cells(spark, sf):
+    cells, _ = sc.compared(sc.result_rows(assessed(spark, sf)), wanted(spark, sf))
+    return cells.withColumns({c: F.col(c).cast("bigint") for c in ("points", "spread")})
+
+
+@query("agg_29_refused_comparisons", f"WITH {RESULTS_SQL}, {WANTED_SQL} SELECT comparison_id, grids FROM gr WHERE grids > 1")
+def agg_29_refused(spark, sf):
+    return sc.compared(sc.result_rows(assessed(spark, sf)), wanted(spark, sf))[1]
+
+
 @query("join_15_assessment_diff", f"""
 WITH {RESULTS_SQL} SELECT r.doc_id, r.key, 'changed' AS change, (['contredit', 'non_documente', 'declare_sans_preuve', 'partiellement_demontre', 'confirme_demontre'])[coalesce(l.ord, 1) + 1] AS from_level,
  'contredit' AS to_level, (-r.weight * ([0, 0, 15, 50, 100])[coalesce(l.ord, 1) + 1])::BIGINT AS points_delta
