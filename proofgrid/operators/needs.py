@@ -154,38 +154,54 @@ def seniority(b: DataFrame, key: str = "mission_id") -> DataFrame:
     return first.groupBy(key).agg(F.min_by("years", "sent_no").alias("years"), F.min_by("category", "sent_no").alias("category"))
 
 
+# Patterns of working conditions, on folded text unless named "cased"; group 1 is the value.
+CONDITIONS = {
+    "no_on_call": "(?:pas d'|sans |aucune )astreintes?",
+    "on_call": "astreintes?",
+    "duration": "(?:duree|mission de|renouvelable|initiale(?:ment)? de|pour)\\s*[:=]?\\s*(\\d{1,2}\\s*(?:mois|ans|semaines))",
+    "start_now": "demarrage\\s*[:=]?\\s*(?:asap|des que possible)|asap",
+    "start": "(?:demarrage|debut|start)\\s*(?:de la mission)?\\s*[:=]?\\s*((?:le\\s*)?\\d{1,2}[/.]\\d{1,2}[/.]\\d{2,4}|[a-zéûô]+\\s+\\d{4})",
+    "city_on_site_cased": "(?:sur site|sur place|en pr[ée]sentiel)\\s*(?:[aàâ]|en|:)\\s*([A-ZÀ-Ý][\\wÀ-ÿ'’\\- ]{2,30})",
+    "city_cased": "(?:localisation|lieu(?: de mission)?|ville)\\s*[:=]\\s*([A-ZÀ-Ý][\\wÀ-ÿ'’\\- ]{2,30})",
+    "city_end": "[,.;\\n(]| et | - ",
+    "english": "anglais",
+    "english_level": "anglais\\s*(courant|professionnel|bilingue|fluent|operationnel|b2|c1|c2)",
+    "english_word": "\\benglish\\b",
+    "onsite": "(\\d)\\s*jours?\\s*(?:par semaine\\s*|/\\s*semaine\\s*)?(?:sur site|sur place|en presentiel|de presence)",
+    "remote": "(\\d)\\s*jours?\\s*(?:de\\s*)?teletravail",
+    "full_remote": "full remote|100\\s*%\\s*remote|100\\s*%\\s*teletravail|teletravail complet",
+    "rate": "(?:tjm|budget|taux journalier)\\s*(?:max(?:imum)?|cible|client|propose)?\\s*[:=]?\\s*(?:jusqu'a|<=|max)?\\s*(\\d{3,4})",
+    "team": (
+        "(?:encadrement|encadrer|manag\\w+|animation)\\s*(?:technique\\s*)?(?:de|d')\\s*(\\d+|un|une|deux|trois|quatre|cinq|six|sept|huit)\\s*"
+        "(?:developpeurs?|personnes|collaborateurs|ingenieurs|devs?)"
+    ),
+    "time_zone": "fuseau horaire|timezone|time zone|decalage horaire",
+    "time_zone_cased": "\\b(?:GMT|UTC|CEST|CET|EST|PST|IST)\\b",
+}
+ENGLISH_UNSTATED = "demandé (niveau non précisé)"
+
+
 def modalities(text: Column) -> Column:
     """struct of the working conditions stated in a need; null where nothing is stated."""
 
-    def first(source: Column, rx: str, group: int = 1) -> Column:
-        v = F.regexp_extract(source, rx, group)
-        return F.when(v != "", v)
-
     def read(f: Column) -> Column:
-        on_call = F.when(f.rlike("(?:pas d'|sans |aucune )astreintes?"), False).when(f.rlike("astreintes?"), True)
-        length = F.regexp_extract(f, "(?:duree|mission de|renouvelable|initiale(?:ment)? de|pour)\\s*[:=]?\\s*(\\d{1,2}\\s*(?:mois|ans|semaines))", 1)
-        start = F.when(f.rlike("demarrage\\s*[:=]?\\s*(?:asap|des que possible)|asap"), "ASAP").otherwise(
-            F.trim(first(f, "(?:demarrage|debut|start)\\s*(?:de la mission)?\\s*[:=]?\\s*((?:le\\s*)?\\d{1,2}[/.]\\d{1,2}[/.]\\d{2,4}|[a-zéûô]+\\s+\\d{4})"))
-        )
-        city = F.coalesce(
-            first(text, "(?:sur site|sur place|en pr[ée]sentiel)\\s*(?:[aàâ]|en|:)\\s*([A-ZÀ-Ý][\\wÀ-ÿ'’\\- ]{2,30})"),
-            first(text, "(?:localisation|lieu(?: de mission)?|ville)\\s*[:=]\\s*([A-ZÀ-Ý][\\wÀ-ÿ'’\\- ]{2,30})"),
-        )
-        english = F.when(f.rlike("anglais"), F.coalesce(first(f, "anglais\\s*(courant|professionnel|bilingue|fluent|operationnel|b2|c1|c2)"), F.lit("demandé (niveau non précisé)"))).when(
-            f.rlike("\\benglish\\b"), "demandé (niveau non précisé)"
-        )
+        named = lambda name: (text if name.endswith("_cased") else f).rlike(CONDITIONS[name])
+
+        def value(name: str) -> Column:
+            v = F.regexp_extract(text if name.endswith("_cased") else f, CONDITIONS[name], 1)
+            return F.when(v != "", v)
+
+        number = lambda name: value(name).cast("int")
+        english = F.when(named("english"), F.coalesce(value("english_level"), F.lit(ENGLISH_UNSTATED))).when(named("english_word"), ENGLISH_UNSTATED)
+        city = F.coalesce(value("city_on_site_cased"), value("city_cased"))
         return F.struct(
-            first(f, "(\\d)\\s*jours?\\s*(?:par semaine\\s*|/\\s*semaine\\s*)?(?:sur site|sur place|en presentiel|de presence)").cast("int").alias("onsite_days_per_week"),
-            first(f, "(\\d)\\s*jours?\\s*(?:de\\s*)?teletravail").cast("int").alias("remote_days_per_week"),
-            f.rlike("full remote|100\\s*%\\s*remote|100\\s*%\\s*teletravail|teletravail complet").alias("full_remote"),
-            F.trim(F.get(F.split(city, "[,.;\\n(]| et | - "), F.lit(0))).alias("city"),
-            on_call.alias("astreinte"),
-            F.when(length != "", F.regexp_replace(length, "^(\\d+)\\s*", "$1 ")).alias("duration"),
-            start.alias("start"),
-            first(f, "(?:tjm|budget|taux journalier)\\s*(?:max(?:imum)?|cible|client|propose)?\\s*[:=]?\\s*(?:jusqu'a|<=|max)?\\s*(\\d{3,4})").cast("int").alias("tjm_max"),
-            english.alias("english"),
-            number_word(first(f, "(?:encadrement|encadrer|manag\\w+|animation)\\s*(?:technique\\s*)?(?:de|d')\\s*(\\d+|un|une|deux|trois|quatre|cinq|six|sept|huit)\\s*(?:developpeurs?|personnes|collaborateurs|ingenieurs|devs?)")).alias("team_size_managed"),
-            (f.rlike("fuseau horaire|timezone|time zone|decalage horaire") | text.rlike("\\b(?:GMT|UTC|CEST|CET|EST|PST|IST)\\b")).alias("timezone_constraint"),
+            number("onsite").alias("onsite_days_per_week"), number("remote").alias("remote_days_per_week"), named("full_remote").alias("full_remote"),
+            F.trim(F.get(F.split(city, CONDITIONS["city_end"]), F.lit(0))).alias("city"),
+            F.when(named("no_on_call"), False).when(named("on_call"), True).alias("astreinte"),
+            F.regexp_replace(value("duration"), "^(\\d+)\\s*", "$1 ").alias("duration"),
+            F.when(named("start_now"), "ASAP").otherwise(F.trim(value("start"))).alias("start"),
+            number("rate").alias("tjm_max"), english.alias("english"), number_word(value("team")).alias("team_size_managed"),
+            (named("time_zone") | named("time_zone_cased")).alias("timezone_constraint"),
         )
 
     return tx.let(tx.fold_compact(text), read)

@@ -101,27 +101,43 @@ def utterances(notes: DataFrame, key: str = "note_id", text: str = "text") -> Da
     return u.withColumn("role", speaker_role(F.col("speaker")))
 
 
+# Patterns of constraints in folded sentences; their groups hold the value.
+STATED = {
+    "now": "immediatement disponible|disponible immediatement|dispo immediatement|\\bdisponibilite\\s*[:\\-]?\\s*immediate",
+    "available": "\\bdisponibilite\\s*[:\\-]\\s*(?:a partir (?:du|de)\\s+)?([\\w/]+(?:\\s+[\\w/]+){0,2})",
+    "available_from": "(?:disponible|dispo)\\s+(?:a partir (?:du|de)|des|le|en)\\s+([\\w/]+(?:\\s+[\\w/]+){0,2})",
+    "next_words": "\\s+(?:mon|ma|mes|et|je|mais)\\b.*$",
+    "notice": "preavis\\s+(?:de\\s+)?(\\d+)\\s*(mois|semaines?)",
+    "rate": (
+        "(?:tjm|taux journalier)\\s*(?:est\\s*)?(?:de|:|a|autour de|vers|cible)?\\s*(\\d{3,4})|"
+        "(\\d{3,4})\\s*(?:€|euros?)\\s*(?:/\\s*j|par\\s+jour|jour)"
+    ),
+    "onsite_most": "(?:maximum|max|pas plus de|jusqu'a)\\s*(\\d)\\s*jours?\\s*(?:de\\s+)?(?:sur site|presentiel|sur place)",
+    "onsite": "(\\d)\\s*jours?\\s*(?:par semaine\\s*)?(?:de\\s+)?(?:sur site|presentiel|sur place)",
+    "agrees_onsite": "\\b(?:ok|accepte|possible|pas de probleme|d'accord)\\b",
+    "on_call": "astreintes?",
+    "agrees_on_call": "\\b(?:ok|accepte|pas de probleme|d'accord|sans souci)\\b",
+}
+
+
 def constraint_values(f: Column) -> Column:
     """Constraints stated in a folded sentence: array<struct<field,value>>."""
 
-    def first(rx: str, group: int = 1) -> Column:
-        v = F.regexp_extract(f, rx, group)
+    def value(name: str, group: int = 1) -> Column:
+        v = F.regexp_extract(f, STATED[name], group)
         return F.when(v != "", v)
 
-    item = lambda field, value: F.when(value.isNotNull(), F.struct(F.lit(field).alias("field"), value.alias("value")))
-    trim_end = lambda v: F.regexp_replace(F.trim(v), "\\s+(?:mon|ma|mes|et|je|mais)\\b.*$", "")
-    now = F.when(f.rlike("immediatement disponible|disponible immediatement|dispo immediatement|\\bdisponibilite\\s*[:\\-]?\\s*immediate"), F.lit("immediate"))
-    stated = first("\\bdisponibilite\\s*[:\\-]\\s*(?:a partir (?:du|de)\\s+)?([\\w/]+(?:\\s+[\\w/]+){0,2})")
-    later = first("(?:disponible|dispo)\\s+(?:a partir (?:du|de)|des|le|en)\\s+([\\w/]+(?:\\s+[\\w/]+){0,2})")
-    notice = F.when(f.rlike("preavis\\s+(?:de\\s+)?(\\d+)\\s*(mois|semaines?)"), F.concat(F.lit("préavis "), F.regexp_extract(f, "preavis\\s+(?:de\\s+)?(\\d+)", 1), F.lit(" "), F.regexp_extract(f, "preavis\\s+(?:de\\s+)?\\d+\\s*(mois|semaines?)", 1)))
-    rate = F.coalesce(first("(?:tjm|taux journalier)\\s*(?:est\\s*)?(?:de|:|a|autour de|vers|cible)?\\s*(\\d{3,4})"), first("(\\d{3,4})\\s*(?:€|euros?)\\s*(?:/\\s*j|par\\s+jour|jour)"))
-    most = first("(?:maximum|max|pas plus de|jusqu'a)\\s*(\\d)\\s*jours?\\s*(?:de\\s+)?(?:sur site|presentiel|sur place)")
-    agreed = F.when(f.rlike("\\b(?:ok|accepte|possible|pas de probleme|d'accord)\\b"), first("(\\d)\\s*jours?\\s*(?:par semaine\\s*)?(?:de\\s+)?(?:sur site|presentiel|sur place)"))
+    says = lambda name: f.rlike(STATED[name])
+    item = lambda field, v: F.when(v.isNotNull(), F.struct(F.lit(field).alias("field"), v.alias("value")))
+    when = lambda name: F.regexp_replace(F.trim(value(name)), STATED["next_words"], "")
     refuses = f.rlike(REFUSAL)
-    on_call = F.when(~refuses & f.rlike("astreintes?") & f.rlike("\\b(?:ok|accepte|pas de probleme|d'accord|sans souci)\\b"), F.lit("true"))
     found = F.array(
-        item("availability", F.coalesce(now, trim_end(stated), trim_end(later))), item("availability", notice), item("tjm", rate), item("onsite_max_days", F.coalesce(most, agreed)),
-        *[item("refuses", F.when(refuses & f.rlike(rx), F.lit(name))) for name, rx in REFUSABLE.items()], item("accepts_astreinte", on_call),
+        item("availability", F.coalesce(F.when(says("now"), F.lit("immediate")), when("available"), when("available_from"))),
+        item("availability", F.concat(F.lit("préavis "), value("notice"), F.lit(" "), value("notice", 2))),
+        item("tjm", F.coalesce(value("rate"), value("rate", 2))),
+        item("onsite_max_days", F.coalesce(value("onsite_most"), F.when(says("agrees_onsite"), value("onsite")))),
+        *[item("refuses", F.when(refuses & f.rlike(rx), F.lit(name))) for name, rx in REFUSABLE.items()],
+        item("accepts_astreinte", F.when(~refuses & says("on_call") & says("agrees_on_call"), F.lit("true"))),
     )
     return F.filter(found, lambda x: x.isNotNull())
 

@@ -180,6 +180,12 @@ def locations(hits: DataFrame, l: DataFrame, exps: DataFrame) -> DataFrame:
     return at_exp.withColumn("location", where).withColumn("exp_idx", F.col("exp.idx")).withColumn("exp_months", F.col("exp.months")).drop("line", "exp")
 
 
+# A language before or after its level; years stated in the head of a profile, whose length is the rule's.
+LEVEL_AFTER, LEVEL_BEFORE = "{name}\\s*[:\\-–(]*\\s*(?:niveau\\s*)?({levels})\\b", "\\b({levels})\\b\\s*(?:en\\s+)?{name}"
+DECLARED_YEARS = "(\\d{1,2})\\s*(?:\\+\\s*)?(?:ans|annees|years)\\s*d['’ ]?\\s*(?:experience|exp\\b)"
+HEAD_CHARS = 2500
+
+
 def languages(text: Column) -> Column:
     """Map language -> level; a language named without a level is kept as unstated."""
     return tx.let(tx.fold_compact(text), _languages)
@@ -189,8 +195,7 @@ def _languages(f: Column) -> Column:
     levels = "|".join(LANGUAGE_LEVELS)
     pairs = []
     for name, rx in LANGUAGE_NAMES.items():
-        after = F.regexp_extract(f, f"{rx}\\s*[:\\-–(]*\\s*(?:niveau\\s*)?({levels})\\b", 1)
-        before = F.regexp_extract(f, f"\\b({levels})\\b\\s*(?:en\\s+)?{rx}", 1)
+        after, before = (F.regexp_extract(f, p.replace("{name}", rx).replace("{levels}", levels), 1) for p in (LEVEL_AFTER, LEVEL_BEFORE))
         word = F.when(after != "", after).when(before != "", before)
         value = lookup(LANGUAGE_LEVELS, word)
         if name != "francais":
@@ -199,8 +204,9 @@ def _languages(f: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
 
 
-def declared_years(text: Column) -> Column:
-    found = F.regexp_extract(tx.fold(F.substring(text, 1, 2500)), "(\\d{1,2})\\s*(?:\\+\\s*)?(?:ans|annees|years)\\s*d['’ ]?\\s*(?:experience|exp\\b)", 1)
+def declared_years(text: Column, head_chars: int = HEAD_CHARS) -> Column:
+    """Years of experience stated in the head of a profile; later statements concern single missions."""
+    found = F.regexp_extract(tx.fold(F.substring(text, 1, head_chars)), DECLARED_YEARS, 1)
     return F.when(found != "", found.cast("int"))
 
 
