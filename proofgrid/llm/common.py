@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2_000_000
 
@@ -34,6 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heaviest(counts: DataFrame, key: str, limit: int) -> DataFrame:
+    """The keys with the largest counts ``n``, at most ``limit``, never one that was seen once.
+
+    The keys are counted by the magnitude of their count first (a row per power of two), so that only the magnitudes
+    that can matter, four times ``limit`` keys at most, are sorted.
+    """
+    sizes = {r["m"]: r["k"] for r in counts.filter("n > 1").groupBy(F.floor(F.log2("n")).cast("int").alias("m")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    cut, total = 63, 0
+    for m in sorted(sizes, reverse=True):
+        if total >= limit or total + sizes[m] > 4 * limit:
+            break
+        cut, total = m, total + sizes[m]
+    return counts.filter((F.col("n") > 1) & (F.floor(F.log2("n")) >= cut)).orderBy(F.desc("n"), key).limit(limit)
+
+
 def one_thread() -> None:
     """Libraries inside tasks use the task's core only."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

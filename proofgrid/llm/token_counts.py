@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import chunks, one_thread
+from proofgrid.llm.common import chunks, heaviest, one_thread, saved
 
 # White space as Unicode defines it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -74,7 +74,7 @@ def frequent_units(docs: DataFrame, path: str, text: str = "text", limit: int =
     Every partition counts all of its units (rare ones are dropped when the counter is full) and reports its heaviest.
     """
 
-    def heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specials, seen = tokenizer_of(path)[1], Counter()
         for _, texts in chunks(batches, 0):
             for t in texts:
@@ -88,9 +88,9 @@ def frequent_units(docs: DataFrame, path: str, text: str = "text", limit: int =
             {"unit": pa.array([k for k, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())}
         )
 
-    counted = docs.select(F.col(text).cast("string")).mapInArrow(heaviest, "unit string, n bigint")
-    top = counted.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(limit)
-    words = [r["unit"] for r in top.select("unit").collect()]
+    counted = docs.select(F.col(text).cast("string")).mapInArrow(report, "unit string, n bigint")
+    counts = saved(counted.groupBy("unit").agg(F.sum("n").alias("n")))
+    words = [r["unit"] for r in heaviest(counts, "unit", limit).select("unit").collect()]
     return dict(zip(words, encoded_lengths(tokenizer_of(path)[0], words), strict=True))
 
 

@@ -89,3 +89,14 @@ def test_token_counts_query(spark, sf):
 def test_units_join_to_the_text():
     for t in ODD:
         assert "".join(token_counts.units(t or "", None)) == (t or "")
+
+
+def test_heaviest_keys(spark):
+    from proofgrid.llm.common import heaviest
+
+    rows = [(f"k{i:03}", n) for i, n in enumerate([900, 800, 70, 60, 50] + [3] * 30 + [1] * 200)]
+    counts = spark.createDataFrame(rows, "unit string, n bigint")
+    assert [r["unit"] for r in heaviest(counts, "unit", 2).collect()] == ["k000", "k001"]
+    assert [r["n"] for r in heaviest(counts, "unit", 10).collect()] == [900, 800, 70, 60, 50] + [3] * 5
+    assert heaviest(counts, "unit", 6).count() == 5 and heaviest(counts, "unit", 1000).count() == 35     # no magnitude is cut apart beyond four times the limit
+    assert heaviest(counts.limit(0), "unit", 5).count() == 0

@@ -78,3 +78,12 @@ def test_a_line_of_every_document(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs, cells=8).collect()}
     assert got == {i: t for i, _, _, t in without_lines(rows)}
     assert hashlib.sha256(got[0].encode()).hexdigest() == hashlib.sha256(rows[0][1].encode()).hexdigest()
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a line of some length", 9, 8, "r", "d"), (2, "a line of some length\nx", 9, 8, "r", "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_lines int, n_dropped int, _row string, doc string")
+    got = sorted(map(tuple, line_dedup.deduplicated(docs).collect()))
+    assert got == [(1, "a line of some length", 9, 8, "r", "d"), (2, "x", 9, 8, "r", "d")]
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.with_bitmaps(docs).collect()) == [(1, 1, 0), (2, 2, 1)]
+    assert quality_rules.kept_documents(docs.withColumn("source", docs["doc"])).columns == [*docs.columns, "source"]
