@@ -82,12 +82,19 @@ def kept_text(text: Column, runs: Column) -> Column:
     return F.when(runs.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
 
 
+def joined_bitmaps(docs: DataFrame, id_col: str, text: str, min_chars: int, cells: int) -> DataFrame:
+    """(_row, _text, _dropped, _runs): whole rows, so that no column name can clash."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    maps = keep_bitmaps(docs, id_col, text, min_chars, cells).select("doc", F.col("n_dropped").alias("_dropped"), F.col("keep_runs").alias("_runs"))
+    return rows.join(maps, F.col("_id") == F.col("doc"), "left").select("_row", "_text", "_dropped", "_runs")
+
+
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, cells: int = CELLS) -> DataFrame:
-    """The documents with ``n_lines``, ``n_dropped`` and ``keep_runs`` (null: all kept)."""
-    maps = keep_bitmaps(docs, id_col, text, min_chars, cells).withColumnRenamed("doc", "_doc")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_runs")]
-    joined = docs.select(*own).join(maps, F.col(id_col) == F.col("_doc"), "left").drop("_doc")
-    return joined.withColumn("n_lines", F.size(lines_of(F.col(text))).cast("bigint")).withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("bigint"))
+    """The documents with ``n_lines``, ``n_dropped`` and ``keep_runs`` (null: all kept), which replace columns of these names."""
+    found = joined_bitmaps(docs, id_col, text, min_chars, cells)
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_runs")]
+    n_lines = F.size(lines_of(F.col("_text"))).cast("bigint")
+    return found.select(*own, n_lines.alias("n_lines"), F.coalesce("_dropped", F.lit(0)).cast("bigint").alias("n_dropped"), F.col("_runs").alias("keep_runs"))
 
 
 def deduplicated(
@@ -97,9 +104,11 @@ def deduplicated(
 
     ``length_col``, if the table has it, becomes the length of a changed text.
     """
-    found = with_bitmaps(docs, id_col, text, min_chars, cells)
-    new = F.when(F.col("keep_runs").isNull(), F.col(text)).otherwise(kept_text(F.col(text), F.col("keep_runs")))
-    out = found.withColumn(text, new)
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("keep_runs").isNull(), F.col(length_col)).otherwise(F.length(text)))
-    return out.select(*docs.columns)
+    found = joined_bitmaps(docs, id_col, text, min_chars, cells)
+    changed = F.col("_runs").isNotNull()
+    found = found.withColumn("_kept", F.when(changed, kept_text(F.col("_text"), F.col("_runs"))))
+    new = {text: F.col("_kept"), **({length_col: F.length("_kept").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})}
+    return found.select(*[(F.when(changed, new[c]).otherwise(F.col("_row")[c]) if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
+__all__ = ["deduplicated", "dropped_lines", "keep_bitmaps", "kept_text", "with_bitmaps"]
