@@ -38,18 +38,24 @@ def folded(text: str) -> str:
 
 
 def dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Language -> dictionary content, from a bounded sample: documents in hash order as long as they fit."""
+    """Language -> dictionary content, from a bounded sample: documents in hash order as long as they fit.
+
+    The documents of a language are counted first, and only those with a hash below the share that holds about twice the
+    sample are ranked: what is shuffled does not grow with the corpus.
+    """
     usable = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= sample_bytes))
     usable = usable.select(F.col(lang).alias("_lang"), F.xxhash64(order, text).alias("_h"), F.col(text).alias("_text"))
-    w = Window.partitionBy("_lang").orderBy("_h")
-    rows = usable.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample_docs)
+    sizes = usable.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels are no languages")
+    shares = labelled.sparkSession.createDataFrame([(r["_lang"], 2 * sample_docs / r["n"] + 40 / r["n"]) for r in sizes], "_lang string, share double")
+    drawn = usable.join(F.broadcast(shares), "_lang").filter(F.pmod("_h", F.lit(1 << 31)) < F.col("share") * (1 << 31))
+    rows = drawn.withColumn("_rn", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).filter(F.col("_rn") <= sample_docs)
     running = F.sum(F.octet_length("_text")).over(Window.partitionBy("_lang").orderBy("_rn"))
     rows = rows.withColumn("_sum", running).filter(F.col("_sum") <= 2 * sample_bytes)
     out: dict[str, list[str]] = {}
     for r in rows.orderBy("_lang", "_rn").toLocalIterator():
         out.setdefault(r["_lang"], []).append(folded(r["_text"]))
-    if len(out) > MAX_LANGUAGES:
-        raise ValueError(f"{len(out)} labels are no languages")
     return {k: " ".join(dict.fromkeys(v)).encode()[-sample_bytes:] for k, v in sorted(out.items()) if any(v)}
 
 
