@@ -110,6 +110,16 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+ANY = "*"
+
+
+def opening(line: Column) -> Column:
+    """The first word of the canonical form, from the first word alone; ``ANY`` where the rules join words or may take the first ones out."""
+    low = F.translate(line, UPPER, LOWER)
+    word = F.regexp_extract(low, r"[\p{L}\p{N}]+", 0)
+    return F.when(word.isin("sub", "non", "version", "v") | F.contains(low, F.lit("all rights reserved")), ANY).otherwise(canonical(word))
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of all known licence texts, with and without the title line, and of all notices."""
     texts = [(k, t) for k, t in TEXTS] + [(k, t.removeprefix(f"{k} License ")) for k, t in TEXTS if t.startswith(f"{k} License ")]
@@ -117,9 +127,10 @@ def known_texts() -> list[tuple[str, str]]:
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, licence), one row per digest; of licences with equal canonical texts the first by name."""
+    """(digest, licence, first word), one row per digest; of licences with equal canonical texts the first by name."""
     rows = spark.createDataFrame(texts if texts is not None else known_texts(), "licence string, body string")
-    return rows.groupBy(F.sha2(canonical(F.col("body")), 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    forms = rows.select("licence", canonical(F.col("body")).alias("form"))
+    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.min(F.get(F.split("form", " "), F.lit(0))).alias("first"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,9 +141,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     known = F.broadcast(known if known is not None else known_digests(docs.sparkSession))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     lines = F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1), lambda x: F.length(x) > 0)
-    found = rows.select("_id", F.explode(lines).alias("_line")).select("_id", F.sha2(canonical(F.col("_line")), 256).alias("digest")).join(known, "digest")
+    # a line can be a known text only if it starts with the first word of one; the few that do get their canonical form
+    split = rows.select("_id", F.explode(lines).alias("_line")).withColumn("first", opening(F.col("_line")))
+    firsts = known.select("first").unionByName(docs.sparkSession.createDataFrame([(ANY,)], "first string")).distinct()
+    likely = split.join(F.broadcast(firsts), "first", "left_semi")
+    found = likely.select("_id", F.sha2(canonical(F.col("_line")), 256).alias("digest")).join(known.select("digest", "licence"), "digest")
     hits = found.groupBy(F.col("_id").alias("_hit")).agg(F.sort_array(F.collect_set("licence")).alias("line_licences"), F.count(F.lit(1)).alias("n_licence_lines"))
-    whole = rows.select("_id", F.sha2(canonical(F.col("_text")), 256).alias("digest")).join(known.withColumnRenamed("licence", "text_licence"), "digest", "left")
+    whole = rows.select("_id", F.sha2(canonical(F.col("_text")), 256).alias("digest")).join(known.select("digest", F.col("licence").alias("text_licence")), "digest", "left")
     out = whole.join(hits, F.col("_id").eqNullSafe(F.col("_hit")), "left")
     return out.select(
         F.col("_id").alias(id_col), "digest", "text_licence", F.coalesce("line_licences", F.array().cast("array<string>")).alias("line_licences"),
