@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.llm.common import chunks, saved
 from proofgrid.llm.components import components
+from proofgrid.llm.jaccard_links import nodes_and_links
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -222,12 +223,15 @@ def near_duplicates(
     return out.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, shingle: int = 5, max_bits: int = 13, max_both: int | None = 19, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, same columns, of which each component keeps the one with the smallest id.
 
-    The defaults stand for a similarity of 0.8: on five-word shingles that is a cosine of 2 * 0.8 / 1.8, and so 19 of 128
-    bits. Documents with a null id stay. Repeated rows of the kept id stay as they are.
+    Components are those of the pairs with a Jaccard similarity of ``similarity`` or more between their sets of shingles,
+    verified on the whole sets: so many bits of a fingerprint stand for too wide a range of similarities to decide this.
+    Documents with a null id stay. Repeated rows of the kept id stay as they are.
     """
-    classes = near_duplicates(docs, shingle, max_bits, max_both, id_col, text)
-    gone = classes.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone"))
+    prints, nodes, links = nodes_and_links(docs, shingle, similarity, id_col, text)
+    labels = nodes.join(components(links).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    labels = labels.select("fp", "fp2", F.coalesce("label", "node").alias("_component"))
+    gone = prints.join(labels, ["fp", "fp2"]).filter(F.col("_id") > F.col("_component")).select(F.col("_id").alias("_gone"))
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
