@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from proofgrid.llm import (
     decontamination, language_id, licenses, line_dedup, lm_scoring, packing, quality_rules, simhash_dedup, substring_dedup, token_counts,
+    url_filters, whitening,
 )
 from proofgrid.llm.common import table
 from proofgrid.llm.oracles import LICENSES_SQL, LINES_SQL, QUALITY_SQL
@@ -76,6 +77,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filters.train(url_filters.labelled_urls(spark))
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, model)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -84,7 +98,8 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_lm_scoring, op6_simhash_dedup, op7_substring_dedup,
-        op8_license_scans, op9_decontamination, op10_language_id, pipeline,
+        op8_license_scans, op9_decontamination, op10_language_id, op11_url_filters,
+        op13_embedding_whitening, pipeline,
     )
 }
 ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op4_line_dedup": LINES_SQL, "op8_license_scans": LICENSES_SQL}
