@@ -252,6 +252,11 @@ def _effect(x: Column) -> Column:
     )
 
 
+def effects_of_row() -> Column:
+    """The effect of an evidence row on each of the five levels."""
+    return F.array(*[_effect(F.lit(i)).cast("int") for i in range(5)])
+
+
 PIECE = 1024
 
 
@@ -261,7 +266,7 @@ def bucket_effects(evidence: DataFrame, keys: Sequence[str], order: Sequence[str
     A row is a function on five levels and functions compose: rows are numbered in order and composed in pieces of a
     fixed size, pieces of pieces again, so no list ever holds more than ``piece`` rows however hot a key is.
     """
-    effect = F.array(*[_effect(F.lit(i)).cast("int") for i in range(5)])
+    effect = effects_of_row()
     cell = [*keys, "_b"]
     e = evidence.select(*keys, *order, bucket.alias("_b"), effect.alias("effect"))
     part = e.select(*cell, (F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1).cast("bigint").alias("_p"), "effect")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofgrid.functions.hashing import text_key
+from proofgrid.operators import notes as nt
 from proofgrid.plans import governance_queries as gq
 from proofgrid.plans.base import TODAY, fold_sql, query, table
 from proofgrid.plans.note_queries import FOLD_SQL, line_evidence
 from proofgrid.plans.text_queries import ADMIT_SQL
 from proofgrid.sources import documents as src
 from proofgrid.streaming import jobs
-from proofgrid.streaming.runtime import deliveries, file_stream
+from proofgrid.streaming.runtime import arrivals, deliveries, file_stream, read_batches, work_folder
 
 
 def stream_of(spark, sf, name, key, n=3):
@@ -38,10 +39,13 @@ def str_1(spark, sf):
 
 @query("str_2_streaming_copies", f"SELECT DISTINCT sha256(trim(regexp_replace({fold_sql('text')}, '\\s+', ' ', 'g'))) AS text_key FROM documents")
 def str_2(spark, sf):
-    # one document a minute, in the order of the ids
-    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("doc_id"))
-    s = stream_of(spark, sf, "documents", "doc_id").select(text_key(F.col("text")).alias("text_key"), arrived.alias("arrived"))
-    return jobs.first_copies(s, "arrived", ["text_key"], "3650 days").select("text_key")
+    # three deliveries, each a year after the one before, a document a minute inside: recent copies meet in state, old ones in the key table
+    docs, work = table(spark, sf, "documents"), work_folder(spark, "str-2")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    dated = docs.select(text_key(F.col("text")).alias("text_key"), F.timestamp_seconds(F.lit(1_700_000_000) + part * 31_536_000 + 60 * F.col("doc_id")).alias("arrived"), part.alias("part"))
+    for folder in arrivals(dated, F.col("part"), 3):
+        once = jobs.first_copies(file_stream(spark, folder, dated).select("text_key", "arrived"), "arrived", ["text_key"], 7_200, work)
+    return once.select("text_key")
 
 
 @query("str_3_sliding_request_counts", """
@@ -74,7 +78,10 @@ def str_5(spark, sf):
 
 @query("str_6_retention_pass", f"WITH {gq.RETENTION_SQL} SELECT doc_id FROM x WHERE candidate_id NOT IN (SELECT candidate_id FROM dm)")
 def str_6(spark, sf):
-    return jobs.retention_pass(stream_of(spark, sf, "documents", "doc_id"), TODAY, gq.retention_rows).select("doc_id")
+    docs, work = table(spark, sf, "documents"), work_folder(spark, "str-6")
+    for folder in arrivals(docs, F.pmod(F.xxhash64("doc_id"), F.lit(3)), 3):
+        kept = jobs.retention_pass(file_stream(spark, folder, docs), TODAY, gq.retention_rows, folder=work)
+    return kept.select("doc_id")
 
 
 @query("str_7_late_evidence", """
@@ -86,3 +93,26 @@ def str_7(spark, sf):
     folder = deliveries(e, F.col("arrival"), 4)
     on_time, late = jobs.split_late(file_stream(spark, folder, e, files_per_batch=1), "ts", 864_000, ["event_id", "ts"])
     return on_time.unionByName(late).select("event_id", "late")
+
+
+LATE_DAYS = 60
+LATE_SQL = f"""
+{FOLD_SQL}, y AS (SELECT e2.*, CASE WHEN CAST(split_part(id, '_', 1) AS BIGINT) % 13 = 0 THEN 3 WHEN year(created_at) < 1994 THEN 0 WHEN year(created_at) < 1996 THEN 1 ELSE 2 END AS arrival, make_timestamp(year(created_at) + 1, 1, 1, 0, 0, 0) AS due FROM e2),
+mk AS (SELECT max(due) - INTERVAL {LATE_DAYS} DAYS AS edge FROM y WHERE arrival < 3),
+lt AS (SELECT subject, count(*) FILTER (due <= edge) AS late_rows FROM y, mk WHERE arrival = 3 GROUP BY subject)"""
+
+
+@query("str_7_late_effects", f"WITH {LATE_SQL} SELECT fold.subject, array_to_string(fx, ',') AS effect, coalesce(late_rows, 0) AS late_rows FROM fold LEFT JOIN lt USING (subject)")
+def str_7b(spark, sf):
+    """Evidence in the order of its time, but for every thirteenth order, which comes at the end; each delivery is a restart of the job."""
+    e = line_evidence(spark, sf).withColumn("effect", nt.effects_of_row())
+    year = F.year("created_at")
+    order = F.split("id", "_")[0].cast("bigint")
+    arrival = F.when(F.pmod(order, F.lit(13)) == 0, 3).when(year < 1994, 0).when(year < 1996, 1).otherwise(2)
+    rows = e.select("subject", year.cast("bigint").alias("year"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "id", "effect", F.make_timestamp(year + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("due"), arrival.alias("arrival"))
+    work = work_folder(spark, "str-7")
+    for folder in arrivals(rows, F.col("arrival"), 4):
+        cells = jobs.late_evidence(file_stream(spark, folder, rows).drop("arrival"), ["subject"], "year", "due", LATE_DAYS * 86_400, work)
+    late = read_batches(spark, f"{work}/late/side").groupBy("subject").agg(F.count(F.lit(1)).alias("late_rows"))
+    effects = jobs.effects_of_cells(cells, ["subject"], "year").join(late, "subject", "left")
+    return effects.select("subject", F.array_join("effect", ",").alias("effect"), F.coalesce("late_rows", F.lit(0)).cast("bigint").alias("late_rows"))

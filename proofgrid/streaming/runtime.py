@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from proofgrid.session import shared_folder
+from proofgrid.streaming.store import Files
 
 
 def base_folder(spark: SparkSession) -> str:
@@ -38,6 +40,15 @@ def deliveries(df: DataFrame, delivery: Column, n: int) -> str:
     return folder
 
 
+def arrivals(df: DataFrame, delivery: Column, n: int) -> Iterator[str]:
+    """The table as ``n`` deliveries of as many files as it has partitions: after each one the folder is handed out, to be
+    drained by one run of a job."""
+    folder = f"{base_folder(df.sparkSession)}/arrivals-{uuid.uuid4().hex}"
+    for i in range(n):
+        df.filter(delivery == i).write.mode("append").parquet(folder)
+        yield folder
+
+
 def file_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(like.schema).option("pathGlobFilter", glob)
     if files_per_batch:
@@ -45,10 +56,11 @@ def file_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "
     return reader.parquet(folder)
 
 
-def run_batches(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process everything that is available, batch by batch, then stop; restarts continue from the checkpoint."""
+def run_batches(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> list:
+    """Process everything that is available, batch by batch, then stop; restarts continue from the checkpoint. Returns the last progress reports."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(step).trigger(availableNow=True).start()
     query.awaitTermination()
+    return list(query.recentProgress)
 
 
 def write_batch(df: DataFrame, folder: str, batch: int, *by: str) -> None:
@@ -58,3 +70,26 @@ def write_batch(df: DataFrame, folder: str, batch: int, *by: str) -> None:
 
 def read_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+
+
+def drop_batches(spark: SparkSession, folder: str) -> None:
+    """Delete batches that the stream reading them has taken over (its log remembers them)."""
+    files = Files(spark, folder)
+    for name in files.names(folder):
+        if name.startswith("batch="):
+            files.delete(f"{folder}/{name}")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Keyed state with timers needs the store that keeps it on disk; the session's own choice is put back afterwards."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
