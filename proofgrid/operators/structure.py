@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.functions import dates as dt
 from proofgrid.functions import text as tx
 from proofgrid.functions.levels import half_even, lookup
-from proofgrid.operators.intervals import assign_to_spans
+from proofgrid.operators.scale import computed_once
 
 # Headings of the sections (on folded lines), environment lines, language names and levels.
 HEADINGS = {
@@ -36,39 +38,33 @@ LOCATIONS = {"skills": "skills_list", "summary": "summary", "education": "traini
 
 def heading(folded: Column) -> Column:
     """Section named by a folded heading line, or null."""
-    f = F.trim(folded, F.lit(" :：-–—#*_\t."))
-    out = None
-    for name, rx in HEADINGS.items():
-        hit = f.rlike(f"^(?:{rx})$")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.when((f != "") & (F.length(f) <= 60), out)
-
-
-def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Lines with offsets and the section they belong to (carried forward from the last heading)."""
-    l = docs.select("doc_id", F.length(text).alias("chars"), F.posexplode(tx.pieces(F.col(text), "\n")).alias("line_no", "l"))
-    l = l.select("doc_id", "chars", "line_no", F.col("l.start").alias("start"), F.col("l.end").alias("end"), F.col("l.text").alias("raw"))
-    l = l.withColumn("f", tx.fold(F.col("raw"))).withColumn("heading", F.when(F.length("raw") <= 80, heading(F.col("f"))))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    # the lines after this one, read backwards so that one pass is enough
-    after = Window.partitionBy("doc_id").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("doc_id")
-    l = l.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(before), F.lit("summary")))
-    l = l.withColumn("section_end", F.coalesce(F.last(F.when(F.col("heading").isNotNull(), F.col("start")), ignorenulls=True).over(after), F.col("chars")))
-    l = l.withColumn("section_start", F.coalesce(F.last(F.when(F.col("heading").isNotNull(), F.col("start")), ignorenulls=True).over(before), F.lit(0)))
-    has = F.max(F.coalesce((F.col("heading") == "experience").cast("int"), F.lit(0))).over(whole) == 1
-    l = l.withColumn("in_zone", F.when(has, F.col("section") == "experience").otherwise(~F.col("section").isin(SKIPPED)))
-    l = l.withColumn("zone_start", F.when(has, F.col("section_start")).otherwise(0)).withColumn("zone_end", F.when(has, F.col("section_end")).otherwise(F.col("chars")))
-    return l.drop("section_start", "section_end")
-
-
-def header_like() -> Column:
+
+    def named(f: Column) -> Column:
+        out = None
+        for name, rx in HEADINGS.items():
+            hit = f.rlike(f"^(?:{rx})$")
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return F.when((f != "") & (F.length(f) <= 60), out)
+
+    return tx.let(F.trim(folded, F.lit(" :：-–—#*_\t.")), named)
+
+
+def runs(arr: Column, opens: Callable[[Column], Column]) -> Column:
+    """The array cut before every element that opens a run; the first run holds what stands before the first of them."""
+    places = F.filter(F.transform(arr, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull())
+
+    def cut(p: Column) -> Column:
+        until = lambda j: F.coalesce(F.get(p, j), F.size(arr))
+        return F.concat(F.array(F.slice(arr, F.lit(1), until(F.lit(0)))), F.transform(p, lambda x, j: F.slice(arr, x + 1, until(j + 1) - x)))
+
+    return tx.let(places, cut)
+
+
+def header_like(line: Column) -> Column:
     """A short line that may carry the company or the title above a dated line."""
-    raw, t = F.col("raw"), F.trim("raw")
-    dated = F.col("f").rlike("\\d{4}") & F.col("f").rlike(dt.RANGE)
-    return (
-        (t != "") & (F.length(raw) <= LOOK_BACK_CHARS) & ~t.rlike("[.;]$") & ~raw.rlike(BULLET_LINE) & F.col("heading").isNull() & ~raw.rlike(ENV_LINE) & ~dated
-    )
+    raw, t = line["raw"], F.trim(line["raw"])
+    dated = line["f"].rlike("\\d{4}") & line["f"].rlike(dt.RANGE)
+    return (t != "") & (F.length(raw) <= LOOK_BACK_CHARS) & ~t.rlike("[.;]$") & ~raw.rlike(BULLET_LINE) & line["heading"].isNull() & ~raw.rlike(ENV_LINE) & ~dated
 
 
 def split_header(header: Column) -> Column:
@@ -84,100 +80,255 @@ def split_header(header: Column) -> Column:
     )
 
 
-def dated_lines(l: DataFrame, today: str) -> DataFrame:
-    """Lines of the experience zone that open a dated block; project periods inside an experience are left out."""
-    short = F.col("in_zone") & (F.length("raw") <= HEADER_CHARS)
-    c = l.withColumn("range", F.when(short, dt.first_range(F.col("f"), today)))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    c = c.withColumn("_ok", header_like()).withColumn("_ok1", F.lag("_ok", 1, False).over(w)).withColumn("_ok2", F.lag("_ok", 2, False).over(w))
-    c = c.withColumn("_back", F.when(F.col("_ok1"), F.when(F.col("_ok2"), 2).otherwise(1)).otherwise(0))
-    for i in (1, 2):
-        c = c.withColumn(f"_s{i}", F.lag("start", i).over(w)).withColumn(f"_r{i}", F.lag("raw", i).over(w))
-    c = c.filter(F.col("range").isNotNull())
-    s, e = dt.year_month(F.col("range.s")), dt.year_month(F.col("range.e"))
-    current = dt.is_open(F.col("range.e"))
-    c = c.select("*", s.alias("from"), F.when(~current, e).alias("to"), current.alias("is_current"), F.col("raw").rlike(BULLET_LINE).alias("bullet"))
-    low = dt.ordinal(F.col("from"), 1)
-    high = F.when(F.col("is_current"), F.lit(dt.today_ordinal(today))).otherwise(F.coalesce(dt.ordinal(F.col("to"), 12), F.lit(-1)))
-    c = c.withColumn("_low", low).withColumn("_high", high)
-    opened = F.last(F.when(~F.col("bullet") & (F.col("_high") >= 0), F.struct("_low", "_high")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    inside = F.col("bullet") & (F.col("_low") >= opened["_low"]) & F.col("_high").between(0, opened["_high"])
-    return c.withColumn("project_period", F.coalesce(inside, F.lit(False)))
+def _sectioned(ls: Column, chars: Column) -> Column:
+    """Lines with the section of the last heading at or before them, and the zone that holds experiences."""
 
+    def sections(parts: Column) -> Column:
+        has = F.exists(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda r: F.get(r, F.lit(0))["heading"] == "experience")
 
-def experiences(docs: DataFrame, today: str, text: str = "text") -> DataFrame:
-    """Dated blocks with company, title, period, duration and spans; long undated blocks of the zone are kept as undated ones."""
-    l = lines(docs, text)
-    c = dated_lines(l, today).filter(~F.col("project_period"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    back = F.col("_back")
-    c = c.withColumn("s", F.when(back == 2, F.col("_s2")).when(back == 1, F.col("_s1")).otherwise(F.col("start")))
-    c = c.withColumn("header", F.concat_ws(" — ", F.when(back == 2, F.trim("_r2")), F.when(back >= 1, F.trim("_r1")), F.trim("raw")))
-    # the block ends where the header lines of the next one start, never before the line after this one
-    c = c.withColumn("e", F.when(F.lead("s").over(w).isNotNull(), F.greatest(F.lead("s").over(w), F.col("end") + 1)).otherwise(F.col("zone_end")))
-    h = split_header(F.col("header"))
-    months = dt.duration(F.col("from"), F.col("to"), F.col("is_current"), today)
-    dated = c.select(
-        "doc_id", "s", "e", F.col("end").alias("body_s"), "header", h["company"].alias("company"), h["title"].alias("title"),
-        dt.iso(F.col("from")).alias("start"), dt.iso(F.col("to")).alias("end"), "is_current", months.alias("months"),
-        dt.ordinal(F.col("from")).alias("start_ord"), F.when(F.col("is_current"), F.lit(dt.today_ordinal(today))).otherwise(dt.ordinal(F.col("to"))).alias("end_ord"),
-        F.when(months.isNotNull(), dt.precision(F.col("from"), F.col("to"), F.col("is_current"))).otherwise("unknown").alias("precision"), "zone_start", "zone_end",
-    )
-    both = dated.drop("zone_start", "zone_end").unionByName(undated_blocks(docs, l, dated, text), allowMissingColumns=True)
-    return both.withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("s")) - 1)
+        def one(r: Column, j: Column) -> Column:
+            following = F.get(F.get(parts, j + 1), F.lit(0))
+            name = F.when(j == 0, "summary").otherwise(F.get(r, F.lit(0))["heading"])
+            inside = F.when(has, name == "experience").otherwise(~name.isin(SKIPPED))
+            zone = F.when(has, F.struct(
+                F.when(j == 0, 0).otherwise(F.get(r, F.lit(0))["start"]).alias("start"), F.coalesce(following["start"], chars).alias("end"),
+                F.when(j == 0, 0).otherwise(F.get(r, F.lit(0))["n"]).alias("first"), F.coalesce(following["n"], F.size(ls)).alias("until"),
+            )).otherwise(F.struct(F.lit(0).alias("start"), chars.alias("end"), F.lit(0).alias("first"), F.size(ls).alias("until")))
+            return tx.let(
+                F.struct(name.alias("section"), inside.alias("in_zone"), zone.alias("zone")),
+                lambda g: F.transform(r, lambda x: F.struct(*[x[k].alias(k) for k in LINE], g["section"].alias("section"), g["in_zone"].alias("in_zone"), g["zone"].alias("zone"))),
+            )
+
+        return F.flatten(F.transform(parts, one))
+
+    return tx.let(runs(ls, lambda x: x["heading"].isNotNull()), sections)
+
+
+LINE = ("n", "start", "end", "raw", "f", "heading")
+
+
+def _dated(ls: Column, today: str) -> Column:
+    """Lines of the zone that open a dated block, with the header lines above them and their period."""
+    short = F.filter(ls, lambda x: x["in_zone"] & (F.length(x["raw"]) <= HEADER_CHARS))
+    found = F.filter(F.transform(short, lambda x: F.struct(x.alias("line"), dt.first_range(x["f"], today).alias("range"))), lambda x: x["range"].isNotNull())
 
+    def above(x: Column) -> Column:
+        fits = lambda k: F.coalesce(header_like(F.get(ls, x["line"]["n"] - k)), F.lit(False)) & (x["line"]["n"] >= k)
+        return F.when(fits(1), F.when(fits(2), 2).otherwise(1)).otherwise(0)
 
-def undated_blocks(docs: DataFrame, l: DataFrame, dated: DataFrame, text: str = "text") -> DataFrame:
+    def described(x: Column) -> Column:
+        line = x["line"]
+
+        def with_back(back: Column) -> Column:
+            first = F.get(ls, line["n"] - back)
+            header = F.concat_ws(" — ", F.when(back == 2, F.trim(F.get(ls, line["n"] - 2)["raw"])), F.when(back >= 1, F.trim(F.get(ls, line["n"] - 1)["raw"])), F.trim(line["raw"]))
+            current = dt.is_open(x["range"]["e"])
+            start, end = dt.year_month(x["range"]["s"]), F.when(~current, dt.year_month(x["range"]["e"]))
+            return F.struct(
+                line["n"].alias("n"), line["end"].alias("line_end"), line["zone"].alias("zone"), first["n"].alias("first"), first["start"].alias("s"), header.alias("header"),
+                start.alias("from"), end.alias("to"), current.alias("is_current"), line["raw"].rlike(BULLET_LINE).alias("bullet"),
+            )
+
+        return tx.let(above(x), with_back)
+
+    def bounded(x: Column) -> Column:
+        high = F.when(x["is_current"], F.lit(dt.today_ordinal(today))).otherwise(F.coalesce(dt.ordinal(x["to"], 12), F.lit(-1)))
+        return F.struct(x.alias("d"), dt.ordinal(x["from"], 1).alias("low"), high.alias("high"))
+
+    def projects(r: Column) -> Column:
+        # a run starts with a block that can hold project periods; only the first run may lack it
+        holder = F.get(r, F.lit(0))
+        holds = ~holder["d"]["bullet"] & (holder["high"] >= 0)
+        inside = lambda x: holds & x["d"]["bullet"] & (x["low"] >= holder["low"]) & x["high"].between(F.lit(0), holder["high"])
+        return F.transform(r, lambda x: F.struct(x["d"].alias("d"), F.coalesce(inside(x), F.lit(False)).alias("project_period")))
+
+    cut = lambda c: F.flatten(F.transform(runs(c, lambda x: ~x["d"]["bullet"] & (x["high"] >= 0)), projects))
+    return tx.let(F.transform(F.transform(found, described), bounded), cut)
+
+
+EXPERIENCE = "struct<s:int,e:int,body_s:int,header:string,company:string,title:string,start:string,end:string,is_current:boolean,months:int,start_ord:int,end_ord:int,precision:string,body:int,until:int>"
+
+
+def _blocks(dated: Column, today: str) -> Column:
+    """The dated blocks; each ends where the header lines of the next one start, never before the line after its own, the last one with its zone."""
+
+    def ended(kept: Column) -> Column:
+        def block(d: Column, i: Column) -> Column:
+            following = F.get(kept, i + 1)
+            end_ord = F.when(d["is_current"], F.lit(dt.today_ordinal(today))).otherwise(dt.ordinal(d["to"]))
+            e = F.when(following.isNotNull(), F.greatest(following["s"], d["line_end"] + 1)).otherwise(d["zone"]["end"])
+            until = F.when(following.isNotNull(), F.greatest(following["first"], d["n"] + 1)).otherwise(d["zone"]["until"])
+            derived = F.struct(dt.duration(d["from"], d["to"], d["is_current"], today).alias("months"), split_header(d["header"]).alias("h"))
+
+            def filled(v: Column) -> Column:
+                h, months = v["h"], v["months"]
+                fields = F.struct(
+                    d["s"], e, d["line_end"], d["header"], h["company"], h["title"], dt.iso(d["from"]), dt.iso(d["to"]), d["is_current"], months, dt.ordinal(d["from"]), end_ord,
+                    F.when(months.isNotNull(), dt.precision(d["from"], d["to"], d["is_current"])).otherwise("unknown"), d["n"] + 1, until,
+                )
+                return F.struct(fields.cast(EXPERIENCE).alias("x"), d["zone"].alias("zone"), d["first"].alias("first"))
+
+            return tx.let(derived, filled)
+
+        return F.transform(kept, block)
+
+    return tx.let(F.transform(F.filter(dated, lambda x: ~x["project_period"]), lambda x: x["d"]), ended)
+
+
+def _undated(text: Column, ls: Column, blocks: Column) -> Column:
     """Gaps of more than 120 characters between the dated blocks of a zone."""
-    zones = l.filter("in_zone").select("doc_id", "zone_start", "zone_end").distinct()
-    ends = zones.select("doc_id", "zone_start", F.col("zone_end").alias("s"), F.col("zone_end").alias("e"))
-    marks = dated.select("doc_id", "zone_start", "s", "e").unionByName(ends)
-    w = Window.partitionBy("doc_id", "zone_start").orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gaps = marks.withColumn("g", F.coalesce(reach, F.col("zone_start"))).filter(F.col("s") - F.col("g") > GAP_CHARS)
-    cut = gaps.join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id").withColumn("chunk", F.substring("_t", F.col("g") + 1, F.col("s") - F.col("g")))
-    first = F.get(F.filter(F.transform(F.split("chunk", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & heading(tx.fold(x)).isNull()), F.lit(0))
-    cut = cut.withColumn("header", first).filter(F.col("header").isNotNull() & (F.length(F.regexp_replace("chunk", "\\s+", "")) > 100))
-    h = split_header(F.col("header"))
-    return cut.select(
-        "doc_id", F.col("g").alias("s"), F.col("s").alias("e"), F.col("g").alias("body_s"), "header", h["company"].alias("company"), h["title"].alias("title"),
-        F.lit(False).alias("is_current"), F.lit("unknown").alias("precision"),
-    )
+    # a zone shows on its first line that lies inside; its lines follow each other or it is the whole text
+    inside = F.filter(ls, lambda x: x["in_zone"])
+    zones = F.array_distinct(F.transform(inside, lambda x: x["zone"]))
+
+    def gaps(zone: Column) -> Column:
+        def between(own: Column) -> Column:
+            starts = F.concat(F.array(F.struct(zone["start"].alias("at"), zone["first"].alias("n"))), F.transform(own, lambda b: F.struct(b["x"]["e"].alias("at"), b["x"]["until"].alias("n"))))
+            ends = F.concat(F.transform(own, lambda b: F.struct(b["x"]["s"].alias("at"), b["first"].alias("n"))), F.array(F.struct(zone["end"].alias("at"), zone["until"].alias("n"))))
+            return F.arrays_zip(starts.alias("g"), ends.alias("s"))
+
+        return tx.let(F.filter(blocks, lambda b: b["zone"] == zone), between)
 
+    wide = F.filter(F.flatten(F.transform(zones, gaps)), lambda g: g["s"]["at"] - g["g"]["at"] > GAP_CHARS)
 
-def items(l: DataFrame, exps: DataFrame) -> DataFrame:
+    def chunk(g: Column) -> Column:
+        part = F.substring(text, g["g"]["at"] + 1, g["s"]["at"] - g["g"]["at"])
+        first = lambda t: F.get(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & heading(tx.fold(x)).isNull()), F.lit(0))
+        return F.struct(g["g"].alias("g"), g["s"].alias("s"), tx.let(part, lambda t: F.when(F.length(F.regexp_replace(t, "\\s+", "")) > 100, first(t))).alias("header"))
+
+    def block(g: Column) -> Column:
+        none = lambda t: F.lit(None).cast(t)
+        return tx.let(split_header(g["header"]), lambda h: F.struct(
+            g["g"]["at"], g["s"]["at"], g["g"]["at"], g["header"], h["company"], h["title"], none("string"), none("string"), F.lit(False), none("int"), none("int"), none("int"), F.lit("unknown"),
+            g["g"]["n"], g["s"]["n"],
+        ).cast(EXPERIENCE))
+
+    return F.transform(F.filter(F.transform(wide, chunk), lambda g: g["header"].isNotNull()), block)
+
+
+def _items(ls: Column, exps: Column) -> Column:
     """Bullets and paragraphs of the experience bodies; wrapped lines are glued."""
-    inside = assign_to_spans(l, exps.select("doc_id", "idx", F.col("body_s").alias("start"), F.col("e").alias("end")), ["doc_id"], "start")
-    b = inside.filter(F.col("span").isNotNull() & (F.col("end") > F.col("span.start"))).withColumn("idx", F.col("span.idx"))
-    w = Window.partitionBy("doc_id", "idx").orderBy("line_no")
-    line = F.trim("raw")
-    b = b.withColumn("_line", line).withColumn("_prev", F.lag("_line").over(w))
-    glued = (
-        (F.coalesce("_prev", F.lit("")) != "") & ~F.col("raw").rlike(BULLET_LINE) & ~F.col("_prev").rlike("[.;:!?]$") & F.col("_line").rlike("^[a-zà-ÿ0-9(&,]")
-    )
-    b = b.withColumn("_new", F.when(glued, 0).otherwise(1)).withColumn("item_no", F.sum("_new").over(w)).filter(F.col("_line") != "")
-    return b.groupBy("doc_id", "idx", "item_no").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), "\n").alias("item"),
+
+    def of_experience(x: Column, idx: Column) -> Column:
+        body = F.filter(F.slice(ls, x["body"] + 1, F.greatest(x["until"] - x["body"], F.lit(0))), lambda y: (y["start"] < x["e"]) & (y["end"] > x["body_s"]))
+
+        def glued(b: Column) -> Column:
+            def marked(y: Column, i: Column) -> Column:
+                line, before = F.trim(y["raw"]), F.coalesce(F.trim(F.get(b, i - 1)["raw"]), F.lit(""))
+                wrapped = (i > 0) & (before != "") & ~y["raw"].rlike(BULLET_LINE) & ~before.rlike("[.;:!?]$") & line.rlike("^[a-zà-ÿ0-9(&,]")
+                return F.struct(y["start"].alias("start"), y["end"].alias("end"), y["raw"].alias("raw"), (line == "").alias("blank"), (~wrapped).alias("opens"))
+
+            return F.transform(b, marked)
+
+        def joined(r: Column, i: Column) -> Column:
+            last = F.get(r, F.size(r) - 1)
+            item = F.array_join(F.transform(r, lambda y: y["raw"]), "\n")
+            return F.struct(idx.alias("idx"), i.alias("item_no"), F.get(r, F.lit(0))["start"].alias("start"), last["end"].alias("end"), item.alias("item"))
+
+        found = tx.let(tx.let(body, glued), lambda m: F.filter(runs(m, lambda y: y["opens"]), lambda r: (F.size(r) > 0) & ~F.get(r, F.lit(0))["blank"]))
+        return F.transform(found, joined)
+
+    return F.flatten(F.transform(exps, of_experience))
+
+
+PARTS = ("lines", "dated", "experiences", "items")
+
+
+def layout(docs: DataFrame, today: str, text: str = "text", until: str = "items") -> DataFrame:
+    """One row per document: its lines, dated lines, experiences and items, as arrays; nothing beyond ``until`` is computed.
+
+    All is computed inside the row: lines carry their offsets and numbers, so spans become slices and nothing is
+    shuffled or sorted. ``lines_of``, ``experiences_of`` and ``items_of`` turn the arrays into rows.
+    """
+    steps = PARTS.index(until)
+    cut = tx.pieces(F.col("_t"), "\n")
+    line = lambda l, n: tx.let(
+        tx.fold(l["text"]),
+        lambda f: F.struct(
+            n.alias("n"), l["start"].alias("start"), l["end"].alias("end"), l["text"].alias("raw"), f.alias("f"), F.when(F.length(l["text"]) <= 80, heading(f)).alias("heading")
+        ),
     )
+    d = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    d = computed_once(d, _ls=F.transform(cut, line))
+    d = computed_once(d, lines=_sectioned(F.col("_ls"), F.length("_t"))).drop("_ls")
+    if steps >= 1:
+        d = computed_once(d, dated=_dated(F.col("lines"), today))
+    if steps >= 2:
+        d = computed_once(d, _blocks=_blocks(F.col("dated"), today))
+        both = F.concat(F.transform("_blocks", lambda b: b["x"]), _undated(F.col("_t"), F.col("lines"), F.col("_blocks")))
+        d = computed_once(d, experiences=F.array_sort(both)).drop("_blocks")
+    if steps >= 3:
+        d = computed_once(d, items=_items(F.col("lines"), F.col("experiences")))
+    return d.drop("_t")
+
+
+def lines_of(laid: DataFrame) -> DataFrame:
+    """Lines with offsets, heading, section and zone."""
+    l = laid.select("doc_id", F.explode("lines").alias("l"))
+    return l.select("doc_id", F.col("l.n").alias("line_no"), *[f"l.{c}" for c in ("start", "end", "raw", "f", "heading", "section", "in_zone")])
+
+
+def dated_lines(laid: DataFrame) -> DataFrame:
+    """Lines of the experience zone that open a dated block; ``project_period`` marks the periods inside another one."""
+    d = laid.select("doc_id", F.explode("dated").alias("x"))
+    return d.select("doc_id", F.col("x.d.n").alias("line_no"), *[f"x.d.{c}" for c in ("from", "to", "is_current")], "x.project_period")
+
+
+def experiences_of(laid: DataFrame) -> DataFrame:
+    e = laid.select("doc_id", F.posexplode("experiences").alias("idx", "x"))
+    return e.select("doc_id", "idx", "x.*").drop("body", "until")
+
+
+def experiences(docs: DataFrame, today: str, text: str = "text") -> DataFrame:
+    """Dated blocks with company, title, period, duration and spans; long undated blocks of the zone are kept as undated ones."""
+    return experiences_of(layout(docs, today, text, "experiences"))
+
+
+def items_of(laid: DataFrame) -> DataFrame:
+    return laid.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.*")
 
 
 def env_lines(l: DataFrame) -> DataFrame:
     return l.filter(F.col("raw").rlike(ENV_LINE)).select("doc_id", "start", "end", "raw")
 
 
-def locations(hits: DataFrame, l: DataFrame, exps: DataFrame) -> DataFrame:
-    """Where a mention stands: environment list, header or body of an experience, else the kind of its section."""
-    at_line = assign_to_spans(hits, l.select("doc_id", "start", (F.col("end") + 1).alias("end"), "section", F.col("raw").rlike(ENV_LINE).alias("env")), ["doc_id"], "start", into="line")
-    at_exp = assign_to_spans(at_line, exps.select("doc_id", "idx", F.col("s").alias("start"), F.col("e").alias("end"), "body_s", "months"), ["doc_id"], "start", into="exp")
-    section = lookup(LOCATIONS, F.col("line.section"), "other")
+SEARCH_BLOCK = 64
+
+
+def span_at(spans: Column, heads: Column, at: Column) -> Column:
+    """The last of the ordered spans that starts at or before ``at``, if it ends after it. ``heads`` are the starts of every 64th span,
+    so a long array isn't walked through for every position."""
+    before = F.size(F.filter(heads, lambda h: h <= at)) - 1
+    near = F.slice(spans, before * SEARCH_BLOCK + 1, F.lit(SEARCH_BLOCK))
+    return F.when(before >= 0, tx.let(F.element_at(F.filter(near, lambda x: x["start"] <= at), -1), lambda x: F.when(x["end"] > at, x)))
+
+
+def heads_of(spans: Column) -> Column:
+    return F.transform(F.filter(spans, lambda x, i: i % SEARCH_BLOCK == 0), lambda x: x["start"])
+
+
+def spans_by_document(laid: DataFrame, item_text: bool = False) -> DataFrame:
+    """doc_id and the offsets of lines, experiences and items in order of position; no text but, if asked for, that of the items."""
+    lines = F.transform("lines", lambda x: F.struct(x["start"].alias("start"), (x["end"] + 1).alias("end"), x["section"].alias("section"), x["raw"].rlike(ENV_LINE).alias("env")))
+    exps = F.transform("experiences", lambda x, i: F.struct(x["s"].alias("start"), x["e"].alias("end"), x["body_s"].alias("body_s"), x["months"].alias("months"), i.alias("idx")))
+    items = F.transform("items", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["idx"].alias("idx"), *([x["item"].alias("item")] if item_text else [])))
+    s = laid.select("doc_id", lines.alias("_lines"), exps.alias("_exps"), items.alias("_items"))
+    return s.withColumns({f"_{c}_heads": heads_of(F.col(f"_{c}")) for c in ("lines", "exps", "items")})
+
+
+def located(hits: DataFrame, laid: DataFrame, item_text: bool = False) -> DataFrame:
+    """Mentions with where they stand (``location``), the experience and its months, and the item that holds them (struct, null outside).
+
+    Mentions and offsets meet by document; texts stay where they were cut.
+    """
+    j = hits.join(spans_by_document(laid, item_text), "doc_id")
+    at = lambda c: span_at(F.col(f"_{c}"), F.col(f"_{c}_heads"), F.col("start"))
+    j = computed_once(j, _line=at("lines"), _exp=at("exps"), _item=at("items"))
     where = (
-        F.when(F.col("exp").isNull(), section)
-        .when(F.col("line.env"), "env_list")
-        .when(F.col("start") < F.col("exp.body_s"), "header")
-        .otherwise("experience")
-    )
-    return at_exp.withColumn("location", where).withColumn("exp_idx", F.col("exp.idx")).withColumn("exp_months", F.col("exp.months")).drop("line", "exp")
+        F.when(F.col("_exp").isNull(), lookup(LOCATIONS, F.col("_line.section"), "other")).when(F.col("_line.env"), "env_list")
+        .when(F.col("start") < F.col("_exp.body_s"), "header").otherwise("experience")
+    )
+    return j.select(*hits.columns, where.alias("location"), F.col("_exp.idx").alias("exp_idx"), F.col("_exp.months").alias("exp_months"), F.col("_item").alias("it"))
 
 
 # A language before or after its level; years stated in the head of a profile, whose length is the rule's.

@@ -18,7 +18,7 @@ from proofgrid.plans.base import TODAY, query, table, texts
 from proofgrid.plans.evidence_queries import N, phrases, pick_sql
 from proofgrid.plans.mention_queries import TOKENS_SQL
 from proofgrid.plans.scoring_queries import RESULTS_SQL, assessed
-from proofgrid.plans.structure_queries import CV_SQL, EXP_SQL, profile_texts
+from proofgrid.plans.structure_queries import CV_SQL, EXP_SQL, layout, profile_texts
 
 T = [t for t, _ in ex.THEMES]
 PHRASE_THEMES = [ex.OTHER_THEME, ex.OTHER_THEME, T[2], T[0], ex.OTHER_THEME, T[0], ex.OTHER_THEME, T[0], ex.OTHER_THEME, T[1], ex.OTHER_THEME, T[0], T[3], T[0]]
@@ -53,7 +53,7 @@ def fn_32(spark, sf):
 
 @query("fn_33_environment_sentence", f"WITH {CV_SQL} SELECT k AS doc_id, 'Java, Kafka, Outil' || (k % 9) || '.' AS phrase FROM cv")
 def fn_33(spark, sf):
-    e = st.env_lines(st.lines(profile_texts(spark, sf)))
+    e = st.env_lines(st.lines_of(layout(spark, sf, "lines")))
     return e.select("doc_id", ex.environment_sentence(F.col("raw")).alias("phrase"))
 
 

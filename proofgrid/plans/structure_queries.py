@@ -67,6 +67,10 @@ def profile_texts(spark, sf):
     return o.select(F.col("k").alias("doc_id"), "rng", body.alias("text"))
 
 
+def layout(spark, sf, until="items"):
+    return st.layout(profile_texts(spark, sf), TODAY, until=until)
+
+
 def lexicon(spark):
     return parameter_table(spark, [_skill("java", ["Java"], rarity=2, depth=["services", "plateforme"]), _skill("kafka", ["Kafka"], rarity=4, depth=["services", "flux"])], LEXICON_SCHEMA)
 
@@ -76,7 +80,7 @@ WITH {CV_SQL}, l AS (SELECT k, string_split(text, chr(10)) AS ls FROM cv), e AS
 SELECT k AS doc_id, n::BIGINT AS line_no, CASE raw WHEN 'Compétences' THEN 'skills' WHEN 'EXPÉRIENCES PROFESSIONNELLES :' THEN 'experience' WHEN 'Formations' THEN 'education' ELSE 'languages' END AS heading
 FROM e WHERE raw IN ('Compétences', 'EXPÉRIENCES PROFESSIONNELLES :', 'Formations', 'Langues')""")
 def fn_15(spark, sf):
-    l = st.lines(profile_texts(spark, sf)).filter("heading is not null")
+    l = st.lines_of(layout(spark, sf, "lines")).filter("heading is not null")
     return l.select("doc_id", (F.col("line_no") + 1).cast("bigint").alias("line_no"), "heading")
 
 
@@ -85,7 +89,7 @@ WITH {CV_SQL}, l AS (SELECT k, k % 6 = 0 AS a, k % 4 = 0 AS b, k % 3 = 0 AND fmt
 SELECT k AS doc_id, v.section, (CASE v.section WHEN 'summary' THEN 3 WHEN 'skills' THEN 3 WHEN 'experience' THEN 8 + a::INT + b::INT + mg::INT WHEN 'education' THEN 2 ELSE 2 + al::INT END - (v.section = 'experience')::INT)::BIGINT AS lines
 FROM l, (VALUES ('summary'), ('skills'), ('experience'), ('education'), ('languages')) AS v(section)""")
 def win_6(spark, sf):
-    return st.lines(profile_texts(spark, sf)).groupBy("doc_id", "section").agg(F.count_if((F.trim("raw") != "") | (F.col("section") != "experience")).alias("lines"))
+    return st.lines_of(layout(spark, sf, "lines")).groupBy("doc_id", "section").agg(F.count_if((F.trim("raw") != "") | (F.col("section") != "experience")).alias("lines"))
 
 
 @query("fn_11_partial_dates", f"WITH {CV_SQL} SELECT k AS doc_id, y::BIGINT AS y, m::BIGINT AS m FROM cv")
@@ -100,7 +104,7 @@ def fn_11(spark, sf):
 WITH {CV_SQL} SELECT k AS doc_id, y || '-' || lpad(m::VARCHAR, 2, '0') AS "from", CASE WHEN fmt < 3 THEN ey || '-' || lpad(em::VARCHAR, 2, '0') END AS "to", fmt >= 3 AS is_current FROM cv
 UNION ALL SELECT k, (y - 4)::VARCHAR, (y - 1)::VARCHAR, FALSE FROM cv UNION ALL SELECT k, (y + 1)::VARCHAR, (y + 1)::VARCHAR, FALSE FROM cv WHERE k % 3 = 0 AND fmt >= 3""")
 def fn_12(spark, sf):
-    c = st.dated_lines(st.lines(profile_texts(spark, sf)), TODAY)
+    c = st.dated_lines(layout(spark, sf, "dated"))
     return c.select("doc_id", dt.iso(F.col("from")).alias("from"), F.when(~F.col("is_current"), dt.iso(F.col("to"))).alias("to"), "is_current")
 
 
@@ -120,7 +124,7 @@ def flt_10(spark, sf):
 
 @query("flt_11_project_periods", f"WITH {CV_SQL} SELECT k AS doc_id, (k % 3 = 0 AND fmt >= 3)::BIGINT AS project_periods, 2 AS kept FROM cv")
 def flt_11(spark, sf):
-    c = st.dated_lines(st.lines(profile_texts(spark, sf)), TODAY)
+    c = st.dated_lines(layout(spark, sf, "dated"))
     return c.groupBy("doc_id").agg(F.sum(F.col("project_period").cast("bigint")).alias("project_periods"), F.count_if(~F.col("project_period")).alias("kept"))
 
 
@@ -178,17 +182,14 @@ hx AS (SELECT hit.*, xp.ord, xp.body_s FROM hit LEFT JOIN xp ON xp.doc_id = hit.
 
 @query("join_6_mention_to_experience", f"WITH {HITS_SQL} SELECT doc_id, skill_key, start, (ord - (doc_id % 6 <> 0)::INT)::BIGINT AS exp_idx FROM hx")
 def join_6(spark, sf):
-    p = profile_texts(spark, sf)
-    e = st.experiences(p, TODAY).select("doc_id", "idx", F.col("s").alias("start"), F.col("e").alias("end"))
-    h = iv.assign_to_spans(hits(spark, sf), e, ["doc_id"], "start")
-    return h.select("doc_id", "skill_key", F.col("start").cast("bigint").alias("start"), F.col("span.idx").cast("bigint").alias("exp_idx"))
+    h = st.located(hits(spark, sf), layout(spark, sf))
+    return h.select("doc_id", "skill_key", F.col("start").cast("bigint").alias("start"), F.col("exp_idx").cast("bigint").alias("exp_idx"))
 
 
 @query("join_7_mention_location", f"""
 WITH {HITS_SQL} SELECT doc_id, skill_key, start, CASE WHEN ord IS NULL THEN 'skills_list' WHEN starts_with(raw, 'Environnement') THEN 'env_list' WHEN start < body_s THEN 'header' ELSE 'experience' END AS location FROM hx""")
 def join_7(spark, sf):
-    p = profile_texts(spark, sf)
-    h = st.locations(hits(spark, sf), st.lines(p), st.experiences(p, TODAY))
+    h = st.located(hits(spark, sf), layout(spark, sf))
     return h.select("doc_id", "skill_key", F.col("start").cast("bigint").alias("start"), "location")
 
 
@@ -199,17 +200,14 @@ it AS (SELECT doc_id, start, CASE WHEN starts_with(raw, '- Développement') THEN
 
 @query("win_8_items", f"WITH {ITEMS_SQL} SELECT doc_id, start, (start + length(item))::BIGINT AS \"end\", item FROM it")
 def win_8(spark, sf):
-    p = profile_texts(spark, sf)
-    i = st.items(st.lines(p), st.experiences(p, TODAY))
+    i = st.items_of(layout(spark, sf))
     return i.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "item")
 
 
 @query("join_8_mention_to_item", f"WITH {ITEMS_SQL} SELECT h.doc_id, h.skill_key, h.start, it.start AS item_start FROM hit h JOIN it ON it.doc_id = h.doc_id AND h.start >= it.start AND h.start < it.start + length(it.item)")
 def join_8(spark, sf):
-    p = profile_texts(spark, sf)
-    i = st.items(st.lines(p), st.experiences(p, TODAY)).select("doc_id", "start", "end")
-    h = iv.assign_to_spans(hits(spark, sf), i, ["doc_id"], "start").filter("span is not null")
-    return h.select("doc_id", "skill_key", F.col("start").cast("bigint").alias("start"), F.col("span.start").cast("bigint").alias("item_start"))
+    h = st.located(hits(spark, sf), layout(spark, sf)).filter("it is not null")
+    return h.select("doc_id", "skill_key", F.col("start").cast("bigint").alias("start"), F.col("it.start").cast("bigint").alias("item_start"))
 
 
 @query("win_9_sentence_window", """
