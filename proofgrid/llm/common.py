@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,11 @@ CHUNK_BYTES = 2_000_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests, local runs)."""
+    """The shared folder the cluster names; a temporary one only on a local master (tests, local runs)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

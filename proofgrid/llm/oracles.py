@@ -21,14 +21,17 @@ m AS (
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id),
 j AS (SELECT *, n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_percent} * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM j WHERE source IS NOT NULL GROUP BY source),
+q AS (SELECT source, base_failed OR 100 * n_symbols > {RULES.max_symbol_percent} * word_chars OR {RULES.words_per_dup_line} * n_dup_lines > n_words
+   OR word_chars < {RULES.min_word_chars} * n_words OR word_chars > {RULES.max_word_chars} * n_words AS bad FROM j),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (bad) AS failed FROM q WHERE source IS NOT NULL GROUP BY source),
 p AS (
   SELECT least(greatest(avg(failed / n), 1e-6), 1 - 1e-6) AS mean, greatest(var_pop(failed / n) - avg(failed / n * (1 - failed / n) / (n - 1)), 1e-9) AS spread,
          count(*) AS k
   FROM h WHERE n >= 2),
-s AS (SELECT k, mean, least(greatest(mean * (1 - mean) / spread - 1, 1e-3), 1e6) AS strength FROM p),
+s AS (SELECT k, mean, least(greatest(mean * (1 - mean) / spread - 1, 1e-3), {RULES.max_strength}) AS strength FROM p),
 b AS (SELECT CASE WHEN k = 0 THEN 1.0 ELSE mean * strength END AS alpha, CASE WHEN k = 0 THEN 1.0 ELSE (1 - mean) * strength END AS beta FROM s),
-bad AS (SELECT source FROM h, b WHERE (failed + alpha) / (n + alpha + beta) > {RULES.max_host_rate})
+r AS (SELECT source, (failed + alpha) / (n + alpha + beta) AS rate, n + alpha + beta AS weight, alpha / (alpha + beta) AS common FROM h, b),
+bad AS (SELECT source FROM r WHERE rate - {RULES.deviations} * sqrt(rate * (1 - rate) / (weight + 1)) > greatest({RULES.max_host_rate}, common))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(source IN (SELECT source FROM bad), false) AS kept
 FROM j

@@ -1,10 +1,13 @@
 """Quality rules with host verdicts. DataFrame functions only.
 
-Base measures are computed inside the row of a document; no text is shuffled. Failures of the base rules are then
-aggregated by host. A host's failure rate is shrunk with a beta prior fitted to all hosts by the method of moments, so
-a host with few documents is judged mostly by what is usual, and a host with many by its own record. Documents of a
-host whose shrunk rate exceeds ``max_rate`` are rejected with it; the rates come back to the documents by a join of
-small rows. Counts are aggregated on the map side first, so a host that holds a third of the rows costs one row a task.
+Base measures are computed inside the row of a document; no text is shuffled. Failures are then aggregated by host: a
+document fails for its host if it fails a base rule, or has too many symbols, too many repeated lines, or words of an
+unusual length. A host's failure rate is shrunk with a beta prior fitted to all hosts by the method of moments, so a host
+with few documents is judged mostly by what is usual, and a host with many by its own record. The prior weighs at most
+``max_strength`` documents: many like hosts can't make it so strong that no host is ever judged by its own record. A host
+is rejected when its rate is high beyond doubt: when the posterior mean less ``deviations`` posterior standard deviations
+exceeds ``max_host_rate`` and the common rate. The verdicts come back to the documents by a join of small rows. Counts
+are aggregated on the map side first, so a host that holds a third of the rows costs one row a task.
 
 Null and empty texts have no words and fail. A null host is a host of its own kind: its documents are counted in no
 host and get no host verdict. Repeated rows count each. An empty table gives no rows. Extra columns stay where the
@@ -32,7 +35,13 @@ SYMBOLS = "[#*$%&|<>]"
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_host_rate: float = 0.9
+    max_symbol_percent: int = 10
+    words_per_dup_line: int = 20
+    min_word_chars: int = 3
+    max_word_chars: int = 12
+    max_host_rate: float = 0.5
+    max_strength: float = 20.0
+    deviations: float = 2.0
 
 
 def words_of(text: Column) -> Column:
@@ -71,11 +80,20 @@ def base_failed(rules: Rules) -> Column:
     return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
 
 
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
+def host_failed(rules: Rules) -> Column:
+    """What counts against the host of a document: the base rules, symbols, repeated lines, word length."""
+    words = F.col("n_words")
+    return (
+        base_failed(rules) | (100 * F.col("n_symbols") > rules.max_symbol_percent * F.col("word_chars")) | (rules.words_per_dup_line * F.col("n_dup_lines") > words)
+        | (F.col("word_chars") < rules.min_word_chars * words) | (F.col("word_chars") > rules.max_word_chars * words)
+    )
+
+
+def beta_prior(hosts: DataFrame, max_strength: float) -> tuple[float, float]:
     """Parameters of the beta prior from the hosts' counts (n, failed): moments of the rates of hosts with two documents or more.
 
     The variance of a rate also holds the chance of drawing its documents, which is taken off first. Without spread
-    between hosts the prior is so strong that every host gets the common rate.
+    between hosts the prior is as strong as it may be.
     """
     rate = F.col("failed") / F.col("n")
     m = hosts.filter(F.col("n") >= 2).agg(
@@ -85,36 +103,38 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
         return 1.0, 1.0
     mean = min(max(m["mean"], 1e-6), 1 - 1e-6)
     spread = max(m["var"] - m["noise"], 1e-9)
-    strength = min(max(mean * (1 - mean) / spread - 1, 1e-3), 1e6)
+    strength = min(max(mean * (1 - mean) / spread - 1, 1e-3), max_strength)
     return mean * strength, (1 - mean) * strength
 
 
 def host_verdicts(judged: DataFrame, host: str, rules: Rules) -> DataFrame:
-    """(host, host_n, host_failed, host_rate, host_rejected) from documents with ``base_failed``."""
+    """(host, host_n, host_failed, host_rate, host_bound, host_rejected) from documents with ``host_failed``."""
     hosts = judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("_host")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed")
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("host_failed").cast("bigint")).alias("failed")
     )
     hosts = saved(hosts)
-    a, b = beta_prior(hosts)
-    shrunk = (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    return hosts.select("_host", F.col("n").alias("host_n"), F.col("failed").alias("host_failed"), shrunk.alias("host_rate")).withColumn(
-        "host_rejected", F.col("host_rate") > rules.max_host_rate
+    a, b = beta_prior(hosts, rules.max_strength)
+    weight = F.col("n") + F.lit(a + b)
+    rated = hosts.withColumn("host_rate", (F.col("failed") + F.lit(a)) / weight)
+    bound = F.col("host_rate") - rules.deviations * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (weight + 1))
+    return rated.select("_host", F.col("n").alias("host_n"), F.col("failed").alias("host_failed"), "host_rate", bound.alias("host_bound")).withColumn(
+        "host_rejected", F.col("host_bound") > max(rules.max_host_rate, a / (a + b))
     )
 
 
 def verdicts(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """One row per document: id, host, measures, base_failed, host counts and rate, kept."""
+    """One row per document: id, host, measures, base_failed, counts, rate and bound of the host, kept."""
     judged = measures(docs.select(F.col(id_col).alias("_id"), F.col(host).alias("_source"), F.col(text).alias("_text")), "_text").drop("_text")
-    judged = saved(judged.withColumn("base_failed", base_failed(rules)))
-    out = judged.join(host_verdicts(judged, "_source", rules), F.col("_source") == F.col("_host"), "left")
+    judged = saved(judged.withColumns({"base_failed": base_failed(rules), "host_failed": host_failed(rules)}))
+    out = judged.drop("host_failed").join(host_verdicts(judged, "_source", rules), F.col("_source") == F.col("_host"), "left")
     kept = ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))
-    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(host), *MEASURES, "base_failed", "host_n", "host_failed", "host_rate", kept.alias("kept"))
+    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(host), *MEASURES, "base_failed", "host_n", "host_failed", "host_rate", "host_bound", kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, rules: Rules = Rules(), host: str = "source", text: str = "text") -> DataFrame:
     """The documents that pass, same columns. Only the rejected hosts are joined; texts are judged where they lie."""
-    small = measures(docs.select(F.col(host).alias("_source"), F.col(text).alias("_text")), "_text").withColumn("base_failed", base_failed(rules))
-    bad = host_verdicts(small.select("_source", "base_failed"), "_source", rules).filter("host_rejected").select("_host")
+    small = measures(docs.select(F.col(host).alias("_source"), F.col(text).alias("_text")), "_text").withColumn("host_failed", host_failed(rules))
+    bad = host_verdicts(small.select("_source", "host_failed"), "_source", rules).filter("host_rejected").select("_host")
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_source"))
     passed = measures(row, "_text").filter(~base_failed(rules))
     return passed.join(bad, F.col("_source") == F.col("_host"), "left_anti").select("_row.*")

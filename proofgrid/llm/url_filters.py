@@ -50,6 +50,7 @@ https://free-download.example.net/crack http://keygen-free.example.org/en/20 htt
 https://free-iphone.example.org/win http://free-money.example.com/en/24 https://get-rich.example.net/de/25 http://easy-money.example.org/fr/26
 https://payday-loans.example.com/en/27 http://quick-loan.example.net/apply https://crypto-profit.example.org/en/29 http://forex-signals.example.com/es/30
 https://lottery-win.example.net/fr/32 http://prize-claim.example.org/en/33 https://miracle-cure.example.com/de/34 http://weight-loss.example.net/pills
+https://the-adult-site.example.org/de/36 http://adults-only.example.net/en/37 https://adult-movies.example.com/es/38 http://casinos-online.example.org/fr/39
 """.split()
 ALLOWED = """
 https://www.city-library.example.com/en/12 http://online-museum.example.net/rooms https://science-news.example.org/en/77 http://m.weather.example.com/fr/4?ref=x
@@ -67,6 +68,7 @@ https://documentation.example.net/install http://the-thread.example.org/en/20 ht
 https://open-data.example.org/sets http://the-other.example.com/en/24 https://thirteen.example.net/de/25 http://nation.example.org/fr/26
 https://housing-office.example.com/en/27 http://tax-forms.example.net/apply https://energy-report.example.org/en/29 http://languages.example.com/es/30
 https://water-board.example.net/fr/32 http://rehearsal.example.org/en/33 https://wedding-hall.example.com/de/34 http://northern.example.net/tides
+https://the-public-site.example.org/de/36 http://members-only.example.net/en/37 https://silent-movies.example.com/es/38 http://schools-online.example.org/fr/39
 """.split()
 
 

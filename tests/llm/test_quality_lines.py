@@ -1,11 +1,13 @@
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from check import rows_of
 from proofgrid.llm import line_dedup, quality_rules, queries
+from proofgrid.llm.oracles import QUALITY_SQL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -48,6 +50,62 @@ def test_a_bad_host_takes_its_documents_along(spark):
     assert {r["doc_id"] for r in quality_rules.kept_documents(docs).collect()} == kept
 
 
+def rejected_hosts(rows, rules=quality_rules.Rules()):
+    """Brute force over (host, text): counts, moments, posterior bound."""
+    counts = defaultdict(lambda: [0, 0])
+    for host, text in rows:
+        n, chars, symbols, dups, repeated = measures(text)
+        fails = n < rules.min_words or 100 * repeated > rules.max_repeat_percent * n or 100 * symbols > rules.max_symbol_percent * chars
+        fails = fails or rules.words_per_dup_line * dups > n or not rules.min_word_chars * n <= chars <= rules.max_word_chars * n
+        if host is not None:
+            counts[host][0] += 1
+            counts[host][1] += fails
+    rates = [(f / n, n) for n, f in counts.values() if n >= 2]
+    a = b = 1.0
+    if rates:
+        mean = min(max(sum(r for r, _ in rates) / len(rates), 1e-6), 1 - 1e-6)
+        spread = max(sum(r * r for r, _ in rates) / len(rates) - (sum(r for r, _ in rates) / len(rates)) ** 2 - sum(r * (1 - r) / (n - 1) for r, n in rates) / len(rates), 1e-9)
+        strength = min(max(mean * (1 - mean) / spread - 1, 1e-3), rules.max_strength)
+        a, b = mean * strength, (1 - mean) * strength
+    bound = {}
+    for host, (n, f) in counts.items():
+        m = (f + a) / (n + a + b)
+        bound[host] = m - rules.deviations * (m * (1 - m) / (n + a + b + 1)) ** 0.5
+    return {h for h, x in bound.items() if x > max(rules.max_host_rate, a / (a + b))}
+
+
+def host_table(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    kinds = {"short": "x", "symbols": good + " #$%&" * 30, "dups": "\n".join(["some words in a line"] * 20 + [good]), "long": " ".join(f"averyveryverylongword{i}" for i in range(80))}
+    rows = [(i, good if i % 10 else "x", f"host{i % 60}") for i in range(3000)]                          # many hosts, a tenth fails
+    for k, (name, (n, failing)) in enumerate({"b70": (400, 70), "b80": (150, 80), "b88": (1000, 88), "b90": (120, 90), "small": (4, 100), "half": (400, 45)}.items()):
+        rows += [(10_000 * (k + 1) + i, list(kinds.values())[i % 4] if i % 100 < failing else good, name) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+
+def test_hosts_that_fail_mostly_among_many_good_ones(spark):
+    docs = host_table(spark)
+    rows = docs.collect()
+    bad = rejected_hosts([(r["source"], r["text"]) for r in rows])
+    assert bad == {"b70", "b80", "b88", "b90"}
+    out = quality_rules.verdicts(docs)
+    assert {r["source"] for r in out.filter("NOT base_failed AND NOT kept").collect()} == bad
+    kept = {r["doc_id"] for r in out.filter("kept").collect()}
+    assert kept == {r["doc_id"] for r in out.filter(~F.col("base_failed") & ~F.col("source").isin(*bad)).collect()}
+    assert {r["doc_id"] for r in quality_rules.kept_documents(docs).collect()} == kept
+
+
+def test_bad_hosts_in_sql(spark, tmp_path):
+    import duckdb
+
+    docs = host_table(spark)
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = {(i, bool(k)) for i, k in con.execute(f"SELECT doc_id, kept FROM ({QUALITY_SQL})").fetchall()}
+    assert {(r["doc_id"], r["kept"]) for r in quality_rules.verdicts(docs).collect()} == want
+
+
 def without_lines(docs, least=10):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     head = {}

@@ -53,10 +53,13 @@ def score(model, place, host, path):
 
 
 @pytest.fixture(scope="module")
-def place(spark):
-    tf = HashingTF(numFeatures=HOW.dim)
-    known = {}
-    return lambda g: known.setdefault(g, tf.indexOf(g))
+def place(spark, sf):
+    """The place of every n-gram of the test's URLs, looked up in one go."""
+    urls = [*url_filters.BLOCKED, *url_filters.ALLOWED, *ODD, *(r["url"] for r in table(spark, sf, "pages").select("url").collect())]
+    every = sorted({g for u in urls for g in grams(*split(u))})
+    rows = spark.createDataFrame([(g, [g]) for g in every], "g string, a array<string>")
+    found = HashingTF(inputCol="a", outputCol="v", numFeatures=HOW.dim).transform(rows).collect()
+    return {r["g"]: int(r["v"].indices[0]) for r in found}.__getitem__
 
 
 ODD = [
@@ -91,14 +94,13 @@ def test_whole_table_against_brute_force(spark, sf, model, place):
         assert tuple(got[r["page_id"]][c] for c in ("host", "path", "rule", "verdict")) == (host, path, rule, verdict)
 
 
-def test_training_reaches_the_optimum(spark, model):
+def test_training_reaches_the_optimum(spark, model, place):
     """The gradient of the regularised likelihood, taken by hand over all labelled rows, vanishes."""
     rows = [(u, 1) for u in url_filters.BLOCKED] + [(u, 0) for u in url_filters.ALLOWED]
-    tf = HashingTF(numFeatures=HOW.dim)
     x = np.zeros((len(rows), HOW.dim))
     for i, (u, _) in enumerate(rows):
         for g, n in grams(*split(u)).items():
-            x[i, tf.indexOf(g)] += n
+            x[i, place(g)] += n
     w, y = model.coefficients.toArray(), np.array([label for _, label in rows])
     p = 1 / (1 + np.exp(-(x @ w + model.intercept)))
     assert np.abs(x.T @ (p - y) / len(rows) + HOW.regularization * w).max() < 1e-3
@@ -107,11 +109,19 @@ def test_training_reaches_the_optimum(spark, model):
 
 
 def test_unseen_urls_of_both_kinds(spark, model):
-    bad = ["https://vip-casino.example.org/en/5", "http://cheap-pills-shop.example.net/en/7", "https://adult-dating.example.org/de/3", "http://spam-links-farm.example.net/en/1"]
-    good = ["https://www.public-library.example.org/en/5", "http://river-museum.example.net/en/7", "https://thorin.example.org/de/3", "http://weather-office.example.net/en/1"]
-    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id bigint, url string")
+    """Held-out hosts: nearly all of the blocked kind are caught, and no ordinary one."""
+    bad = [
+        "vip-casino.example.org/en/5", "cheap-pills-shop.example.net/en/7", "adult-dating.example.org/de/3", "spam-links-farm.example.net/en/1", "casino777.example.com/x", "poker-casino.example.net/fr/1",
+        "buy-cheap-pills.example.org/es/2", "adult-cams.example.net/en/9", "win-jackpot.example.org/de/4", "free-ads-click.example.com/en/8", "track-clicks.example.net/t/1", "xxx-adult.example.org/fr/3",
+    ]
+    good = [
+        "www.public-library.example.org/en/5", "river-museum.example.net/en/7", "thorin.example.org/de/3", "weather-office.example.net/en/1", "botany.example.com/x", "old-castle.example.net/fr/1",
+        "harbour-lights.example.org/es/2", "school-board.example.net/en/9", "wood-carving.example.org/de/4", "fire-brigade.example.com/en/8", "railway-times.example.net/t/1", "theory.example.org/fr/3",
+    ]
+    pages = spark.createDataFrame([(i, f"https://{u}") for i, u in enumerate(bad + good)], "page_id bigint, url string")
     verdicts = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, (), model).collect()}
-    assert [verdicts[i] for i in range(8)] == ["block"] * 4 + ["allow"] * 4
+    assert [verdicts[len(bad) + i] for i in range(len(good))] == ["allow"] * len(good)
+    assert sum(verdicts[i] == "block" for i in range(len(bad))) >= 10, verdicts
 
 
 def test_layout_does_not_change_weights(spark, model):
