@@ -77,7 +77,7 @@ def rejected_hosts(rows, rules=quality_rules.Rules()):
 def host_table(spark):
     good = " ".join(f"word{i}" for i in range(80))
     kinds = {"short": "x", "symbols": good + " #$%&" * 30, "dups": "\n".join(["some words in a line"] * 20 + [good]), "long": " ".join(f"averyveryverylongword{i}" for i in range(80))}
-    rows = [(i, good if i % 10 else "x", f"host{i % 60}") for i in range(3000)]                          # many hosts, a tenth fails
+    rows = [(i, good if i // 60 % 10 else "x", f"host{i % 60}") for i in range(3000)]                          # many hosts, a tenth fails
     for k, (name, (n, failing)) in enumerate({"b70": (400, 70), "b80": (150, 80), "b88": (1000, 88), "b90": (120, 90), "small": (4, 100), "half": (400, 45)}.items()):
         rows += [(10_000 * (k + 1) + i, list(kinds.values())[i % 4] if i % 100 < failing else good, name) for i in range(n)]
     return spark.createDataFrame(rows, "doc_id bigint, text string, source string")
