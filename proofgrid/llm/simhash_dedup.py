@@ -234,4 +234,5 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     labels = nodes.join(components(links).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     labels = labels.select("fp", "fp2", F.coalesce("label", "node").alias("_component"))
     gone = prints.join(labels, ["fp", "fp2"]).filter(F.col("_id") > F.col("_component")).select(F.col("_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"))       # no column of the input can clash
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

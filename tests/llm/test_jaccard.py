@@ -74,3 +74,12 @@ def test_repeated_ids_with_other_texts(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
     docs = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, a)], "doc_id bigint, text string")
     assert sorted(r["doc_id"] or 0 for r in simhash_dedup.representatives(docs).collect()) == [0, 1, 1]
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long, 7, "a", 1), (2, long + " tail", 8, "b", 2), (3, "something else entirely", 9, None, 3), (1, long, 7, "a", 1), (None, long, 0, "n", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _gone int, _row string, _id int")
+    kept = simhash_dedup.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=str) == sorted([r for r in docs.collect() if r["doc_id"] != 2], key=str)
