@@ -17,6 +17,7 @@ HEADLINE = [
     "win_4_rank", "agg_11_best_level", "join_1_mentions", "join_7_mention_location", "fn_1_sentences", "fn_9_skill_levels", "fn_22_typed_facts", "agg_12_many_filters",
     "udf_4_claims_from_any_producer", "prj_4_html_to_text", "src_4_admission", "win_3_first_seen_duplicate", "fn_13_durations", "agg_22_strongest_requirement",
     "win_12_largest_remainder", "top_5_three_strategies", "fn_39_ordered_evidence_fold", "fn_10_recency", "win_18_request_rate", "win_13_hash_chain",
+    "join_8_mention_to_item", "match_2_ranked_profiles",
 ]
 
 

@@ -13,7 +13,7 @@ from proofgrid.functions import text as tx
 from proofgrid.operators.evidence import analyse_mentions, depth_patterns
 from proofgrid.operators.intervals import contained_in_longer
 from proofgrid.operators.mentions import mentions
-from proofgrid.operators.scale import broadcast_if_small, computed_once
+from proofgrid.operators.scale import broadcast_if_small, composed_in_order, computed_once, in_order
 
 # Speaker labels and roles, labels of form fields, cues of facts.
 SPEAKER = "^\\s*(?:\\[?\\d{1,2}:\\d{2}(?::\\d{2})?\\]?\\s*)?(?:\\*\\*)?([A-ZÀ-Ý][\\wÀ-ÿ'’.()\\- ]{0,38}?)(?:\\*\\*)?\\s*[:：]\\s+(\\S.*)$"
@@ -236,10 +236,16 @@ def with_latest_review(evidence: DataFrame, reviews: DataFrame, key: str = "evid
     )
 
 
-def _effect(x: Column) -> Column:
-    """What an evidence row does to the current level x."""
+def enough_depth(asked: Column, in_document: Column, in_excerpt: Column, least: int = 2) -> Column:
+    """Whether the advanced depth that a criterion asks for shows: different clues of the document and of the exchange together."""
+    none = F.array().cast("array<string>")
+    return ~F.coalesce(asked, F.lit(False)) | (F.size(F.array_distinct(F.concat(F.coalesce(in_document, none), F.coalesce(in_excerpt, none)))) >= least)
+
+
+def _effect(x: Column, deep: Column) -> Column:
+    """What an evidence row does to the current level x. Without the depth asked for (``deep``), practice is shown in part."""
     level = F.coalesce("level_ord", F.lit(3))
-    up = F.least(level, F.when(F.col("reliability") == UNSUPPORTED, 2).otherwise(4), F.when(F.col("auto_generated") & ~F.col("validated"), 3).otherwise(4))
+    up = F.least(level, F.when(F.col("reliability") == UNSUPPORTED, 2).otherwise(4), F.when(deep, 4).otherwise(3), F.when(F.col("auto_generated") & ~F.col("validated"), 3).otherwise(4))
     cap = F.coalesce("level_ord", F.lit(2))
     reliable = F.col("validated") | (F.col("source") == "saisie_recruteur")
     return (
@@ -252,9 +258,9 @@ def _effect(x: Column) -> Column:
     )
 
 
-def effects_of_row() -> Column:
-    """The effect of an evidence row on each of the five levels."""
-    return F.array(*[_effect(F.lit(i)).cast("int") for i in range(5)])
+def effects_of_row(deep: Column | None = None) -> Column:
+    """The effect of an evidence row on each of the five levels; ``deep`` as from ``enough_depth`` where a criterion asks for it."""
+    return F.array(*[_effect(F.lit(i), F.lit(True) if deep is None else deep).cast("int") for i in range(5)])
 
 
 PIECE = 1024
@@ -275,24 +281,29 @@ def bucket_effects(evidence: DataFrame, keys: Sequence[str], order: Sequence[str
     return part.groupBy(*cell).agg(_composed("_p").alias("effect"))
 
 
-def _composed(order: str) -> Column:
-    """Composition of the effects of a group in order."""
+def _in_turn(rows: Column) -> Column:
     identity = F.array(*[F.lit(i) for i in range(5)])
-    rows = F.array_sort(F.collect_list(F.struct(order, "effect")))
     return F.aggregate(rows, identity, lambda acc, r: F.transform(acc, lambda x: F.get(r["effect"], x)))
 
 
+def _composed(order: str) -> Column:
+    """Composition of the effects of a group in order."""
+    return _in_turn(F.array_sort(F.collect_list(F.struct(order, "effect"))))
+
+
 def composed_buckets(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, effect) from the effects of the buckets of each key, in bucket order."""
     return parts.groupBy(*keys).agg(_composed("_b").alias("effect"))
 
 
-def evidence_effects(evidence: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
-    """Ordered effect of all evidence rows per key, as the level each of the five start levels ends at.
+def evidence_effects(evidence: DataFrame, keys: Sequence[str], order: Sequence[str], piece: int = PIECE, deep: Column | None = None) -> DataFrame:
+    """(keys, effect): the ordered effect of all evidence rows per key, as the level each of the five start levels ends at.
 
-    ``bucket`` must not decrease along ``order``; buckets are composed apart and then in order.
+    Rows are functions on five levels and functions compose: a range partition puts them in order, neighbours are composed
+    first, so a key that holds most of the rows is as many small groups as it fills.
     """
-    return composed_buckets(bucket_effects(evidence, keys, order, bucket), keys)
+    e = in_order(evidence.select(*keys, *order, effects_of_row(deep).alias("effect")), keys, order)
+    return composed_in_order(e, keys, "ord", "effect", _in_turn, piece)
 
 
 def merged_levels(levels: DataFrame, effects: DataFrame, keys: Sequence[str]) -> DataFrame:

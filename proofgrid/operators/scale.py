@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +42,32 @@ def rank_by_counts(df: DataFrame, group: Sequence[str], order: Sequence[tuple[st
     return df.join(ranks, keys, "left")
 
 
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ord") -> DataFrame:
+    """Numbers that grow along (keys, order) over the whole table, with gaps.
+
+    Rows are range-partitioned by keys and order and sorted inside the partitions: a key of any size is spread over as
+    many partitions as its rows fill. The number is the partition's and the place in it, so no task counts a whole key.
+    ``order`` must leave no ties inside a key whose rows differ.
+    """
+    by = [*keys, *order]
+    return df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
+
+
+def composed_in_order(df: DataFrame, keys: Sequence[str], number: str, value: str, compose: Callable[[Column], Column], piece: int = 1024) -> DataFrame:
+    """(keys, value): the values of a key composed in the order of their numbers.
+
+    ``compose`` takes an array of structs (number, value) in order. Values are composed in pieces of neighbouring numbers,
+    pieces of pieces again, so a list never holds more than ``piece`` values and a hot key is many small groups; the last
+    lists hold one value for each partition that the key spans.
+    """
+    part = df.select(*keys, F.col(number).alias("_p"), F.col(value).alias(value))
+    rows = F.array_sort(F.collect_list(F.struct("_p", value)))
+    # a number is a place of up to 33 bits and the partition above it: three levels fold the places
+    for _ in range(3):
+        part = part.groupBy(*keys, F.floor(F.col("_p") / piece).alias("_q")).agg(compose(rows).alias(value)).withColumnRenamed("_q", "_p")
+    return part.groupBy(*keys).agg(compose(rows).alias(value))
+
+
 def row_number_by_bucket(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "rn"
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from proofgrid.functions import levels as lv
@@ -11,6 +13,7 @@ from proofgrid.operators.scale import parameter_table
 from proofgrid.plans import lexicon as lx
 from proofgrid.plans.base import query, spread, table
 from proofgrid.sources import needs_source as ns
+from proofgrid.sources import warehouse as wh
 
 SKILLS = ["Java", "Kafka", "Python", "Docker", "Terraform"]
 NEED_SQL = f"""
@@ -207,13 +210,37 @@ def src_5(spark, sf):
     return ns.validate_json(c.select("c_custkey", json.alias("json"))).select("c_custkey", "problem")
 
 
+NEEDS = wh.AllowList({"external_id": "o_orderkey", "reference": "o_orderpriority", "state": "o_orderstatus", "since": "o_orderdate"}, ("state", "since"))
+OPEN_NEEDS = wh.AllowList(
+    {"external_id": "o_orderkey", "reference": "o_orderpriority", "state": "o_orderstatus", "budget": "o_totalprice", "owner": "o_custkey"}, ("state", "budget"), (("owner", "<=", 900),)
+)
+
+
 @query("src_6_warehouse_read", """
 SELECT o_orderkey AS external_id, o_orderpriority AS reference, o_orderstatus AS state FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderstatus = 'P'""")
 def src_6(spark, sf):
-    return spark.sql(
-        "SELECT o_orderkey AS external_id, o_orderpriority AS reference, o_orderstatus AS state FROM {needs} WHERE o_orderdate >= :since AND o_orderstatus = :state",
-        args={"since": __import__("datetime").datetime(1998, 1, 1), "state": "P"}, needs=table(spark, sf, "orders"),
-    )
+    where = [("since", ">=", datetime(1998, 1, 1)), ("state", "=", "P")]
+    return wh.read(table(spark, sf, "orders"), NEEDS, ["external_id", "reference", "state"], where)
+
+
+@query("src_6_allowed_needs", """
+SELECT o_orderkey AS external_id, o_orderpriority AS reference, o_totalprice AS budget FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey <= 900 AND o_totalprice > 150000""")
+def src_6b(spark, sf):
+    where = [("state", "in", ["F", "O"]), ("budget", ">", 150_000)]
+    return wh.read(table(spark, sf, "orders"), OPEN_NEEDS, ["external_id", "reference", "budget"], where)
+
+
+@query("src_5_schema_tag", """
+SELECT n_nationkey AS snapshot, CASE WHEN n_nationkey % 5 = 0 THEN 'wrong_schema' WHEN n_nationkey % 5 = 1 THEN 'unreadable' END AS problem,
+ CASE WHEN n_nationkey % 5 > 1 THEN count(c_custkey) ELSE 0 END AS needs FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""")
+def src_5b(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.struct(F.col("c_custkey").cast("string").alias("external_id"), F.col("c_name").alias("title")).alias("need"))
+    per = table(spark, sf, "nation").select("n_nationkey").join(c, "n_nationkey", "left").groupBy("n_nationkey").agg(F.collect_list("need").alias("needs"))
+    k = F.pmod("n_nationkey", F.lit(5))
+    tag = F.when(k == 0, "other/1").otherwise(ns.SNAPSHOT_SCHEMA)
+    whole = F.when(k == 1, F.lit('{"schema": ')).otherwise(F.to_json(F.struct(tag.alias("schema"), "needs")))
+    checked = ns.tagged_snapshots(per.select("n_nationkey", whole.alias("json")), "json")
+    return checked.select(F.col("n_nationkey").cast("int").alias("snapshot"), "problem", F.size("needs").cast("bigint").alias("needs"))
 
 
 @query("join_17_needs_with_labels", """

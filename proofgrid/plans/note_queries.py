@@ -198,13 +198,30 @@ fold AS (SELECT subject, list_reduce(list_prepend([0, 1, 2, 3, 4], list(fx ORDER
 WITH {FOLD_SQL} SELECT o_orderkey AS doc_id, o_orderkey % 97 AS subject, (1 + o_orderkey % 4)::BIGINT AS level_ord, fold.fx[1 + o_orderkey % 4 + 1]::BIGINT AS merged_ord FROM orders JOIN fold ON fold.subject = o_orderkey % 97""")
 def fn_39(spark, sf):
     e = line_evidence(spark, sf)
-    month = F.year("created_at") * 12 + F.month("created_at")
-    effects = nt.evidence_effects(e, ["subject"], ["created_at", "id"], month)
+    effects = nt.evidence_effects(e, ["subject"], ["created_at", "id"])
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.pmod("o_orderkey", F.lit(97)).cast("int").alias("subject"), (1 + F.pmod("o_orderkey", F.lit(4))).cast("int").alias("level_ord"))
     m = nt.merged_levels(o, effects, ["subject"])
     return m.select("doc_id", "subject", F.col("level_ord").cast("bigint").alias("level_ord"), F.col("merged_ord").cast("bigint").alias("merged_ord"))
 
 
+CLUES = ["schéma", "connecteur", "réplication"]
+DEEP_SQL = EV_SQL + """,
+dp AS (SELECT e2.*, (evidence_id % 3 > 0)::INT AS a, 1 + evidence_id % 3 AS d, 1 + evidence_id % 4 AS x FROM (SELECT *, CAST(split_part(id, '_', 3) AS BIGINT) AS evidence_id FROM e2) e2),
+dq AS (SELECT *, a = 0 OR x <= 3 AND x <> d AS deep FROM dp),
+dx AS (SELECT subject, created_at, id, list_transform([0, 1, 2, 3, 4], lambda x: CASE WHEN superseded OR reliability = 'hypothese' THEN x
+ WHEN kind = 'supporte' THEN CASE WHEN x = 0 THEN 0 ELSE greatest(x, least(coalesce(level_ord, 3), CASE WHEN reliability = 'declaration_non_etayee' THEN 2 ELSE 4 END, CASE WHEN deep THEN 4 ELSE 3 END, CASE WHEN auto AND NOT validated THEN 3 ELSE 4 END)) END
+ WHEN kind = 'limite' THEN least(x, 3) WHEN kind = 'plafonne' THEN least(x, coalesce(level_ord, 2)) WHEN validated OR source = 'saisie_recruteur' THEN 0 ELSE least(x, 2) END) AS fx FROM dq),
+dfold AS (SELECT subject, list_reduce(list_prepend([0, 1, 2, 3, 4], list(fx ORDER BY created_at, id)), lambda a, b: list_transform(a, lambda x: b[x + 1])) AS fx FROM dx GROUP BY subject)"""
+
+
+@query("fn_39_advanced_depth", f"WITH {DEEP_SQL} SELECT subject, array_to_string(fx, ',') AS effect FROM dfold")
+def fn_39b(spark, sf):
+    e = line_evidence(spark, sf)
+    clue = lambda n: F.filter(F.array(F.get(F.array(*[F.lit(c) for c in CLUES]), F.pmod("evidence_id", F.lit(n)).cast("int"))), lambda c: c.isNotNull())
+    deep = nt.enough_depth(F.pmod("evidence_id", F.lit(3)) > 0, clue(3), clue(4))
+    return nt.evidence_effects(e, ["subject"], ["created_at", "id"], deep=deep).select("subject", F.array_join("effect", ",").alias("effect"))
+
+
 @query("set_1_evidence_union", """
 SELECT 'document' AS origin, 'documente_cv' AS reliability, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'exchange', CASE WHEN role = 'user' THEN 'explique_en_appel' ELSE 'hypothese' END, count(*) FROM conversations GROUP BY ALL""")
 def set_1(spark, sf):

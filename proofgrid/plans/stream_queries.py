@@ -11,6 +11,7 @@ from proofgrid.plans.base import TODAY, fold_sql, query, table
 from proofgrid.plans.note_queries import FOLD_SQL, line_evidence
 from proofgrid.plans.text_queries import ADMIT_SQL
 from proofgrid.sources import documents as src
+from proofgrid.sources.archives import DOCUMENT_ENTRY, stored_archive
 from proofgrid.streaming import jobs
 from proofgrid.streaming.runtime import arrivals, deliveries, file_stream, read_batches, work_folder
 
@@ -25,8 +26,8 @@ def as_files(batch):
     k = F.pmod("doc_id", F.lit(8))
     utf8 = F.encode("text", "UTF-8")
     content = (
-        F.when(k == 0, F.concat(F.unhex(F.lit(src.PDF_MAGIC)), utf8)).when(k == 1, F.concat(F.unhex(F.lit(src.ZIP_MAGIC)), utf8))
-        .when(k == 2, F.concat(F.unhex(F.lit(src.ZIP_MAGIC)), F.encode(F.lit("word/document.xml"), "UTF-8"), utf8)).when(k == 3, F.concat(F.unhex(F.lit(src.OLE_MAGIC)), utf8))
+        F.when(k == 0, F.concat(F.unhex(F.lit(src.PDF_MAGIC)), utf8)).when(k == 1, stored_archive("xl/workbook.xml", utf8))
+        .when(k == 2, stored_archive(DOCUMENT_ENTRY, utf8)).when(k == 3, F.concat(F.unhex(F.lit(src.OLE_MAGIC)), utf8))
         .when(k == 4, F.concat(F.unhex(F.lit("00")), utf8)).when(k == 5, F.unhex(F.lit(""))).otherwise(utf8)
     )
     return batch.select("doc_id", content.alias("content"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import hashing, markup, privacy
 from proofgrid.functions import text as tx
+from proofgrid.operators.scale import computed_once
 from proofgrid.plans.base import fold_sql, query, spread, squash_sql, table, term_sql, texts, turns
 from proofgrid.sources import documents as src
+from proofgrid.sources.archives import DOCUMENT_ENTRY, stored_archive
 
 TRIM_EDGE = "' ' || chr(9) || '•-–—*·▪►→'"
 NORM_SQL = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '’‘', ''''''), '\\r\\n?', chr(10), 'g'),
@@ -219,8 +221,8 @@ def binary_files(spark, sf):
     utf8 = F.encode("text", "UTF-8")
     content = (
         F.when(k == 0, F.concat(F.unhex(F.lit(src.PDF_MAGIC)), utf8))
-        .when(k == 1, F.concat(F.unhex(F.lit(src.ZIP_MAGIC)), utf8))
-        .when(k == 2, F.concat(F.unhex(F.lit(src.ZIP_MAGIC)), F.encode(F.lit("word/document.xml"), "UTF-8"), utf8))
+        .when(k == 1, stored_archive("xl/workbook.xml", utf8))
+        .when(k == 2, stored_archive(DOCUMENT_ENTRY, utf8))
         .when(k == 3, F.concat(F.unhex(F.lit(src.OLE_MAGIC)), utf8))
         .when(k == 4, F.concat(F.unhex(F.lit("00")), utf8))
         .when(k == 5, F.unhex(F.lit("")))
@@ -249,6 +251,20 @@ def src_2(spark, sf):
     return binary_files(spark, sf).select("doc_id", src.sniff(F.col("content")).alias("kind"))
 
 
+@query("src_2_zip_directory", """SELECT doc_id, (['docx', 'unsupported', 'corrupt', 'corrupt', 'unsupported', 'corrupt'])[doc_id % 6 + 1] AS kind FROM documents""")
+def src_2b(spark, sf):
+    """Word documents, other archives (one names the Word entry in its data), cut, shifted and merely labelled ones."""
+    d = texts(spark, sf)
+    utf8, k = F.encode("text", "UTF-8"), F.pmod("doc_id", F.lit(6))
+    word = stored_archive(DOCUMENT_ENTRY, utf8)
+    content = (
+        F.when(k == 0, word).when(k == 1, stored_archive("xl/workbook.xml", utf8)).when(k == 2, F.substring(word, F.lit(1), F.length(word) - 5))
+        .when(k == 3, F.concat(F.substring(word, 1, 30), F.unhex(F.lit("00")), F.substring(word, F.lit(31), F.length(word))))
+        .when(k == 4, stored_archive("notes.txt", F.concat(utf8, F.encode(F.lit(DOCUMENT_ENTRY), "UTF-8")))).otherwise(F.concat(F.unhex(F.lit(src.ZIP_MAGIC)), utf8))
+    )
+    return computed_once(d.select("doc_id", "text"), content=content).select("doc_id", src.sniff(F.col("content")).alias("kind"))
+
+
 @query("src_3_decode_text", """SELECT doc_id, md5(text) AS text_md5 FROM documents""")
 def src_3(spark, sf):
     d = texts(spark, sf)

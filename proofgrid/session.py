@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +32,12 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the cluster's shared folder; in a temporary one only where none is named."""
+    """Cut the lineage by a reliable checkpoint in the cluster's shared folder; in a temporary one only on a local master."""
     spark = df.sparkSession
     folder = shared_folder(spark)
     if folder is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if folder is not None:
         spark.sparkContext.setCheckpointDir(folder)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofgrid.functions.text import WS_CLASS, garbled, normalize_text
+from proofgrid.functions.text import WS_CLASS, garbled, let, normalize_text
+from proofgrid.sources.archives import archive_kind
 
 # Magic numbers, size and length limits.
 PDF_MAGIC = "255044462D"
@@ -28,7 +29,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff(content: Column) -> Column:
-    """pdf, docx, doc, txt or unsupported, from the first bytes only."""
+    """pdf, docx, doc, txt, unsupported, or corrupt for a broken archive: from the first bytes, and the directory of an archive."""
     head = F.substring(content, 1, SNIFF_BYTES)
     latin = F.decode(head, "ISO-8859-1")
     # the first bytes may end inside a character: up to three trailing bytes are left out then
@@ -36,10 +37,10 @@ def sniff(content: Column) -> Column:
     valid = F.exists(F.sequence(F.lit(0), cut), lambda k: F.is_valid_utf8(F.substring(content, F.lit(1), F.least(F.length(content), F.lit(SNIFF_BYTES)) - k).cast("string")))
     printable = F.regexp_count(latin, F.lit(PRINTABLE)) / F.greatest(F.length(latin), F.lit(1))
     starts = F.hex(F.substring(content, 1, 8))
-    listed = (F.length(content) <= MAX_BYTES) & F.contains(F.decode(content, "ISO-8859-1"), F.lit("word/document.xml"))
+    archive = lambda kind: F.when(kind == "zip", "unsupported").otherwise(kind)
     return (
         F.when(starts.startswith(PDF_MAGIC), "pdf")
-        .when(starts.startswith(ZIP_MAGIC), F.when(listed, "docx").otherwise("unsupported"))
+        .when(starts.startswith(ZIP_MAGIC), let(archive_kind(content), archive))
         .when(starts == OLE_MAGIC, "doc")
         .when(F.contains(latin, F.lit("\x00")), "unsupported")
         .when(valid | (printable > 0.95), "txt")
@@ -73,6 +74,7 @@ def admit(files: DataFrame, max_bytes: int = MAX_BYTES, min_chars: int = MIN_CHA
     code = (
         F.when(size == 0, "empty")
         .when(size > max_bytes, "too_large")
+        .when(F.col("kind") == "corrupt", "corrupt")
         .when(F.col("kind").isin("unsupported", "doc"), "unsupported_type")
         .when(F.col("kind") == "txt", text_error(F.col("text"), min_chars, max_chars))
     )

@@ -11,6 +11,7 @@ from proofgrid.operators.scale import broadcast_if_small
 
 # The fields of a need, the shortest usable text, the longest page of a listing.
 FIELDS = ["external_id", "reference", "title", "company", "state", "updated_at", "created_at", "description", "criteria", "place", "start", "end"]
+SNAPSHOT_SCHEMA = "needs/1"
 MIN_TEXT = 40
 MAX_PAGE = 50
 NEED_SCHEMA = ", ".join(f"`{f}` string" for f in FIELDS)
@@ -40,6 +41,25 @@ def validate_json(rows: DataFrame, json: str = "json") -> DataFrame:
     return r.withColumn("problem", problem).drop("_keys", "_id", "_n")
 
 
+def tagged_snapshots(rows: DataFrame, json: str = "json") -> DataFrame:
+    """Whole snapshots, one text each, with their problem (unreadable, wrong schema) and their needs as JSON rows; a refused one has none."""
+    parsed = F.from_json(json, "struct<schema:string,needs:array<map<string,string>>>", {"mode": "PERMISSIVE"})
+    r = rows.withColumn("_s", parsed)
+    readable = F.col("_s.needs").isNotNull() & F.col("_s.schema").isNotNull()
+    problem = F.when(F.col("_s").isNull() | (F.col("_s.schema").isNull() & F.col("_s.needs").isNull()), "unreadable").when(~readable | (F.col("_s.schema") != SNAPSHOT_SCHEMA), "wrong_schema")
+    needs = F.when(problem.isNull(), F.transform("_s.needs", lambda m: F.to_json(m))).otherwise(F.array().cast("array<string>"))
+    return r.select(*rows.columns, problem.alias("problem"), needs.alias("needs")).drop("_s")
+
+
+def read_tagged_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Needs of snapshots that carry the schema tag and the list of needs in one JSON document; anything else is refused by name."""
+    s = tagged_snapshots(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")))
+    refused = F.raise_error(F.concat(F.lit("snapshot refused: "), "problem")).cast("array<string>")
+    rows = s.select(F.explode(F.when(F.col("problem").isNull(), F.col("needs")).otherwise(refused)).alias("json"))
+    bad = F.raise_error(F.concat(F.lit("snapshot refused: "), "problem", F.lit(" in "), F.substring("json", 1, 200)))
+    return validate_json(rows).select(F.when(F.col("problem").isNull(), F.col("need")).otherwise(bad).alias("need")).select("need.*")
+
+
 def compose_brief(title: Column, place: Column, start: Column, end: Column, description: Column, criteria: Column) -> Column:
     """Readable text of a need under neutral titles; empty fields are skipped."""
     given = lambda label, c, glue: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label + glue), c))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ def base_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one in local mode."""
     base = shared_folder(spark)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return base.rstrip("/")

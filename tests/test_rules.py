@@ -171,7 +171,7 @@ def test_evidence_stream_equals_batch(spark, tmp_path):
     e = spark.createDataFrame(rows, "subject int, at int, kind string, level_ord int, reliability string, source string, auto_generated boolean, validated boolean, superseded boolean, n int")
     deliveries(e, str(tmp_path / "e"), [0, 25, 40, 60], "n")
     bucket = F.floor(F.col("at") / 10)
-    batch = sorted(map(tuple, nt.evidence_effects(e, ["subject"], ["at", "n"], bucket).collect()))
+    batch = sorted(map(tuple, nt.evidence_effects(e, ["subject"], ["at", "n"]).collect()))
     stream = jobs.reevaluation(file_stream(spark, str(tmp_path / "e"), e, files_per_batch=1), ["subject"], ["at", "n"], bucket)
     assert sorted(map(tuple, stream.select("subject", "effect").collect())) == batch
 

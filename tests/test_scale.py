@@ -9,6 +9,7 @@ from proofgrid.operators import governance as gv
 from proofgrid.operators import grids as gr
 from proofgrid.operators import intervals as iv
 from proofgrid.operators import notes as nt
+from proofgrid.operators.scale import in_order
 from proofgrid.operators import scale
 
 RNG = random.Random(7)
@@ -77,7 +78,7 @@ def test_evidence_fold_is_the_ordered_fold(spark):
     kinds = [nt.SUPPORTS, nt.LIMITS, nt.CAPS, nt.CONTRADICTS]
     rows = [("hot", i, RNG.choice(kinds), RNG.choice([None, 1, 2, 3, 4]), RNG.choice(["explique_en_appel", nt.UNSUPPORTED, nt.HYPOTHESIS]), "transcription", RNG.random() < 0.5, RNG.random() < 0.2, RNG.random() < 0.1) for i in range(120)]
     d = spark.createDataFrame(rows, "subject string, at int, kind string, level_ord int, reliability string, source string, auto_generated boolean, validated boolean, superseded boolean")
-    effect = nt.evidence_effects(d, ["subject"], ["at"], F.floor(F.col("at") / 7)).first()["effect"]
+    effect = nt.evidence_effects(d, ["subject"], ["at"], piece=7).first()["effect"]
 
     def fold(x):
         for _, _, kind, level, rel, _, auto, val, gone in rows:
@@ -119,3 +120,27 @@ def test_suggestions_equal_full_scoring(spark):
         scored = sorted(((-(2 * (f == ef) + len(mine & set(tags))), e) for e, ef, tags, o in entries if o != m))
         want |= {(m, e, -s) for s, e in scored[:8] if s < 0}
     assert {(r.mission_id, r.entry_id, r.relevance) for r in got.collect()} == want
+
+
+def test_a_hot_key_is_spread_over_all_tasks(spark):
+    """One key with nine tenths of the rows: no task reads twice the median, and the fold is the one of the single list."""
+    n = 60_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("subject"), F.xxhash64("id").alias("at"), F.col("id"),
+        F.element_at(F.array(*[F.lit(k) for k in (nt.SUPPORTS, nt.CAPS, nt.LIMITS, nt.SUPPORTS)]), (F.col("id") % 4 + 1).cast("int")).alias("kind"),
+        (F.col("id") % 5).cast("int").alias("level_ord"), F.lit("x").alias("reliability"), F.lit("x").alias("source"), F.lit(False).alias("auto_generated"),
+        (F.col("id") % 3 == 0).alias("validated"), F.lit(False).alias("superseded"),
+    )
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = in_order(rows, ["subject"], ["at", "id"]).withColumn("task", F.spark_partition_id())
+        sizes = sorted(r["count"] for r in placed.groupBy("task").count().collect())
+        assert len(sizes) == 8 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+        numbers = [(r["at"], r["id"]) for r in placed.filter("subject = 'hot'").orderBy("ord").select("at", "id").collect()]
+        assert numbers == sorted(numbers)
+        small = {r["subject"]: r["effect"] for r in nt.evidence_effects(rows, ["subject"], ["at", "id"], piece=64).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    whole = {r["subject"]: r["effect"] for r in nt.composed_buckets(nt.bucket_effects(rows, ["subject"], ["at", "id"], F.floor(F.col("at") / 2**56)), ["subject"]).collect()}
+    assert small == whole and len(small) == 51

@@ -63,7 +63,7 @@ def evidence(spark, n):
 
 def test_pieces_compose_to_the_same_effect(spark):
     rows = evidence(spark, 400)
-    whole = {r["subject"]: r["effect"] for r in nt.evidence_effects(rows, ["subject"], ["day", "id"], F.lit(0)).collect()}
+    whole = {r["subject"]: r["effect"] for r in nt.evidence_effects(rows, ["subject"], ["day", "id"]).collect()}
     for bucket, piece in ((F.lit(0), 3), (F.floor(F.col("day") / 4), 2), (F.col("day"), 1024)):
         parts = nt.bucket_effects(rows, ["subject"], ["day", "id"], bucket, piece)
         assert {r["subject"]: r["effect"] for r in nt.composed_buckets(parts, ["subject"]).collect()} == whole
@@ -71,7 +71,7 @@ def test_pieces_compose_to_the_same_effect(spark):
 
 def test_late_evidence_changes_the_fold(spark, tmp_path):
     rows = evidence(spark, 90)
-    whole = {r["subject"]: r["effect"] for r in nt.evidence_effects(rows, ["subject"], ["day", "id"], F.lit(0)).collect()}
+    whole = {r["subject"]: r["effect"] for r in nt.evidence_effects(rows, ["subject"], ["day", "id"]).collect()}
     arrivals = str(tmp_path / "in")
     for i in (1, 2, 0):         # the first third comes last
         rows.filter(F.pmod("id", F.lit(3)) == i).coalesce(1).write.mode("append").parquet(arrivals)
@@ -91,7 +91,7 @@ def test_late_rows_reopen_their_cells(spark, tmp_path):
     """Five deliveries, each drained by a restart of the job; the last two hold rows of closed cells only."""
     n, parts = 600, 2
     rows = cells(spark, n, parts).persist()
-    whole = {r["subject"]: r["effect"] for r in nt.evidence_effects(evidence(spark, n), ["subject"], ["day", "id"], F.lit(0)).collect()}
+    whole = {r["subject"]: r["effect"] for r in nt.evidence_effects(evidence(spark, n), ["subject"], ["day", "id"]).collect()}
     arrivals, work, progress, seen = str(tmp_path / "in"), str(tmp_path / "work"), [], []
     for i in range(parts + 2):
         rows.filter(F.col("part") == i).drop("part").repartition(2).write.mode("append").parquet(arrivals)
@@ -101,7 +101,7 @@ def test_late_rows_reopen_their_cells(spark, tmp_path):
         # the batch fold over what has come so far
         so_far = rows.filter(F.col("part") <= i).select("id")
         batch = evidence(spark, n).withColumn("key", F.format_string("%06d", "id")).join(so_far.withColumnRenamed("id", "key"), "key", "left_semi")
-        assert seen[-1] == {r["subject"]: r["effect"] for r in nt.evidence_effects(batch, ["subject"], ["day", "id"], F.lit(0)).collect()}
+        assert seen[-1] == {r["subject"]: r["effect"] for r in nt.evidence_effects(batch, ["subject"], ["day", "id"]).collect()}
     assert seen[-1] == whole and seen[-2] != seen[parts - 1]
     late = read_batches(spark, f"{work}/late/side")
     assert late.filter(F.pmod(F.col("id").cast("int"), F.lit(5)) != 0).count() == 0 and late.count() > n / 10
