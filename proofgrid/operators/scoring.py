@@ -19,6 +19,9 @@ from proofgrid.operators.scale import broadcast_if_small, rank_by_counts, top_ro
 RESULT_FIELDS = ["key", "label", "category", "dimension", "weight", "mandatory", "level_ord", "points"]
 
 
+SHARE = "struct<num:bigint,den:bigint>"
+
+
 def grid_rows(criteria: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
     """One row per grid: its criteria in order, and its factors, caps and thresholds (defaults where none are given)."""
     fields = ["ord", "key", "label", "category", "dimension", "kind", "weight", "scored", "mandatory", "members", "at_least"]
@@ -42,8 +45,10 @@ def grid_rows(criteria: DataFrame, parameters: DataFrame | None = None) -> DataF
 
 
 def level_maps(evidence: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Levels of a document as one map criterion -> order."""
-    return evidence.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("key", "level_ord"))).alias("levels"))
+    """Levels of a document as one map criterion -> order, and ``shares``, the factors that take the place of a level's (struct<num,den>)."""
+    share = F.col("share") if "share" in evidence.columns else F.lit(None).cast(SHARE)
+    measured = F.collect_list(F.when(share.isNotNull(), F.struct("key", share.alias("share"))))
+    return evidence.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("key", "level_ord"))).alias("levels"), F.map_from_entries(measured).alias("shares"))
 
 
 def _level_of(key: Column) -> Column:
@@ -77,21 +82,28 @@ def _rounded(numerator: Column, denominator: Column) -> Column:
 
 
 def criterion_results(docs: DataFrame, evidence: DataFrame, grids: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Every scored criterion for every document; what was not found is ``not documented``, never dropped."""
-    found = docs.join(level_maps(evidence, keys), list(keys), "left").withColumn("levels", F.coalesce("levels", F.create_map().cast("map<string,int>")))
+    """Every scored criterion for every document; what was not found is ``not documented``, never dropped.
+
+    evidence(keys, key, level_ord) may have a ``share``: the points of its criterion then follow the measured share, at most
+    all of them, instead of the factor of the level; caps, tier and potential follow the level as for any other.
+    """
+    found = docs.join(level_maps(evidence, keys), list(keys), "left").withColumns({"levels": F.coalesce("levels", F.create_map().cast("map<string,int>")), "shares": F.coalesce("shares", F.create_map().cast(f"map<string,{SHARE}>"))})
     rows = found.join(broadcast_if_small(grids), "grid_id")
 
     def result(c: Column) -> Column:
         group = F.size(c["members"]) > 0
         g = _group_result(c, F.transform(c["members"], _level_of))
         order = F.when(group, g["level_ord"]).otherwise(_level_of(c["key"]))
-        points = F.when(group, g["points"]).otherwise(_rounded(c["weight"] * F.get(F.col("factors"), _level_of(c["key"])), F.lit(10)))
+        share = F.try_element_at("shares", c["key"])
+        measured = F.when(~group & share.isNotNull() & (order != 1), _rounded(c["weight"] * 100 * F.least(share["num"], share["den"]), share["den"]))
+        by_level = _rounded(c["weight"] * F.get(F.col("factors"), _level_of(c["key"])), F.lit(10))
+        points = F.when(group, g["points"]).otherwise(F.coalesce(measured, by_level))
         return F.struct(
             c["key"].alias("key"), c["label"].alias("label"), c["category"].alias("category"), c["dimension"].alias("dimension"),
             c["weight"].alias("weight"), c["mandatory"].alias("mandatory"), order.cast("int").alias("level_ord"), points.cast("int").alias("points"),
         )
 
-    return rows.withColumn("results", F.transform(F.filter("criteria", lambda c: c["scored"]), result)).drop("criteria", "levels")
+    return rows.withColumn("results", F.transform(F.filter("criteria", lambda c: c["scored"]), result)).drop("criteria", "levels", "shares")
 
 
 def _sum(results: Column, value) -> Column:
