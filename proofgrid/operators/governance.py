@@ -12,7 +12,8 @@ from proofgrid.functions import text as tx
 from proofgrid.functions.hashing import hmac_sha256
 from proofgrid.functions.privacy import scrub
 from proofgrid.operators.claims import quotes_in_corpus
-from proofgrid.operators.scale import broadcast_if_small, previous_by_bucket, row_number_by_bucket, top_rows
+from proofgrid.operators.scale import broadcast_if_small, previous_by_bucket, row_number_by_bucket, running_sum, top_rows
+from proofgrid.session import durable
 
 # Keys never logged as text, longest logged string, text left in place of erased content, wording of negative feedback, bounds of the history search.
 SENSITIVE_KEYS = ["text", "excerpt", "statement", "blob", "password", "secret", "token", "email_body"]
@@ -75,19 +76,22 @@ def chain_head(log: DataFrame, keys: Sequence[str], key_hex: str) -> DataFrame:
 def request_counts(events: DataFrame, identity: str, ts: str, seconds: int, limit: int, key: str) -> DataFrame:
     """Requests of an identity in the window that ends at each request, and the seconds to wait when the limit is reached.
 
-    A busy identity is cut into time cells twice as long as the window; the rows of the
-    last window of a cell are repeated at the head of the next one as context.
+    The requests of an identity are counted along time once, together with two marks for each of them, where its window
+    starts and where it ends: the difference of the counts at the marks is the number of requests inside. The counts are
+    running sums over a range partition, so neither a busy identity nor a busy window is one task. ``key`` is unique.
     """
     span = seconds * 1_000_000
-    cell = 2 * span
-    e = events.select(key, identity, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
-    own = e.withColumn("_c", F.floor(F.col("_t") / cell)).withColumn("_own", F.lit(True))
-    carry = own.filter(F.pmod("_t", F.lit(cell)) >= cell - span).withColumn("_c", F.col("_c") + 1).withColumn("_own", F.lit(False))
-    w = Window.partitionBy(identity, "_c").orderBy("_t").rangeBetween(-span, 0)
-    c = own.unionByName(carry).withColumn("requests", F.count("*").over(w)).withColumn("_oldest", F.min("_t").over(w)).filter("_own")
-    wait = F.greatest(F.lit(1), F.floor((F.lit(span) - (F.col("_t") - F.col("_oldest"))) / 1_000_000) + 1)
+    e = events.select(F.col(key).alias("_key"), F.col(identity).alias("_who"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    mark = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"))
+    marks = e.select("_key", "_who", F.inline(F.array(mark(F.col("_t") - span, 0), mark(F.col("_t"), 1), mark(F.col("_t"), 2)))).withColumn("_one", (F.col("kind") == 1).cast("bigint"))
+    counted = durable(running_sum(marks, ["_who"], ["at", "kind", "_key"], "_one", "_n"))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    c = counted.groupBy("_key", "_who").agg((of(2, "_n") - of(0, "_n")).alias("requests"), of(0, "_n").alias("_before"), of(1, "at").alias("_t"))
+    oldest = counted.filter("kind = 1").select(F.col("_who").alias("_w"), F.col("_n").alias("_m"), F.col("at").alias("_oldest"))
     over = F.col("requests") > limit
-    return c.select(key, identity, "requests", over.alias("limited"), F.when(over, wait).cast("bigint").alias("retry_after"))
+    c = c.join(oldest, F.col("_who").eqNullSafe(F.col("_w")) & (F.col("_m") == F.when(over, F.col("_before") + 1)), "left")
+    wait = F.greatest(F.lit(1), F.floor((F.lit(span) - (F.col("_t") - F.col("_oldest"))) / 1_000_000) + 1)
+    return c.select(F.col("_key").alias(key), F.col("_who").alias(identity), "requests", over.alias("limited"), F.when(over, wait).cast("bigint").alias("retry_after"))
 
 
 def scrub_detail(detail: Column) -> Column:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofgrid.session import durable
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -53,6 +56,23 @@ def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``sum(value)`` from the first row of a key up to this one, for keys of any size.
+
+    Rows are put in order by a range partition, summed inside each (key, partition), and shifted by what the key holds in
+    earlier partitions: a row a partition is all that is carried. ``order`` must leave no ties inside a key.
+    """
+    placed = durable(in_order(df, keys, order, "_ord").withColumn("_part", F.shiftright("_ord", 33)))
+    cell = [*keys, "_part"]
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = placed.groupBy(*cell).agg(F.sum(value).alias("_s")).withColumn("_c", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    carry = carry.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cell)], "_c")
+    inside = Window.partitionBy(*cell).orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cell)])
+    out = placed.withColumn("_r", F.sum(value).over(inside)).join(carry, same)
+    return out.withColumn(name, F.col("_r") + F.col("_c")).drop("_ord", "_part", "_r", "_c", *[f"_k{i}" for i in range(len(cell))])
+
+
 def composed_in_order(df: DataFrame, keys: Sequence[str], number: str, value: str, compose: Callable[[Column], Column], piece: int = 1024) -> DataFrame:
     """(keys, value): the values of a key composed in the order of their numbers.
 

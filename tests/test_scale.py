@@ -144,3 +144,20 @@ def test_a_hot_key_is_spread_over_all_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     whole = {r["subject"]: r["effect"] for r in nt.composed_buckets(nt.bucket_effects(rows, ["subject"], ["at", "id"], F.floor(F.col("at") / 2**56)), ["subject"]).collect()}
     assert small == whole and len(small) == 51
+
+
+def test_running_sums_of_a_hot_key_and_of_nulls(spark):
+    """The hot key spans all partitions; a null key is a key of its own."""
+    rows = [("hot" if i % 10 else None if i % 20 else "cold", i * 7919 % 5000, i % 3) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, at bigint, v bigint").repartition(5)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["k"], r["at"]): r["s"] for r in scale.running_sum(df, ["k"], ["at"], "v", "s").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want, total = {}, {}
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        total[k] = total.get(k, 0) + v
+        want[k, at] = total[k]
+    assert got == want
