@@ -170,23 +170,72 @@ def library(entries: DataFrame, user: Column, status: str | None = None, family:
     return e.orderBy(F.col("updated_at").desc(), F.col("entry_id").desc())
 
 
-def suggestions(missions: DataFrame, skills: DataFrame, entries: DataFrame, k: int = 8) -> DataFrame:
-    """Top entries per mission: 2 for the same family, 1 per shared tag, never its own ones.
+def _heads(entries: DataFrame, parts: Column, k: int) -> DataFrame:
+    """(part, family, entry_id, origin): the first entries that hold a part, per family and over all families (family null, ``any``).
+
+    Of one origin only its first k can count for a mission, and of these the first 2k hold k that are not the mission's own:
+    whatever is left out is behind k entries that score as much and come first.
+    """
+    held = entries.select("entry_id", "origin", "family", F.explode(parts).alias("part"))
+    views = F.explode(F.array(F.struct(F.lit(False).alias("any"), F.col("family").alias("family")), F.struct(F.lit(True).alias("any"), F.lit(None).cast("string").alias("family"))))
+    held = held.select("entry_id", "origin", "part", views.alias("v")).select("entry_id", "origin", "part", "v.any", "v.family").filter(F.col("any") | F.col("family").isNotNull())
+    per_origin = top_rows(held, ["part", "any", "family", "origin"], [F.col("entry_id")], k).drop("rn")
+    return top_rows(per_origin, ["part", "any", "family"], [F.col("entry_id")], 2 * k).drop("rn")
+
 
-    Two equi joins: on tags, and on the first entries of each family. Of one origin only
-    its first k can count, and of these the first 2k hold k that are not the mission's
-    own, so the family side stays bounded without losing a row. missions(mission_id, family), skills(mission_id,
-    skill), entries(entry_id, family, tags, origin).
+def _parts(tags: Column) -> Column:
+    """The empty set, every tag and every pair of a tag set, as sorted arrays."""
+    def pairs(t: Column) -> Column:
+        return F.flatten(F.transform(t, lambda a: F.transform(F.filter(t, lambda b: b > a), lambda b: F.array(a, b))))
+
+    return tx.let(F.array_sort(tags), lambda t: F.concat(F.array(F.array().cast("array<string>")), F.transform(t, lambda a: F.array(a)), pairs(t)))
+
+
+def suggestions(missions: DataFrame, skills: DataFrame, entries: DataFrame, k: int = 8) -> DataFrame:
+    """Top entries per mission: 2 for the same family, 1 per shared tag, never its own ones; ties by entry_id.
+
+    Nothing is scored against every entry of a popular tag. Entries that share at most two tags are found in bounded lists
+    (the first ones of a tag, of a pair of tags, and of the same inside a family). They give each mission its k-th score; an
+    entry that is in no list shares at least three tags and reaches that score, so it holds one of the rarest tags of the
+    mission, all but the (m - 1) most frequent ones where m tags must be shared: only these are read in full, and not at all
+    for missions with too few tags. An entry without an origin is nobody's own; null families and tags match nothing.
+    missions(mission_id, family), skills(mission_id, skill), entries(entry_id, family, tags, origin); ids are unique.
     """
-    tagged = entries.select("entry_id", "origin", F.col("family").alias("entry_family"), F.explode(F.array_distinct("tags")).alias("skill"))
-    shared = skills.distinct().join(broadcast_if_small(tagged), "skill").groupBy("mission_id", "entry_id", "entry_family", "origin").agg(F.count("*").alias("shared"))
-    per_origin = top_rows(entries.select("entry_id", "origin", "family"), ["family", "origin"], [F.col("entry_id")], k).drop("rn")
-    head = top_rows(per_origin, ["family"], [F.col("entry_id")], 2 * k).drop("rn")
-    same = missions.join(broadcast_if_small(head), "family").select("mission_id", "entry_id", F.col("family").alias("entry_family"), "origin", F.lit(0).cast("bigint").alias("shared"))
-    both = shared.unionByName(same).groupBy("mission_id", "entry_id", "entry_family", "origin").agg(F.max("shared").alias("shared"))
-    scored = both.join(missions.select("mission_id", F.col("family").alias("_f")), "mission_id").filter(F.col("origin") != F.col("mission_id"))
-    scored = scored.withColumn("relevance", F.when(F.col("_f") == F.col("entry_family"), 2).otherwise(0) + F.col("shared")).filter("relevance > 0")
-    return top_rows(scored, ["mission_id"], [F.col("relevance").desc(), F.col("entry_id")], k).select("mission_id", "entry_id", "relevance", "rn")
+    e = entries.select("entry_id", "origin", "family", F.array_distinct(F.array_compact(F.coalesce("tags", F.array().cast("array<string>")))).alias("tags"))
+    frequency = e.select(F.explode("tags").alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+    # the tags of a mission that any entry has, rarest first
+    known = skills.filter("skill is not null").distinct().join(broadcast_if_small(frequency), "skill")
+    by_rarity = F.transform(F.array_sort(F.collect_list(F.struct("n", "skill"))), lambda x: x["skill"])
+    m = missions.join(known.groupBy("mission_id").agg(by_rarity.alias("wanted")), "mission_id", "left")
+    m = m.select("mission_id", F.col("family").alias("of"), F.coalesce("wanted", F.array().cast("array<string>")).alias("wanted"))
+
+    heads = _heads(e, _parts(F.col("tags")), k).filter((F.size("part") > 0) | ~F.col("any"))
+    asked = m.select("mission_id", "of", F.explode(_parts(F.col("wanted"))).alias("part"))
+    asked = asked.select("mission_id", "part", F.explode(F.array(F.struct(F.lit(False).alias("any"), F.col("of").alias("family")), F.struct(F.lit(True).alias("any"), F.lit(None).cast("string").alias("family")))).alias("v"))
+    asked = asked.select("mission_id", "part", F.col("v.any").alias("_any"), F.col("v.family").alias("_family"))
+    same = (F.col("_any") == F.col("any")) & F.col("_family").eqNullSafe(F.col("family"))
+    listed = asked.join(broadcast_if_small(heads), "part").filter(same)
+    tags_of = e.select("entry_id", "tags", F.col("family").alias("entry_family"), "origin")
+    pairs = listed.select("mission_id", "entry_id").distinct()
+
+    def scored(rows: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("wanted", "tags"))
+        own = F.col("origin").eqNullSafe(F.col("mission_id"))
+        points = (F.when(F.col("of") == F.col("entry_family"), 2).otherwise(0) + shared).cast("bigint")
+        return rows.filter(~own).withColumn("relevance", points).filter("relevance > 0")
+
+    first = scored(pairs.join(broadcast_if_small(tags_of), "entry_id").join(m, "mission_id"))
+    best = durable(top_rows(first.select("mission_id", "entry_id", "relevance"), ["mission_id"], [F.col("relevance").desc(), F.col("entry_id")], k))
+    kth = best.filter(F.col("rn") == k).select("mission_id", F.col("relevance").alias("floor"))
+    open_ = m.join(kth, "mission_id", "left").withColumn("least", F.greatest(F.lit(3), F.coalesce(F.col("floor") - 2, F.lit(3))).cast("int"))
+    open_ = open_.filter(F.size("wanted") >= F.col("least"))
+    prefix = open_.select("mission_id", "of", "wanted", "least", F.explode(F.slice("wanted", F.lit(1), F.size("wanted") - F.col("least") + 1)).alias("skill"))
+    deep = prefix.join(tags_of.withColumn("skill", F.explode("tags")), "skill")
+    # a pair is kept at the rarest tag it shares, and only there
+    deep = deep.filter(F.size(F.array_intersect("wanted", "tags")) >= F.col("least")).filter(F.get(F.array_intersect("wanted", "tags"), F.lit(0)) == F.col("skill"))
+    more = scored(deep).select("mission_id", "entry_id", "relevance").join(best.select("mission_id", "entry_id"), ["mission_id", "entry_id"], "left_anti")
+    every = best.drop("rn").unionByName(more)
+    return top_rows(every, ["mission_id"], [F.col("relevance").desc(), F.col("entry_id")], k).select("mission_id", "entry_id", "relevance", "rn")
 
 
 def history_search(missions: DataFrame, fields: DataFrame, query: str, mission: str = "mission_id") -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from proofgrid.operators.mentions import LEXICON_SCHEMA
 from proofgrid.operators.scale import parameter_table
 from proofgrid.plans import lexicon as lx
 from proofgrid.plans.base import TODAY, fold_sql, query, spread, table, texts, turns
-from proofgrid.plans.evidence_queries import KAFKA
+from proofgrid.plans.evidence_queries import KAFKA, SKILL_LEVELS, phrases, pick_sql
 
 SAID = [
     "J'ai développé des services Kafka avec 3 topics.",
@@ -240,10 +240,21 @@ def join_20(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     own = F.replace(F.substring("text", F.floor(F.length("text") / 3).cast("int") + 1, F.lit(60)), F.lit(" "), F.lit("  "))
     c = d.withColumn("item_id", F.pmod("doc_id", F.lit(b.count()))).join(b, "item_id").select("doc_id", F.when(F.pmod("doc_id", F.lit(2)) == 0, own).otherwise(F.col("passage")).alias("quote"))
-    c = c.withColumn("asserted_ord", F.lit(4)).withColumn("recomputed_ord", F.lit(3))
     from proofgrid.functions.text import any_term_regex
 
-    return cl.verify(c, d, any_term_regex(["the", "der", "los"])).select("doc_id", "status", "at")
+    return cl.traced(c, d, any_term_regex(["the", "der", "los"])).select("doc_id", "status", "at")
+
+
+@query("join_20_recomputed_level", f"""
+WITH c AS (SELECT o_orderkey AS claim_id, o_orderkey % 3 > 0 AS true_quote, (1 + o_orderkey % 4)::BIGINT AS asserted, {pick_sql(SKILL_LEVELS)}::BIGINT AS found FROM orders)
+SELECT claim_id, CASE WHEN true_quote THEN 'verified' ELSE 'downgraded' END AS status, CASE WHEN true_quote THEN least(asserted, found) END AS level_ord FROM c""")
+def join_20_levels(spark, sf):
+    p = phrases(spark, sf).select("doc_id", "item")
+    docs = p.select("doc_id", F.concat(F.lit("Plateforme de données\n"), "item", F.lit("\nEnvironnement : Linux, Redis")).alias("text"))
+    said = F.when(F.pmod("doc_id", F.lit(3)) > 0, F.upper(F.replace("item", F.lit(" "), F.lit("  ")))).otherwise(F.concat("item", F.lit(" ailleurs")))
+    c = p.select("doc_id", F.col("doc_id").alias("claim_id"), F.lit("kafka").alias("skill_key"), said.alias("quote"), (1 + F.pmod("doc_id", F.lit(4))).cast("int").alias("asserted_ord"))
+    v = cl.verify(c, docs, parameter_table(spark, [KAFKA], LEXICON_SCHEMA), TODAY)
+    return v.select("claim_id", "status", F.col("level_ord").cast("bigint").alias("level_ord"))
 
 
 @query("udf_4_claims_from_any_producer", f"""

@@ -188,15 +188,11 @@ def test_quotes_are_found_whatever_their_length_and_cut(spark):
     assert {(r.doc_id, r.qid) for r in quotes_in_corpus(q, d, "qid", "quote").collect()} == want
 
 
-def test_no_cut_beyond_the_old_limits(spark, monkeypatch):
+def test_no_cut_beyond_the_old_limits(spark):
     from proofgrid.functions import levels as lv
-    from proofgrid.operators import claims, filters
+    from proofgrid.operators import filters
 
     reqs = spark.createDataFrame([(1, f"r{i:03}", f"label {i}", lv.IMPERATIVE, 1, None) for i in range(60)], "mission_id int, req_id string, label string, category string, rarity int, reason string")
     ranked = filters.ranked_requirements(reqs)
     assert ranked.count() == 60 and ranked.agg(F.max("pos")).first()[0] == 60
     assert filters.strict_groups(ranked).filter("searched").count() == filters.MAX_STRICT_GROUPS
-    monkeypatch.setattr(claims, "LITERAL_KEYS", 7)
-    short = spark.createDataFrame([(f"alphabet{i:03}",) for i in range(40)], "_q string")
-    parts = claims._chunks(short)
-    assert len(parts) > 1 and sorted(x for p in parts for x in p) == sorted(r["_q"] for r in short.collect())
