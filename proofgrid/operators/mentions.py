@@ -8,6 +8,7 @@ umbrella_of and so on. Any producer of such rows extends the detection.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from proofgrid.functions import text as tx
 from proofgrid.operators.intervals import contained_in_longer
 from proofgrid.operators.scale import broadcast_if_small
+from proofgrid.session import durable
 
 TOKEN = "[a-z0-9+#]+"
-LITERAL_KEYS = 5_000
+BLOCK_ROWS, BLOCK_BYTES = 100_000, 32 * 1024 * 1024
 CONTEXT_WINDOW = 160
 NEVER = "(?!)"
 
@@ -90,22 +92,18 @@ def ngram_keys(folded: Column, longest: int) -> Column:
 def candidates(docs: DataFrame, aliases: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """(document, alias) pairs that can match, with the text still in the row.
 
-    A lexicon of bounded size filters the n-grams of a text in place, without a
-    shuffle. A larger one is joined on (document, n-gram) rows that carry no text,
-    and the texts are joined back once per document.
+    One plan for a lexicon of any size: the n-grams of a text meet the alias keys where the text lies, and no text is
+    shuffled. Aliases are broadcast in blocks of bounded rows and bytes, dealt by hash; a lexicon of more than one block
+    costs a pass over the texts for each.
     """
-    head = aliases.select("key", "n_tokens").distinct().limit(LITERAL_KEYS + 1).collect()
-    folded = docs.withColumn("_f", tx.fold(F.col(text)))
-    if len(head) <= LITERAL_KEYS:
-        longest = max((r["n_tokens"] for r in head), default=1)
-        known = F.from_json(F.lit("[" + ",".join(f'"{r["key"]}"' for r in head) + "]"), "array<string>")
-        hit = folded.withColumn("key", F.explode(F.array_intersect(ngram_keys(F.col("_f"), longest), known)))
-        return hit.join(F.broadcast(aliases), "key")
-    longest = aliases.agg(F.max("n_tokens")).first()[0]
-    grams = folded.select(*keys, F.explode(ngram_keys(F.col("_f"), longest)).alias("key"))
-    found = grams.join(broadcast_if_small(aliases.select("key").distinct()), "key")
-    per_doc = found.groupBy(*keys).agg(F.collect_set("key").alias("_keys"))
-    return folded.join(per_doc, list(keys)).withColumn("key", F.explode("_keys")).drop("_keys").join(broadcast_if_small(aliases), "key")
+    size = aliases.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("b"), F.max("n_tokens").alias("longest")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_ROWS), -(-(size["b"] or 0) // BLOCK_BYTES))
+    if blocks > 1:
+        aliases = durable(aliases.withColumn("_block", F.pmod(F.xxhash64("skill_key", "alias", "key"), F.lit(blocks))))
+    dealt = [aliases] if blocks == 1 else [aliases.filter(F.col("_block") == i).drop("_block") for i in range(blocks)]
+    grams = docs.withColumn("_f", tx.fold(F.col(text)))
+    grams = grams.withColumn("key", F.explode(ngram_keys(F.col("_f"), size["longest"] or 1)))
+    return reduce(DataFrame.unionByName, [grams.join(F.broadcast(block), "key") for block in dealt])
 
 
 def spans_of(cand: DataFrame, text: str, window: int = CONTEXT_WINDOW) -> Column:

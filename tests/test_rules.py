@@ -65,14 +65,30 @@ def test_homonym_guards_and_case(spark):
     assert {(r.doc_id, r.skill_key) for r in mn.mentions(docs, lex).collect()} == {(1, "unity"), (4, "san")}
 
 
-def test_large_lexicon_takes_the_join_path_with_the_same_hits(spark, monkeypatch):
+def test_a_lexicon_of_several_blocks_has_the_same_hits(spark, monkeypatch):
     lex = parameter_table(spark, [_skill("sb", ["Spring Boot"]), _skill("topic", ["topic"])], mn.LEXICON_SCHEMA)
     docs = spark.createDataFrame([(1, "spring-boot et SpringBoot, topics"), (2, "sp ring boot topic")], "doc_id int, text string")
     small = sorted(map(tuple, mn.mentions(docs, lex).collect()))
-    monkeypatch.setattr(mn, "LITERAL_KEYS", 1)
+    monkeypatch.setattr(mn, "BLOCK_ROWS", 2)
     assert sorted(map(tuple, mn.mentions(docs, lex).collect())) == small and len(small) == 4
 
 
+def test_a_hundred_thousand_aliases_without_moving_texts(spark):
+    n = 100_000
+    none = F.array().cast("array<string>")
+    lex = spark.range(n).select(
+        F.concat(F.lit("s"), F.col("id") % 5000).alias("skill_key"), F.concat(F.lit("terme "), F.col("id").cast("string")).alias("a"),
+    ).groupBy("skill_key").agg(F.collect_list("a").alias("aliases"))
+    for c in ("case_sensitive", "context_needed", "context_forbidden", "exclude_after"):
+        lex = lex.withColumn(c, none)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("un terme-"), F.col("id") * 250, F.lit(" puis terme 7x et Terme "), F.col("id") * 250 + 1, F.lit(".")).alias("text"))
+    hits = mn.raw_mentions(docs, lex)
+    got = {(r.doc_id, r.skill_key, r.start) for r in hits.collect()}
+    assert got == {(i, f"s{(i * 250 + d) % 5000}", at) for i in range(400) for d, at in ((0, 3), (1, len(f"un terme-{i * 250} puis terme 7x et ")))}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
 @pytest.mark.parametrize("line,start,end", [("Soc (03.2019 – 05.2021)", "2019-03", "2021-05"), ("Soc (2019/03 – 2021/05)", "2019-03", "2021-05"), ("Soc (mars 2019 – maintenant)", "2019-03", None), ("depuis sept. 2020", "2020-09", None)])
 def test_date_ranges(spark, line, start, end):
     d = spark.createDataFrame([(1, "Expériences\n" + line + "\n- travail")], "doc_id int, text string")
