@@ -160,6 +160,82 @@ def three_strategies(ranked: DataFrame, key: str = "mission_id", k: int = 3, str
     return loose.unionByName(middle).unionByName(hard)
 
 
+def search_sets(
+    ranked: DataFrame, titles: DataFrame, combos: DataFrame, key: str = "mission_id", k: int = 3, strict: int = MAX_STRICT_GROUPS
+) -> DataFrame:
+    """The groups of the exploratory, balanced and strict filter of every mission: (key, strategy, priority, group_id, kind, terms, at_least, members).
+
+    titles (key, core, wide): wordings of the role. combos (key, combo_id, members, at_least): requirements of which the client
+    asks for some. ``ranked`` are the rows of ``ranked_requirements``; ``advanced`` and ``narrowers`` tell where practice in depth
+    is asked for and by which narrower terms it shows. Groups of a filter are joined by AND, terms of a group by OR.
+
+    Members of a combination are never imposed one by one: in discovery one of them has to appear (kind ``union``), in the
+    strict filter ``at_least`` of the ``members`` (kind ``combo``; only if so many can be searched). The strict filter keeps the
+    ``strict`` strongest and rarest groups, narrower ones included; all other requirements are left to scoring. Missions without
+    a title have no group of kind ``title``; missions without requirements have only that one.
+    """
+    none, nested = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    pieces = lambda c, n: F.slice(F.coalesce(c, none), F.lit(1), F.lit(n))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda r: r[c])
+
+    def group(df: DataFrame, strategy: str, priority: Column, gid: Column, kind: str, terms: Column, at_least: Column | None = None, members: Column | None = None) -> DataFrame:
+        return df.select(
+            key, F.lit(strategy).alias("strategy"), priority.cast("int").alias("priority"), gid.cast("string").alias("group_id"), F.lit(kind).alias("kind"), terms.alias("terms"),
+            (at_least if at_least is not None else F.lit(1)).cast("int").alias("at_least"), (members if members is not None else nested).alias("members"),
+        )
+
+    asked = combos.select(key, "combo_id", "at_least", F.explode("members").alias("req_id")).distinct()
+    found = asked.join(ranked.select(key, "req_id", "pos", pieces(F.col("terms"), 2).alias("two")), [key, "req_id"]).filter(F.size("two") > 0)
+    by_combo = found.groupBy(key, "combo_id", "at_least").agg(in_order("two").alias("members")).withColumn("terms", F.flatten("members"))
+    unions = by_combo.groupBy(key).agg(F.count("*").alias("n_unions"), F.array_sort(F.collect_list(F.struct("combo_id", "terms"))).alias("unions"))
+    free = ranked.join(asked.select(key, "req_id").distinct(), [key, "req_id"], "left_anti")
+
+    # discovery: one list of terms, the first ones of the three strongest requirements and of every combination
+    strong = free.filter("_strong").withColumn("_class", F.lit(0))
+    weak = ranked.withColumn("_class", F.lit(1))
+    pool = strong.unionByName(weak).withColumn("_least", F.min("_class").over(Window.partitionBy(key))).filter("_class = _least")
+    top = top_rows(pool.withColumn("first", pieces(F.col("terms"), 1)), [key], [F.col("pos")], 3, "_n").groupBy(key).agg(F.flatten(in_order("first")).alias("own"))
+    both = top.join(unions, key, "full")
+    heads = F.flatten(F.transform(F.coalesce("unions", F.array().cast("array<struct<combo_id:string,terms:array<string>>>")), lambda u: pieces(u["terms"], 3)))
+    union_terms = F.array_distinct(F.concat(F.coalesce("own", none), heads))
+    out = [group(both.withColumn("_t", union_terms).filter(F.size("_t") > 0), "exploratory", F.lit(1), F.lit("union"), "union", F.col("_t"))]
+
+    # balanced: the strongest requirements each, one group a combination; weaker ones only where there would be fewer than two
+    counted = free.join(unions.select(key, "n_unions"), key, "left").withColumn("n_unions", F.coalesce("n_unions", F.lit(0)))
+    placed = counted.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("pos")))
+    placed = placed.withColumn("_srank", F.when(F.col("_strong"), F.row_number().over(Window.partitionBy(key, "_strong").orderBy("pos"))))
+    placed = placed.withColumn("_n_strong", F.sum(F.col("_strong").cast("int")).over(Window.partitionBy(key)))
+    room = F.greatest(F.lit(1), F.lit(k) - F.col("n_unions"))
+    chosen = F.when(F.col("_n_strong") > 0, F.least("_n_strong", room)).otherwise(F.least(F.count("*").over(Window.partitionBy(key)), room))
+    placed = placed.withColumn("_chosen", chosen)
+    few = F.col("_chosen") + F.col("n_unions") < 2
+    taken = F.when(few, F.col("_rank") <= F.greatest(F.lit(2) - F.col("n_unions"), F.col("_chosen")))
+    taken = taken.when(F.col("_n_strong") > 0, F.col("_srank") <= F.col("_chosen")).otherwise(F.col("_rank") <= F.col("_chosen"))
+    middle = placed.filter(taken).withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("pos")))
+    out.append(group(middle, "balanced", F.col("_i") + 1, F.col("req_id"), "skill", F.when(F.col("_i") == 1, pieces(F.col("terms"), 3)).otherwise(pieces(F.col("terms"), 2))))
+    out.append(group(by_combo, "balanced", F.lit(1), F.concat(F.lit("union:"), "combo_id"), "union", pieces(F.col("terms"), 4)))
+
+    # strict: what is imposed, with the terms of practice in depth, and the combinations
+    hard = free.filter(F.col("category").isin(lv.ELIMINATORY, lv.IMPERATIVE))
+    kinds = F.array(
+        F.struct(F.lit("skill").alias("kind"), pieces(F.col("terms"), 2).alias("t"), F.col("rarity").cast("int").alias("r")),
+        F.struct(F.lit("narrower").alias("kind"), pieces(F.col("narrowers"), 3).alias("t"), F.lit(5).alias("r")),
+    )
+    both = hard.select(key, "req_id", "category", "pos", "advanced", F.posexplode(kinds).alias("_part", "g")).select("*", "g.*")
+    both = both.filter((F.col("_part") == 0) | (F.col("advanced") & (F.size("t") > 0)))
+    kept = top_rows(both, [key], [lv.strength(F.col("category"), lv.FILTER_STRENGTH).desc(), F.col("r").desc(), F.col("pos"), F.col("_part")], strict, "_n")
+    kept = kept.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("pos", "_part")))
+    narrow = F.when(F.col("kind") == "narrower", F.concat(F.lit("narrow:"), "req_id")).otherwise(F.col("req_id"))
+    for kind in ("skill", "narrower"):
+        out.append(group(kept.filter(F.col("kind") == kind).withColumn("_id", narrow), "strict", F.col("_i"), F.col("_id"), kind, F.col("t")))
+    whole = by_combo.filter((F.col("at_least") >= 1) & (F.size("members") >= F.col("at_least")))
+    out.append(group(whole, "strict", F.lit(1), F.col("combo_id"), "combo", none, F.col("at_least"), F.col("members")))
+    for strategy, words, n in (("exploratory", F.concat(F.coalesce("core", none), F.coalesce("wide", none)), 6), ("balanced", F.col("core"), 4), ("strict", F.col("core"), 3)):
+        named = titles.withColumn("_t", F.slice(F.array_distinct(F.coalesce(words, none)), 1, n)).filter(F.size("_t") > 0)
+        out.append(group(named, strategy, F.lit(0), F.lit("title"), "title", F.col("_t")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def left_out(reqs: DataFrame, used: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Requirements that a filter does not search, with the reason."""
     reason = (

@@ -17,6 +17,8 @@ from proofgrid.functions import levels as lv
 from proofgrid.operators.scale import broadcast_if_small, rank_by_counts, top_rows
 
 RESULT_FIELDS = ["key", "label", "category", "dimension", "weight", "mandatory", "level_ord", "points"]
+# The source name of evidence from the document, longest excerpt given as a reason.
+DOCUMENT_SOURCE, REASON_CHARS = "cv", 200
 
 
 SHARE = "struct<num:bigint,den:bigint>"
@@ -219,3 +221,32 @@ def assessment_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("doc_
     return joined.withColumn("change", change).filter(F.col("change").isNotNull()).select(
         *keys, "key", "change", lv.level_name(F.col("from_ord")).alias("from_level"), lv.level_name(F.col("level_ord")).alias("to_level"), delta.alias("points_delta")
     )
+
+
+def with_reasons(new: DataFrame, old: DataFrame, new_evidence: DataFrame, old_evidence: DataFrame, keys: Sequence[str] = ("doc_id",), limit: int = 3) -> DataFrame:
+    """``assessment_diff`` with the reasons: the first excerpts of the new evidence that does not come from the document.
+
+    Evidence rows are (keys, key, ord, source, excerpt). A criterion whose level and points stay the same counts as changed
+    when its number of evidence rows does. Excerpts are cut to ``REASON_CHARS`` characters, and ``truncated`` says whether one
+    was; of a key with very many rows only ``limit`` travel. Rows without an excerpt count and give no reason; a new criterion
+    has none, as nothing changed it.
+    """
+    by = [*keys, "key"]
+    count = lambda e, name: e.groupBy(*by).agg(F.count("*").alias(name))
+    o = old.select(*by, F.col("level_ord").alias("from_ord"), F.col("points").alias("from_points"), F.lit(True).alias("_known")).join(count(old_evidence, "_before"), by, "left")
+    n = new.select(*by, "level_ord", "points").join(count(new_evidence, "_after"), by, "left").join(o, by, "left")
+    counts = F.coalesce("_after", F.lit(0)) != F.coalesce("_before", F.lit(0))
+    moved = ~F.col("level_ord").eqNullSafe(F.col("from_ord")) | ~F.col("points").eqNullSafe(F.col("from_points")) | counts
+    change = F.when(F.col("_known").isNull(), "new").when(moved, "changed")
+    later = new_evidence.filter((F.col("source") != DOCUMENT_SOURCE) & F.col("excerpt").isNotNull())
+    cut = later.select(*by, "ord", F.substring("excerpt", 1, REASON_CHARS).alias("_x"), (F.length("excerpt") > REASON_CHARS).alias("_cut"))
+    first = top_rows(cut, by, [F.col("ord"), F.col("_x")], limit, "_n")
+    why = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_x"))), lambda r: r["_x"]).alias("_because"), F.bool_or("_cut").alias("_cut"))
+    out = n.withColumn("change", change).filter(F.col("change").isNotNull()).join(why, by, "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        *by, "change", lv.level_name(F.col("from_ord")).alias("from_level"), lv.level_name(F.col("level_ord")).alias("to_level"),
+        (F.coalesce("points", F.lit(0)) - F.coalesce("from_points", F.lit(0))).alias("points_delta"),
+        F.when(F.col("change") == "changed", F.coalesce("_because", none)).otherwise(none).alias("because"),
+        F.coalesce((F.col("change") == "changed") & F.col("_cut"), F.lit(False)).alias("truncated"),
+    )

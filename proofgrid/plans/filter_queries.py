@@ -259,6 +259,43 @@ def top_5(spark, sf):
     return fl.three_strategies(fl.ranked_requirements(order_requirements(spark, sf)))
 
 
+@query("top_5_search_sets", f"""
+WITH {REQS_SQL}, ti AS (SELECT o_orderkey AS mission_id, [o_orderpriority, 'role ' || (o_custkey % 7)] AS core, ['role ' || (o_custkey % 7), 'a', 'b', 'c', 'd'] AS wide FROM orders WHERE o_orderkey % 5 > 0),
+mb AS (SELECT mission_id, 'c' || mission_id AS combo_id, req_id FROM rq WHERE mission_id % 3 = 0 AND split_part(req_id, '_', 2)::INT <= 3),
+bc AS (SELECT mb.mission_id, combo_id, list(allowed[1:2] ORDER BY pos) AS members FROM mb JOIN rr ON rr.mission_id = mb.mission_id AND rr.req_id = mb.req_id GROUP BY ALL),
+fr AS (SELECT rr.*, (bc.mission_id IS NOT NULL)::INT AS nu FROM rr LEFT JOIN bc ON bc.mission_id = rr.mission_id WHERE NOT EXISTS (SELECT 1 FROM mb WHERE mb.mission_id = rr.mission_id AND mb.req_id = rr.req_id)),
+tp AS (SELECT mission_id, allowed[1] AS t, pos FROM fr WHERE strong UNION ALL SELECT mission_id, allowed[1], pos FROM rr WHERE mission_id NOT IN (SELECT mission_id FROM fr WHERE strong)),
+tq AS (SELECT mission_id, list(t ORDER BY pos) AS own FROM (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY pos) AS n FROM tp) WHERE n <= 3 GROUP BY 1),
+un AS (SELECT coalesce(tq.mission_id, bc.mission_id) AS mission_id, list_concat(coalesce(own, []), coalesce(flatten(members)[1:3], [])) AS l FROM tq FULL JOIN bc ON bc.mission_id = tq.mission_id),
+ch AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY pos) AS rk, row_number() OVER (PARTITION BY mission_id, strong ORDER BY pos) AS sr, count(*) FILTER (strong) OVER (PARTITION BY mission_id) AS ns, count(*) OVER (PARTITION BY mission_id) AS nf FROM fr),
+cc AS (SELECT *, least(CASE WHEN ns > 0 THEN ns ELSE nf END, 3 - nu) AS c FROM ch),
+md AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY pos) AS i FROM cc WHERE CASE WHEN c + nu < 2 THEN rk <= greatest(2 - nu, c) WHEN ns > 0 THEN strong AND sr <= c ELSE rk <= c END),
+h0 AS (SELECT mission_id, req_id, category, pos, 0 AS part, 'skill' AS kind, allowed[1:2] AS t, rarity AS r FROM fr WHERE category IN ('eliminatoire_confirme', 'imperatif')
+ UNION ALL SELECT mission_id, req_id, category, pos, 1, 'narrower', [label || ' pro', label || ' plus'], 5 FROM fr WHERE category IN ('eliminatoire_confirme', 'imperatif') AND rarity >= 4),
+h1 AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY category, r DESC, pos, part) AS n FROM h0),
+h2 AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY pos, part) AS i FROM h1 WHERE n <= 5),
+g AS (SELECT mission_id, 'exploratory' AS strategy, 1 AS priority, 'union' AS group_id, 'union' AS kind, list_filter(l, lambda x, i: list_position(l, x) = i) AS terms, 1 AS at_least, 0 AS members FROM un
+ UNION ALL SELECT mission_id, 'balanced', i + 1, req_id, 'skill', allowed[1:CASE WHEN i = 1 THEN 3 ELSE 2 END], 1, 0 FROM md
+ UNION ALL SELECT mission_id, 'balanced', 1, 'union:' || combo_id, 'union', flatten(members)[1:4], 1, 0 FROM bc
+ UNION ALL SELECT mission_id, 'strict', i, CASE WHEN part = 1 THEN 'narrow:' ELSE '' END || req_id, kind, t, 1, 0 FROM h2
+ UNION ALL SELECT mission_id, 'strict', 1, combo_id, 'combo', [], 2, len(members) FROM bc WHERE len(members) >= 2
+ UNION ALL SELECT mission_id, s, 0, 'title', 'title', CASE s WHEN 'exploratory' THEN [core[1], core[2], 'a', 'b', 'c', 'd'] ELSE core END, 1, 0 FROM ti, (VALUES ('exploratory'), ('balanced'), ('strict')) v(s))
+SELECT mission_id, strategy, priority::BIGINT AS priority, group_id, kind, array_to_string(terms, ' OR ') AS terms, at_least::BIGINT AS at_least, members::BIGINT AS n_members FROM g""")
+def top_5_sets(spark, sf):
+    reqs = order_requirements(spark, sf)
+    ranked = fl.ranked_requirements(reqs.withColumn("advanced", F.col("rarity") >= 4).withColumn("narrowers", F.array(F.concat("label", F.lit(" pro")), F.concat("label", F.lit(" plus")))))
+    o = table(spark, sf, "orders").filter("o_orderkey % 5 > 0")
+    role = F.concat(F.lit("role "), (F.col("o_custkey") % 7).cast("string"))
+    titles = o.select(F.col("o_orderkey").alias("mission_id"), F.array("o_orderpriority", role).alias("core"), F.array(role, *[F.lit(x) for x in "abcd"]).alias("wide"))
+    some = reqs.filter((F.col("mission_id") % 3 == 0) & (F.element_at(F.split("req_id", "_"), -1).cast("int") <= 3))
+    combos = some.groupBy("mission_id").agg(F.collect_set("req_id").alias("members")).withColumn("combo_id", F.concat(F.lit("c"), "mission_id")).withColumn("at_least", F.lit(2))
+    g = fl.search_sets(ranked, titles, combos)
+    return g.select(
+        "mission_id", "strategy", F.col("priority").cast("bigint").alias("priority"), "group_id", "kind", F.array_join("terms", " OR ").alias("terms"),
+        F.col("at_least").cast("bigint").alias("at_least"), F.size("members").cast("bigint").alias("n_members"),
+    )
+
+
 @query("top_9_strict_groups", f"""
 WITH {REQS_SQL} SELECT mission_id, req_id, row_number() OVER (PARTITION BY mission_id ORDER BY pos) <= 5 AS searched FROM rr WHERE category IN ('eliminatoire_confirme', 'imperatif')""")
 def top_9(spark, sf):

@@ -238,6 +238,23 @@ def join_15(spark, sf):
     return sc.assessment_diff(before, after).withColumn("points_delta", F.col("points_delta").cast("bigint"))
 
 
+@query("join_15_reasons", """
+WITH c AS (SELECT conv_id AS doc_id, role AS key, turn, text, turn < 2 AS own FROM conversations),
+n AS (SELECT doc_id, key, count(*) AS n, count(*) FILTER (own) AS o, max(length(text)) AS longest FROM c GROUP BY ALL),
+b AS (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id, key ORDER BY turn) AS i, text FROM c WHERE NOT own),
+w AS (SELECT doc_id, key, string_agg(substring(text, 1, 200), ' | ' ORDER BY i) AS why, bool_or(length(text) > 200) AS cut FROM b WHERE i <= 3 GROUP BY ALL)
+SELECT n.doc_id, n.key, CASE WHEN o = 0 THEN 'new' ELSE 'changed' END AS change, (1000 * (least(n, 4) - least(o, 4)))::BIGINT AS points_delta,
+ CASE WHEN o = 0 THEN '' ELSE coalesce(why, '') END AS because, o > 0 AND coalesce(cut, false) AS truncated FROM n LEFT JOIN w USING (doc_id, key) WHERE o = 0 OR n <> o""")
+def join_15_reasons(spark, sf):
+    c = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("role").alias("key"), F.col("turn").alias("ord"), F.col("text").alias("excerpt"), F.when(F.col("turn") < 2, "cv").otherwise("appel").alias("source")
+    )
+    rows = lambda e: e.groupBy("doc_id", "key").agg(F.least(F.count("*"), F.lit(4)).cast("int").alias("level_ord")).withColumn("points", F.col("level_ord") * 1000)
+    before = c.filter("source = 'cv'")
+    d = sc.with_reasons(rows(c), rows(before), c, before)
+    return d.select("doc_id", "key", "change", F.col("points_delta").cast("bigint").alias("points_delta"), F.array_join("because", " | ").alias("because"), "truncated")
+
+
 OTHER_PARAMETERS = [("g0", [0, 0, 200, 600, 1000], 50, 30, 20, 90, 70, 40), ("g1", [0, 0, 100, 400, 900], 55, 25, None, 95, 75, 45)]
 
 
