@@ -9,7 +9,7 @@ from proofgrid.functions import levels as lv
 from proofgrid.functions import text as tx
 from proofgrid.operators.filters import ordered_distinct
 from proofgrid.operators.mentions import best_role, mentions, uncovered_skills
-from proofgrid.operators.scale import broadcast_if_small, top_rows
+from proofgrid.operators.scale import broadcast_if_small, by_shuffle, top_rows
 
 
 def title_pool(needs: DataFrame, roles: DataFrame, imposed: DataFrame, key: str, title: str) -> DataFrame:
@@ -19,7 +19,7 @@ def title_pool(needs: DataFrame, roles: DataFrame, imposed: DataFrame, key: str,
     """
     family = best_role(needs, roles, key, title)
     lead = roles.select(F.col("role_key").alias("other"), "titles", "wide_titles", F.get("discriminants", F.lit(0)).alias("skill_key"), F.col("ord").alias("fam"))
-    near = imposed.join(broadcast_if_small(lead), "skill_key").join(family, key).filter(F.col("other") != F.col("role_key"))
+    near = imposed.join(broadcast_if_small(lead), "skill_key").join(by_shuffle(family), key).filter(F.col("other") != F.col("role_key"))
     own = family.join(broadcast_if_small(roles.select("role_key", "titles", "wide_titles")), "role_key").withColumn("fam", F.lit(0))
 
     def rows(df: DataFrame, column: Column, rank: int) -> DataFrame:
@@ -107,12 +107,12 @@ def requirement_mentions(b: DataFrame, lexicon: DataFrame, key: str = "mission_i
     hits = mentions(b.filter(~F.col("f").rlike(GROUP_RX)), lexicon, (key, "sent_no"), "sent")
     found = uncovered_skills(hits, [key, "sent_no"]).select(key, "sent_no", "skill_key")
     info = broadcast_if_small(lexicon.select("skill_key", "kind", F.size("advanced_terms").alias("n_advanced")))
-    r = found.join(b, [key, "sent_no"]).join(info, "skill_key")
+    r = found.join(by_shuffle(b), [key, "sent_no"]).join(info, "skill_key")
     r = r.withColumn("category", category(F.col("section"), F.col("f"))).withColumn("negated", F.col("f").rlike(NOT_NEEDED_RX))
     r = r.withColumn("depth", F.when(F.col("f").rlike(ADVANCED_RX) & (F.col("n_advanced") > 0), "advanced").otherwise("practice"))
     r = r.withColumn("imposed", F.col("category").isin(lv.IMPERATIVE, lv.ELIMINATORY))
     g = group_lines(b, key).groupBy(key, "section").agg(F.max("group_sent").alias("group_sent"))
-    r = r.join(g, [key, "section"], "left")
+    r = r.join(by_shuffle(g), [key, "section"], "left")
     member = (F.col("sent_no") < F.col("group_sent")) & F.col("kind").isin("tech", "product")
     r = r.withColumn("member", F.coalesce(member, F.lit(False)))
     return r.withColumn("category", F.when(F.col("member") & F.col("imposed"), lv.DIFFERENTIATING).otherwise(F.col("category")))
@@ -140,7 +140,7 @@ def activities(r: DataFrame, key: str = "mission_id") -> DataFrame:
 def title_mismatch(acts: DataFrame, families: DataFrame, roles: DataFrame, key: str = "mission_id") -> DataFrame:
     """Described activities that are no discriminant of the family of the title."""
     known = roles.select("role_key", F.explode("discriminants").alias("skill_key"))
-    typed = acts.filter("in_tasks").join(families, key)
+    typed = acts.filter("in_tasks").join(by_shuffle(families), key)
     return typed.join(broadcast_if_small(known), ["role_key", "skill_key"], "left_anti").select(key, "role_key", "skill_key")
 
 

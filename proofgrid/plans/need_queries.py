@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from proofgrid.functions import levels as lv
 from proofgrid.operators import needs as nd
 from proofgrid.operators.mentions import LEXICON_SCHEMA, best_role
-from proofgrid.operators.scale import parameter_table
+from proofgrid.operators.scale import by_shuffle, parameter_table
 from proofgrid.plans import lexicon as lx
 from proofgrid.plans.base import query, spread, table
 from proofgrid.sources import needs_source as ns
@@ -106,7 +106,7 @@ def fn_20(spark, sf):
     b = nd.blocks(need_texts(spark, sf))
     members = nd.requirement_mentions(b, need_lexicon(spark)).filter("member").groupBy("mission_id").agg(F.array_join(F.array_sort(F.collect_set("skill_key")), ",").alias("members"))
     g = nd.group_lines(b).select("mission_id", "at_least", F.col("group_category").alias("category"))
-    return g.join(members, "mission_id")
+    return g.join(by_shuffle(members), "mission_id")
 
 
 @query("join_26_title_mismatch", f"""
