@@ -288,7 +288,7 @@ def top_5_sets(spark, sf):
     role = F.concat(F.lit("role "), (F.col("o_custkey") % 7).cast("string"))
     titles = o.select(F.col("o_orderkey").alias("mission_id"), F.array("o_orderpriority", role).alias("core"), F.array(role, *[F.lit(x) for x in "abcd"]).alias("wide"))
     some = reqs.filter((F.col("mission_id") % 3 == 0) & (F.element_at(F.split("req_id", "_"), -1).cast("int") <= 3))
-    combos = some.groupBy("mission_id").agg(F.collect_set("req_id").alias("members")).withColumn("combo_id", F.concat(F.lit("c"), "mission_id")).withColumn("at_least", F.lit(2))
+    combos = some.groupBy("mission_id").agg(F.collect_list("req_id").alias("members")).withColumn("combo_id", F.concat(F.lit("c"), "mission_id")).withColumn("at_least", F.lit(2))
     g = fl.search_sets(ranked, titles, combos)
     return g.select(
         "mission_id", "strategy", F.col("priority").cast("bigint").alias("priority"), "group_id", "kind", F.array_join("terms", " OR ").alias("terms"),

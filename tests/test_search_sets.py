@@ -54,3 +54,8 @@ def test_reasons_are_new_evidence_from_outside_the_document(spark):
     assert got == {
         "a": ("changed", 300, ["dit 3", "dit 4", "dit 5"], False), "b": ("new", 100, [], False), "c": ("changed", 0, ["z" * 200], True), "d": ("changed", 0, [], False),
     }
+
+def test_a_requirement_listed_twice_counts_twice(spark):
+    reqs = [req(1, "a", lv.IMPERATIVE), req(1, "b", lv.IMPERATIVE)]
+    g = sets(spark, reqs, [], [(1, "k", ["a", "b", "b"], 2)])
+    assert g[1, "strict", "k"].members == [["a", "a2"], ["b", "b2"], ["b", "b2"]]
