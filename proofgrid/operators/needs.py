@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,13 +222,14 @@ def not_superseded(reqs: DataFrame, mission: str = "mission_id") -> DataFrame:
     return live.join(over, [mission, "req_id"], "left_anti")
 
 
-def resolve(reqs: DataFrame, mission: str = "mission_id") -> tuple[DataFrame, DataFrame]:
+def resolve(reqs: DataFrame, mission: str = "mission_id", ties: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Effective requirement per key (authority, then date) and the conflicts between sources.
 
-    A row replaced explicitly by a source of rank one or two is left out first.
+    A row replaced explicitly by a source of rank one or two is left out first. ``ties`` are columns that decide between
+    rows of one rank, date and id, where ids are not unique.
     """
     rest = not_superseded(reqs, mission)
-    order = F.struct(F.col("rank"), F.date_diff(F.lit("9999-12-31").cast("date"), F.col("source_date")), F.col("req_id"))
+    order = F.struct(F.col("rank"), F.date_diff(F.lit("9999-12-31").cast("date"), F.col("source_date")), F.col("req_id"), *[F.col(c) for c in ties])
     per_cat = rest.groupBy(mission, "key", "category").agg(F.min(order).alias("o"), F.max("source_date").alias("newest"), F.min_by("source_date", order).alias("date"), F.count("*").alias("n"))
     per_key = per_cat.groupBy(mission, "key").agg(
         F.min_by(F.struct("category", "date", F.col("o.req_id").alias("req_id")), "o").alias("kept"), F.sum("n").alias("rows"),

@@ -163,7 +163,7 @@ def line_sources(spark, sf):
     return l.select(
         F.col("l_orderkey").alias("mission_id"), F.concat(F.lit("k"), F.pmod("l_partkey", F.lit(3))).alias("key"), n.alias("req_id"),
         (1 + F.pmod("l_suppkey", F.lit(5))).alias("rank"), F.col("l_shipdate").cast("date").alias("source_date"), F.get(cats, (F.pmod("l_partkey", F.lit(2)) + F.pmod("l_suppkey", F.lit(2))).cast("int")).alias("category"),
-        F.when(F.col("l_tax") > 0.05, (F.col("l_linenumber") - 1).cast("string")).alias("supersedes"), F.lit("active").alias("status"),
+        F.when(F.col("l_tax") > 0.05, (F.col("l_linenumber") - 1).cast("string")).alias("supersedes"), F.lit("active").alias("status"), F.concat_ws("_", "l_linenumber", "l_partkey").alias("line"),
     )
 
 
@@ -176,7 +176,7 @@ def join_13(spark, sf):
 WITH {RESOLVE_SQL}, o AS (SELECT kp.mission_id, kp.key, min(kp.rank) AS rank, bool_or(rs.d > kp.d) FILTER (rs.category <> kp.category) AS review, count(*) FILTER (rs.category <> kp.category) AS div FROM kp JOIN rs ON rs.mission_id = kp.mission_id AND rs.key = kp.key GROUP BY kp.mission_id, kp.key)
 SELECT mission_id, key, review AS needs_review FROM o WHERE div > 0""")
 def agg_25(spark, sf):
-    _, conflicts = nd.resolve(line_sources(spark, sf))
+    _, conflicts = nd.resolve(line_sources(spark, sf), ties=["line"])
     return conflicts.select("mission_id", "key", "needs_review")
 
 
