@@ -47,7 +47,7 @@ c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replac
    '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM b)
 SELECT page_id, substring(t, 1, 20000) AS body FROM c""")
 def prj_4(spark, sf):
-    return spread(table(spark, sf, "pages"), "page_id").select("page_id", markup.html_to_text(F.col("html")).alias("body"))
+    return spread(table(spark, sf, "pages"), "page_id", rows_a_task=None).select("page_id", markup.html_to_text(F.col("html")).alias("body"))
 
 
 @query("prj_6_snippet", f"""
