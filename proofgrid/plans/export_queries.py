@@ -131,6 +131,6 @@ WITH {EXP_SQL} SELECT doc_id, '# Matière de dossier' || chr(10) || string_agg('
 def src_8(spark, sf):
     e = st.experiences(profile_texts(spark, sf), TODAY)
     title = F.when(F.col("title") == "", "(intitulé non précisé)").otherwise(F.col("title"))
-    parts = e.select("doc_id", (F.col("idx") + 1).alias("pos"), F.concat(F.lit("### "), "company", F.lit(" — "), title).alias("line"))
-    head = parts.select("doc_id").distinct().select("doc_id", F.lit(0).alias("pos"), F.lit("# Matière de dossier").alias("line"))
-    return ex.assembled(head.unionByName(parts), ["doc_id"], ["pos"], "line")
+    parts = e.select("doc_id", F.col("idx").alias("pos"), F.concat(F.lit("### "), "company", F.lit(" — "), title).alias("line"))
+    d = ex.assembled(parts, ["doc_id"], ["pos"], "line")
+    return d.select("doc_id", F.concat(F.lit("# Matière de dossier\n"), "document").alias("document"))
