@@ -15,6 +15,7 @@ from proofgrid.plans import lexicon as lx
 from proofgrid.plans.base import TODAY, fold_sql, query, spread, table, texts, turns
 from proofgrid.plans.scoring_queries import LEVELS_SQL  # noqa: F401
 from proofgrid.plans.text_queries import SENT_MARK, TRIM_EDGE
+from proofgrid.session import durable
 
 LEVEL_SQL = "(['contredit', 'non_documente', 'declare_sans_preuve', 'partiellement_demontre', 'confirme_demontre'])"
 # One phrase shape per line; {n} is a number taken from the order.
@@ -136,7 +137,8 @@ def fn_6(spark, sf):
 WITH {NEG_SQL}, t AS (SELECT doc_id, start, regions, list_filter(string_split_regex(array_to_string(regions, ' | '), '[^a-z0-9+#]+'), lambda x: x IN ('pas', 'de', 'not', 'was', 'is', 'the')) AS w FROM n WHERE len(regions) > 0)
 SELECT doc_id, start, len(w) AS inside FROM t WHERE len(w) > 0""")
 def join_9(spark, sf):
-    s = negated_sentences(spark, sf).filter(F.size("regions") > 0)
+    # mentions and regions both read these sentences: they are cut once
+    s = durable(negated_sentences(spark, sf).filter(F.size("regions") > 0).select("doc_id", "start", "sentence", "regions"))
     keys = ["doc_id", "start"]
     hits = mn.raw_mentions(s.select("doc_id", F.col("start").alias("sent"), "sentence"), parameter_table(spark, [lx._skill(w, [w]) for w in ("pas", "de", "not", "was", "is", "the")], mn.LEXICON_SCHEMA), ("doc_id", "sent"), "sentence")
     r = s.select("doc_id", F.col("start").alias("sent"), F.explode("regions").alias("r")).select("doc_id", "sent", F.col("r.start").alias("rs"), F.col("r.end").alias("re"))
