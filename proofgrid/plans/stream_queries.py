@@ -13,13 +13,20 @@ from proofgrid.plans.text_queries import ADMIT_SQL
 from proofgrid.sources import documents as src
 from proofgrid.sources.archives import DOCUMENT_ENTRY, stored_archive
 from proofgrid.streaming import jobs
-from proofgrid.streaming.runtime import arrivals, deliveries, file_stream, read_batches, work_folder
+from proofgrid.streaming.runtime import arrivals, file_stream, read_batches, work_folder
 
 
-def stream_of(spark, sf, name, key, n=3):
-    """The table as ``n`` deliveries that mix all of its keys, one per batch."""
-    rows = table(spark, sf, name)
-    return file_stream(spark, deliveries(rows, F.pmod(F.xxhash64(key), F.lit(n)), n), rows, files_per_batch=1)
+def drained(spark, rows, delivery, n, job):
+    """What ``job`` returns after ``n`` deliveries, each drained by a run that goes on in the same folder."""
+    work = work_folder(spark, "drained")
+    for folder in arrivals(rows, delivery, n):
+        out = job(file_stream(spark, folder, rows), work)
+    return out
+
+
+def mixed(key, n=3):
+    """Deliveries that mix all keys of a table."""
+    return F.pmod(F.xxhash64(key), F.lit(n)), n
 
 
 def as_files(batch):
@@ -35,7 +42,8 @@ def as_files(batch):
 
 @query("str_1_document_intake", ADMIT_SQL + "SELECT doc_id, error_code, CASE WHEN error_code IS NULL THEN 'queued' ELSE 'failed' END AS status FROM c")
 def str_1(spark, sf):
-    return jobs.intake(stream_of(spark, sf, "documents", "doc_id"), as_files).select("doc_id", "error_code", "status")
+    admitted = drained(spark, table(spark, sf, "documents"), *mixed("doc_id"), lambda stream, work: jobs.intake(stream, as_files, work))
+    return admitted.select("doc_id", "error_code", "status")
 
 
 @query("str_2_streaming_copies", f"SELECT DISTINCT sha256(trim(regexp_replace({fold_sql('text')}, '\\s+', ' ', 'g'))) AS text_key FROM documents")
@@ -53,8 +61,10 @@ def str_2(spark, sf):
 WITH w AS (SELECT user_id, epoch_us(ts) // 10000000 * 10 - k * 10 AS s FROM events, (VALUES (0), (1), (2), (3), (4), (5)) AS v(k))
 SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, user_id, count(*) AS requests, count(*) > 1 AS limited FROM w GROUP BY s, user_id""")
 def str_3(spark, sf):
-    s = stream_of(spark, sf, "events", "event_id").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    c = jobs.sliding_counts(s, "ts", "user_id", "60 seconds", "10 seconds", "40 days", 1)
+    def counts(stream, work):
+        return jobs.sliding_counts(stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "ts", "user_id", "60 seconds", "10 seconds", "40 days", 1, work)
+
+    c = drained(spark, table(spark, sf, "events"), *mixed("event_id"), counts)
     return c.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "user_id", "requests", "limited")
 
 
@@ -64,7 +74,8 @@ def str_4(spark, sf):
         return line_evidence(spark, sf, batch)
 
     month = F.year("created_at") * 12 + F.month("created_at")
-    e = jobs.reevaluation(stream_of(spark, sf, "lineitem", "l_orderkey"), ["subject"], ["created_at", "id"], month, prepare)
+    lines = table(spark, sf, "lineitem")
+    e = drained(spark, lines, *mixed("l_orderkey"), lambda stream, work: jobs.reevaluation(stream, ["subject"], ["created_at", "id"], month, prepare, work))
     return e.select("subject", F.array_join("effect", ",").alias("effect"))
 
 
@@ -73,8 +84,8 @@ def str_5(spark, sf):
     # every chain arrives in three parts, so the second and third start from the head carried before them
     log = gq.log_of(table(spark, sf, "events"))
     part = F.floor(3 * F.pmod("seq", F.lit(gq.SEGMENT)) / gq.SEGMENT)
-    stream = file_stream(spark, deliveries(log, part, 3), log, files_per_batch=1)
-    return jobs.audit_heads(stream, ["seg"], gq.KEY, lambda batch: batch).select("seg", "head_seq", "broken_at")
+    heads = drained(spark, log, part, 3, lambda stream, work: jobs.audit_heads(stream, ["seg"], gq.KEY, lambda batch: batch, work))
+    return heads.select("seg", "head_seq", "broken_at")
 
 
 @query("str_6_retention_pass", f"WITH {gq.RETENTION_SQL} SELECT doc_id FROM x WHERE candidate_id NOT IN (SELECT candidate_id FROM dm)")
@@ -91,8 +102,7 @@ k AS (SELECT a.arrival, (SELECT max(newest) FROM m WHERE m.arrival < a.arrival)
 SELECT event_id, coalesce(ts < mark - INTERVAL 864000 SECONDS, FALSE) AS late FROM a JOIN k USING (arrival)""")
 def str_7(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", F.when(F.pmod("event_id", F.lit(13)) == 0, 3).otherwise(F.pmod("event_id", F.lit(3))).alias("arrival"))
-    folder = deliveries(e, F.col("arrival"), 4)
-    on_time, late = jobs.split_late(file_stream(spark, folder, e, files_per_batch=1), "ts", 864_000, ["event_id", "ts"])
+    on_time, late = drained(spark, e, F.col("arrival"), 4, lambda stream, work: jobs.split_late(stream, "ts", 864_000, ["event_id", "ts"], work))
     return on_time.unionByName(late).select("event_id", "late")
 
 

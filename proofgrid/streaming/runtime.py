@@ -33,14 +33,6 @@ def work_folder(spark: SparkSession, job: str, folder: str | None = None) -> str
     return f"{folder.rstrip('/')}/{job}" if folder else f"{base_folder(spark)}/{job}-{uuid.uuid4().hex}"
 
 
-def deliveries(df: DataFrame, delivery: Column, n: int) -> str:
-    """Write a table as ``n`` deliveries, one after the other, into a new folder: what arrives over time in production."""
-    folder = f"{base_folder(df.sparkSession)}/arrivals-{uuid.uuid4().hex}"
-    for i in range(n):
-        df.filter(delivery == i).coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
-
 def arrivals(df: DataFrame, delivery: Column, n: int) -> Iterator[str]:
     """The table as ``n`` deliveries of as many files as it has partitions: after each one the folder is handed out, to be
     drained by one run of a job."""

@@ -188,3 +188,20 @@ def test_excerpts_of_erased_candidates_are_gone_from_the_files(spark, tmp_path):
     kept = all_files(spark, f"{folder}/data")
     assert len(kept) == 40 and {r["excerpt"] for r in kept if r["candidate_id"] == 2} == {gv.ERASED}
     assert all(r["excerpt"] == f"excerpt {r['doc_id']}" for r in kept if r["candidate_id"] != 2)
+
+
+def test_a_delivery_is_as_many_files_as_its_table_has_parts(spark, tmp_path, monkeypatch):
+    from proofgrid.plans import stream_queries as sq
+
+    path, seen = str(tmp_path / "documents.parquet"), []
+    spark.range(400).selectExpr("id AS doc_id", "concat('Un texte court, numero ', id) AS text").repartition(4).write.parquet(path)
+    stream = sq.file_stream
+    monkeypatch.setattr(sq, "file_stream", lambda spark, folder, like, **more: seen.append(folder) or stream(spark, folder, like, **more))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert sq.str_1(spark, str(tmp_path)).count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # three deliveries; one task for each would read the whole table
+    assert len(list(pathlib.Path(seen[-1]).glob("*.parquet"))) > 3
