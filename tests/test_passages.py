@@ -96,3 +96,16 @@ def test_suggestions_of_one_owner_and_of_nothing(spark):
     missions, skills = [(1, "a"), (2, "a"), (3, None)], [(1, "x"), (2, "x"), (3, "x")]
     assert suggested(spark, missions, skills, entries, 3) == best_entries(missions, skills, entries, 3)
     assert suggested(spark, [], [], entries, 3) == {} and suggested(spark, missions, skills, [], 3) == {}
+
+
+def test_a_gram_that_only_other_scopes_search_stays_with_its_text(spark, monkeypatch):
+    """All texts are alike, each scope searches another part of them: without the scope every gram of every text would leave."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghij klmnop") for _ in range(4000))
+    d = spark.createDataFrame([(i, f"m{i}", text) for i in range(100)], "doc_id int, scope string, text string")
+    p = spark.createDataFrame([(i, f"m{i}", text[40 * i : 40 * i + 40]) for i in range(100)], "pid int, scope string, passage string")
+    left, grams = [], ps.text_grams
+    monkeypatch.setattr(ps, "text_grams", lambda *a, **k: left.append(grams(*a, **k)) or left[-1])
+    got = {tuple(r) for r in ps.occurrences(p, d, "pid", "passage", ["doc_id"], "text", ["scope"]).collect()}
+    assert got == {(i, i, 40 * i + 1) for i in range(100)}
+    assert left[0].count() < 200
