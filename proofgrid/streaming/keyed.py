@@ -2,27 +2,50 @@
 
 The evidence of a key is cut into cells of time. A (key, cell) is one state key: it keeps its rows in event order until
 the watermark has passed the end of the cell; then a timer folds them for the last time and the state is gone. So state
-holds the open cells only, and a key with very many rows is as many state keys as it has cells.
+holds the open cells only, and a key with very many rows is as many state keys as it has cells. The rows of a cell are kept
+as Arrow tables of up to 65,536 rows a state value and are sorted and composed as columns: no row passes the state by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 LEVELS = 5
-ROW = "at bigint, id string, effect array<int>"
+PIECE_ROWS = 65_536
+COLUMNS = ["at", "id", "effect"]
+PIECE = "piece binary"
 
 
-def composed(rows: list[tuple]) -> list[int]:
-    """The effects of (at, id, effect) rows in order, as one effect on the levels."""
-    out = list(range(LEVELS))
-    for _, _, effect in rows:
-        out = [int(effect[x]) for x in out]
+def coded(effect: str) -> Column:
+    """An effect on the levels, an array of their new places, as one number."""
+    return sum((F.get(effect, F.lit(i)) * LEVELS**i for i in range(LEVELS)), F.lit(0)).cast("int")
+
+
+def composed(codes: np.ndarray) -> list[int]:
+    """The effects of the codes in order, as one effect on the levels: neighbours are composed, then pairs of them, and so on."""
+    effects = codes[:, None].astype(np.int64) // LEVELS ** np.arange(LEVELS) % LEVELS
+    while len(effects) > 1:
+        if len(effects) % 2:
+            effects = np.concatenate([effects, [np.arange(LEVELS)]])
+        effects = np.take_along_axis(effects[1::2], effects[::2], axis=1)
+    return effects[0].tolist() if len(effects) else list(range(LEVELS))
+
+
+def packed(rows: pd.DataFrame) -> list[tuple[bytes]]:
+    out = []
+    for i in range(0, len(rows), PIECE_ROWS):
+        part, sink = pa.Table.from_pandas(rows[i : i + PIECE_ROWS], preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema) as writer:
+            writer.write_table(part)
+        out.append((sink.getvalue().to_pybytes(),))
     return out
 
 
@@ -31,18 +54,21 @@ class Cell(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", ROW)
+        self.pieces = handle.getListState("pieces", PIECE)
         self.due = handle.getValueState("due", "due bigint")
 
+    def held(self) -> list[pd.DataFrame]:
+        return [pa.ipc.open_stream(bytes(p[0])).read_pandas() for p in self.pieces.get()] if self.pieces.exists() else []
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = {(r[0], r[1]): list(r[2]) for r in self.rows.get()} if self.rows.exists() else {}
-        before, due = len(held), 0
+        held = self.held()
+        before, due = sum(map(len, held)), 0
         for frame in rows:
-            for at, ident, effect, end in zip(frame["at"], frame["id"], frame["effect"], frame["due_ms"]):
-                held[int(at), ident] = [int(x) for x in effect]
-                due = max(due, int(end))
-        ordered = [(at, ident, effect) for (at, ident), effect in sorted(held.items())]
-        self.rows.put(ordered)
+            if len(frame):
+                held.append(frame[COLUMNS])
+                due = max(due, int(frame["due_ms"].max()))
+        ordered = pd.concat(held, ignore_index=True).drop_duplicates(["at", "id"], keep="last").sort_values(["at", "id"])
+        self.pieces.put(packed(ordered))
         old = self.due.get()[0] if self.due.exists() else None
         if old is None or due > old:
             if old is not None:
@@ -53,13 +79,15 @@ class Cell(StatefulProcessor):
             yield self.result(key, ordered, "open")
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        ordered = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        self.rows.clear()
+        held = self.held()
+        ordered = pd.concat(held, ignore_index=True) if held else pd.DataFrame({c: [] for c in COLUMNS})
+        self.pieces.clear()
         self.due.clear()
         yield self.result(key, ordered, "closed")
 
-    def result(self, key: tuple, ordered: list[tuple], state: str) -> pd.DataFrame:
-        return pd.DataFrame({**{f"k{i}": [k] for i, k in enumerate(key)}, "effect": [composed(ordered)], "n": [len(ordered)], "state": [state]})
+    def result(self, key: tuple, ordered: pd.DataFrame, state: str) -> pd.DataFrame:
+        effect = composed(ordered["effect"].to_numpy())
+        return pd.DataFrame({**{f"k{i}": [k] for i, k in enumerate(key)}, "effect": [effect], "n": [len(ordered)], "state": [state]})
 
     def close(self) -> None:
         pass
@@ -76,5 +104,5 @@ def cell_effects(rows: DataFrame, keys: Sequence[str], cell: str, due: str, dela
     for i, k in enumerate(by):
         out = out.add(f"k{i}", types[k])
     out = out.add("effect", ArrayType(IntegerType())).add("n", LongType()).add("state", StringType())
-    held = rows.withWatermark(due, delay).groupBy(*by).transformWithStateInPandas(Cell(), out, "Update", "EventTime")
+    held = rows.withColumn("effect", coded("effect")).withWatermark(due, delay).groupBy(*by).transformWithStateInPandas(Cell(), out, "Update", "EventTime")
     return held.toDF(*by, "effect", "n", "state")

@@ -205,3 +205,72 @@ def test_a_delivery_is_as_many_files_as_its_table_has_parts(spark, tmp_path, mon
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     # three deliveries; one task for each would read the whole table
     assert len(list(pathlib.Path(seen[-1]).glob("*.parquet"))) > 3
+
+
+class Held:
+    """A list or value of state, as a handle gives it."""
+
+    def __init__(self):
+        self.values = []
+
+    def exists(self):
+        return bool(self.values)
+
+    def get(self):
+        return iter(self.values)
+
+    def put(self, values):
+        self.values = list(values)
+
+    def clear(self):
+        self.values = []
+
+
+class Due(Held):
+    def get(self):
+        return self.values[0]
+
+    def update(self, value):
+        self.values = [value]
+
+
+def test_a_cell_keeps_its_rows_as_few_state_values(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from proofgrid.streaming import keyed
+
+    class Handle:
+        def __init__(self):
+            self.lists, self.timers = [], []
+
+        def getListState(self, name, schema):  # noqa: N802
+            self.lists.append(Held())
+            return self.lists[-1]
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return Due()
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    rng = np.random.default_rng(4)
+    effects = rng.integers(0, 5, (3000, 5))
+    effects[:, 4] = 4
+    rows = pd.DataFrame({"at": rng.integers(0, 50, 3000), "id": [f"{i}_x" for i in rng.permutation(3000)], "effect": effects @ 5 ** np.arange(5), "due_ms": 7})
+    cell, handle = keyed.Cell(), Handle()
+    cell.init(handle)
+    done = lambda part: [r.iloc[0] for r in cell.handleInputRows((1, 2), iter([part]), None)]
+    assert done(rows[:1000])[0]["n"] == 1000
+    last = done(rows[500:].sample(frac=1, random_state=1))[0]          # 500 rows come again
+    want = list(range(5))
+    for i in rows.sort_values(["at", "id"]).index:
+        want = [int(effects[i][x]) for x in want]
+    assert last["n"] == 3000 and last["effect"] == want and last["state"] == "open"
+    assert done(rows[:10]) == [] and handle.timers == [7]
+    assert sum(len(h.values) for h in handle.lists) == 1
+    closed = next(iter(cell.handleExpiredTimer((1, 2), None, None))).iloc[0]
+    assert (closed["n"], closed["effect"], closed["state"]) == (3000, want, "closed") and not any(h.values for h in handle.lists)
