@@ -12,7 +12,7 @@ from proofgrid.operators import intervals as iv
 from proofgrid.operators import mentions as mn
 from proofgrid.operators import scoring as sc
 from proofgrid.operators import structure as st
-from proofgrid.operators.scale import parameter_table
+from proofgrid.operators.scale import by_shuffle, parameter_table
 from proofgrid.plans import lexicon as lx
 from proofgrid.plans.base import TODAY, query, table, texts
 from proofgrid.plans.evidence_queries import N, phrases, pick_sql
@@ -38,7 +38,7 @@ n AS (SELECT exp_id, theme, count(*) AS n FROM t WHERE theme <> '{ex.OTHER_THEME
 SELECT t.exp_id, t.pos, CASE WHEN k.theme IS NULL THEN '{ex.OTHER_THEME}' ELSE k.theme END AS part FROM t LEFT JOIN k ON k.exp_id = t.exp_id AND k.theme = t.theme""")
 def agg_30(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("exp_id"))
-    p = phrases(spark, sf).select("doc_id", "item").join(o, "doc_id").withColumnRenamed("doc_id", "pos")
+    p = phrases(spark, sf).select("doc_id", "item").join(by_shuffle(o), "doc_id").withColumnRenamed("doc_id", "pos")
     return ex.theme_parts(p, ["exp_id"], "item", "pos").select("exp_id", "pos", "part")
 
 
@@ -68,7 +68,7 @@ def agg_37(spark, sf):
 def agg_37b(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("candidate_id"))
     a = ev.analyse_mentions(phrases(spark, sf), TODAY).select("doc_id", F.explode_outer("deliverables").alias("deliverable"))
-    d = a.join(o, "doc_id").groupBy("candidate_id").agg(F.array_sort(F.collect_set("deliverable")).alias("d"))
+    d = a.join(by_shuffle(o), "doc_id").groupBy("candidate_id").agg(F.array_sort(F.collect_set("deliverable")).alias("d"))
     return d.select("candidate_id", F.array_join("d", ", ").alias("deliverables"))
 
 

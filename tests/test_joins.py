@@ -14,3 +14,9 @@ def test_rows_built_from_a_table_are_not_broadcast(spark, sf, name):
     keys = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     grown = ("mission_id#", "doc_id#", "note_id#")
     assert not [line for line in keys if any(k in line.split("], ")[0] for k in grown)]
+
+
+@pytest.mark.parametrize("name", ["agg_37_distinct_deliverables", "agg_30_theme_parts"])
+def test_orders_are_not_broadcast_to_their_phrases(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc_id#" in plan

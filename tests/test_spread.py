@@ -17,3 +17,10 @@ def test_even_splits_of_too_many_rows_are_dealt_to_more_tasks(spark):
     held = base.spread(rows, "k", rows_a_task=100).groupBy(F.spark_partition_id()).count()
     assert held.agg(F.max("count")).first()[0] <= 200 and base.spread(rows, "k", rows_a_task=100).count() == 8000
     assert base.spread(rows, "k", rows_a_task=None).rdd.getNumPartitions() == 8
+
+
+def test_a_task_of_rows_that_become_texts_stays_short(spark):
+    rows = spark.range(0, 480_000, 1, 4).withColumnRenamed("id", "k")
+    dealt = base.spread(rows, "k")
+    assert dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 40_000
+    assert dealt.rdd.getNumPartitions() % spark.sparkContext.defaultParallelism == 0 and dealt.count() == 480_000
