@@ -8,11 +8,10 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tags that end a line, list items, any tag, and the length kept.
+# Tags that end a line, list items and any tag.
 LINE_TAG = "(?i)<\\s*(?:br\\s*/?|/p|/div|/h[1-6])\\s*>"
 ITEM_TAG = "(?i)<\\s*li[^>]*>"
 ANY_TAG = "<[^>]{0,500}>"
-TEXT_LIMIT = 20_000
 
 _BARE = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=len, reverse=True)
 ENTITY = "&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(_BARE) + "))"
@@ -43,8 +42,8 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(glued, "")).otherwise(text)
 
 
-def html_to_text(raw: Column, limit: int = TEXT_LIMIT) -> Column:
-    """Line breaks and bullets kept, tags dropped, entities decoded, blank runs squeezed."""
+def html_to_text(raw: Column) -> Column:
+    """Line breaks and bullets kept, tags dropped, entities decoded, blank runs squeezed; the whole text."""
     t = F.regexp_replace(raw, "\r\n?", "\n")
     t = F.regexp_replace(t, LINE_TAG, "\n")
     t = F.regexp_replace(t, ITEM_TAG, "\n- ")
@@ -54,4 +53,4 @@ def html_to_text(raw: Column, limit: int = TEXT_LIMIT) -> Column:
     t = F.regexp_replace(t, " ?\n ?", "\n")
     t = F.regexp_replace(t, "\n{3,}", "\n\n")
     t = F.regexp_replace(t, "^\\s+|\\s+\\z", "")
-    return F.coalesce(F.substring(t, 1, limit), F.lit(""))
+    return F.coalesce(t, F.lit(""))

@@ -45,7 +45,7 @@ b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(re
    '&copy;', '©'), '&middot;', '·'), '&eacute;', 'é'), '&#39;', ''''), '&amp;', '&') AS t FROM a),
 c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t\\x{a0}]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'),
    '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM b)
-SELECT page_id, substring(t, 1, 20000) AS body FROM c""")
+SELECT page_id, t AS body FROM c""")
 def prj_4(spark, sf):
     return spread(table(spark, sf, "pages"), "page_id", rows_a_task=None).select("page_id", markup.html_to_text(F.col("html")).alias("body"))
 
