@@ -52,3 +52,12 @@ def test_ranges_and_headings():
     assert dr.first_range("mission 2000 - 2020 messages", TODAY) is None and dr.first_range("depuis mars 2011", TODAY) == ("mars 2011", "present")
     assert dr.year_month("13/2010") == (2010, None) and dr.year_month("fevr. 2012") == (2012, 2)
     assert [pr.heading(x) for x in ("## skills ##", "missions realisees :", "autre", "")] == ["skills", "experience", None, None]
+
+
+def test_places_of_positions(spark):
+    spans = [[(0, 7), (10, 17), (20, 27)], [], [(5, 9), (20, 30), (8, 30), (40, 41)], None]
+    df = spark.createDataFrame([(i, p, spans[i]) for i in range(4) for p in (-1, 0, 6, 7, 8, 12, 20, 29, 30, 40, 41, None)], "i int, at bigint, s array<struct<start:int,end:int>>")
+    look = F.arrow_udf(lambda at, s: pr.last_at(s, at.fill_null(0).to_numpy(zero_copy_only=False), at.is_valid().to_numpy(zero_copy_only=False)), "struct<start:int,end:int>")
+    for r in df.coalesce(1).withColumn("found", look("at", "s")).collect():
+        last = [x for x in spans[r["i"]] or [] if r["at"] is not None and x[0] <= r["at"]][-1:]
+        assert (tuple(r["found"]) if r["found"] else None) == (last[0] if last and last[0][1] > r["at"] else None)
